@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op5_decontamination
 from .licenses import op8_licenses
 from .quality import op2_quality
 from .secrets import op3_secrets
 from .sharding import op1_sharding
+from .simhash import op7_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_secrets, op8_licenses)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_secrets, op5_decontamination, op7_simhash, op8_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
