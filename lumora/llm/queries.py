@@ -12,10 +12,11 @@ from .quality import op2_quality
 from .secrets import op3_secrets
 from .sharding import op1_sharding
 from .simhash import op7_simhash
+from .spans import op4_sentence_spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_secrets, op5_decontamination, op7_simhash, op8_licenses)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_secrets, op4_sentence_spans, op5_decontamination, op7_simhash, op8_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
