@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op5_decontamination
 from .licenses import op8_licenses
+from .packing import op10_packing
 from .quality import op2_quality
 from .secrets import op3_secrets
 from .sharding import op1_sharding
 from .simhash import op7_simhash
 from .spans import op4_sentence_spans
+from .sstable import op6_sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_secrets, op4_sentence_spans, op5_decontamination, op7_simhash, op8_licenses)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_secrets, op4_sentence_spans, op5_decontamination, op6_sstable, op7_simhash, op8_licenses, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
