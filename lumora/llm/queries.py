@@ -15,10 +15,11 @@ from .sharding import op1_sharding
 from .simhash import op7_simhash
 from .spans import op4_sentence_spans
 from .sstable import op6_sstable
+from .toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_secrets, op4_sentence_spans, op5_decontamination, op6_sstable, op7_simhash, op8_licenses, op10_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_secrets, op4_sentence_spans, op5_decontamination, op6_sstable, op7_simhash, op8_licenses, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents, written
@@ -56,13 +56,13 @@ def fingerprint(text: str | None, words_per_shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n).view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+def fingerprint_column(text: str = "text", words_per_shingle: int = SHINGLE) -> Column:
+    """The fingerprint as a signed long."""
 
     def each(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
+        return pd.Series(np.fromiter((fingerprint(t, words_per_shingle) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    return docs.select("doc_id", F.pandas_udf(each, "long")("text").alias("fp"))
+    return F.pandas_udf(each, "long")(text)
 
 
 class _Forest:
@@ -240,9 +240,9 @@ def forest_edges(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return at.groupBy("unit").applyInPandas(join_unit, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = BITS, words_per_shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (signed long) and component_id, the least doc_id that is reachable over links, itself included."""
-    rows = written(fingerprints(docs), "simhash-rows")
+    rows = written(docs.select("doc_id", fingerprint_column("text", words_per_shingle).alias("fp")), "simhash-rows")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "simhash-distinct")
     labels = components(forest_edges(distinct.select("fp"), bits), "simhash")
     labelled = written(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_doc", F.coalesce("label", "fp").alias("label")), "simhash-labelled")
@@ -251,6 +251,20 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, bits: int = BITS, words_per_shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs that name their group: one document of each. Columns stay as they are.
+
+    Where ids repeat (null ids count as one), rows are told apart by their fingerprint too and one of each pair stays.
+    """
+    found = written(near_duplicates(docs, bits, words_per_shingle), "simhash-found")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp"))
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    marked = docs.withColumn("lumora_fp", fingerprint_column("text", words_per_shingle))
+    one = marked.join(kept, marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked["lumora_fp"] == kept["kept_fp"]), "left_semi")
+    return one.dropDuplicates(["doc_id", "lumora_fp"]).drop("lumora_fp")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
