@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+from . import ledger, materials, orchestration, timeline
+from .registry import FOUND
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _QUERIES.items()}
+    return {k: f for k, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _QUERIES.items() if sql}
+    return {k: sql for k, (_, sql) in FOUND.items() if sql}
+
+
+__all__ = ["ledger", "materials", "oracle_sql", "orchestration", "queries", "timeline"]
