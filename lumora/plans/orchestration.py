@@ -1 +1,171 @@
-"""."""
+"""Queries over task graphs, leases and measurements."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import observability as b
+from ..operators import orchestration as o
+from .fixtures import view
+from .registry import query
+
+
+def _graph(spark, d):
+    return view(spark, d, "task"), view(spark, d, "edge")
+
+
+@query("""SELECT DISTINCT run_id, reason FROM (SELECT run_id, 'unknown_child_id' AS reason FROM edge WHERE child_id % 10 = 9 UNION ALL SELECT run_id, 'unknown_parent_id' FROM edge WHERE parent_id % 10 = 9
+    UNION ALL SELECT run_id, 'self_edge' FROM edge WHERE parent_id = child_id)""")
+def o1_graph_errors(spark, d):
+    task, edge = _graph(spark, d)
+    return o.graph_errors(task.where("task_id % 10 <> 9"), edge)
+
+
+@query("""WITH RECURSIVE walk AS (SELECT run_id, task_id, 0 AS level FROM task t WHERE NOT EXISTS (SELECT 1 FROM edge WHERE child_id = t.task_id)
+    UNION ALL SELECT w.run_id, e.child_id, w.level + 1 FROM walk w JOIN edge e ON e.parent_id = w.task_id) SELECT run_id, task_id, max(level) AS level FROM walk GROUP BY ALL""")
+def o2_topological_levels(spark, d):
+    return o.walked(*_graph(spark, d)).select("run_id", "task_id", "level")
+
+
+@query("""SELECT run_id, child_id AS task_id FROM edge WHERE parent_id % 10 = 0 AND child_id % 10 = 3 AND run_id % 2 = 0 UNION SELECT run_id, parent_id FROM edge WHERE parent_id % 10 = 0 AND child_id % 10 = 3 AND run_id % 2 = 0
+    UNION SELECT run_id, task_id FROM task WHERE run_id % 2 = 0 AND task_id % 10 IN (1, 2)""")
+def o3_cycle_detection(spark, d):
+    task, edge = _graph(spark, d)
+    back = edge.where("parent_id % 10 = 0 AND child_id % 10 = 3 AND run_id % 2 = 0").select("run_id", F.col("child_id").alias("parent_id"), F.col("parent_id").alias("child_id"), "required")
+    return o.walked(task, edge.unionByName(back)).where("cycle").select("run_id", "task_id")
+
+
+@query("SELECT t.run_id, t.task_id, count(e.required) AS needs, CASE WHEN count(e.required) = 0 THEN 'ready' ELSE 'pending' END AS initial_state FROM task t LEFT JOIN edge e ON e.child_id = t.task_id AND e.required GROUP BY ALL")
+def o5_initial_states(spark, d):
+    return o.initial_states(*_graph(spark, d))
+
+
+@query("SELECT run_id, task_id FROM task t WHERE state = 'pending' AND NOT EXISTS (SELECT 1 FROM edge e JOIN task p ON p.task_id = e.parent_id WHERE e.child_id = t.task_id AND e.required AND p.state <> 'succeeded')")
+def o7_j14_unlocked(spark, d):
+    return o.unlocked(*_graph(spark, d))
+
+
+@query("""WITH RECURSIVE below AS (SELECT e.run_id, e.child_id AS task_id FROM task t JOIN edge e ON e.parent_id = t.task_id WHERE t.state = 'failed' AND e.required
+    UNION SELECT e.run_id, e.child_id FROM below b JOIN edge e ON e.parent_id = b.task_id WHERE e.required)
+    SELECT t.run_id, t.task_id, 'upstream_failed' AS reason_code FROM task t WHERE state IN ('pending', 'ready') AND task_id IN (SELECT task_id FROM below)""")
+def o8_u1_cascade_block(spark, d):
+    return o.blocked(*_graph(spark, d))
+
+
+@query("""SELECT run_id, CASE WHEN bool_or(state = 'failed') THEN 'failed' WHEN bool_and(state = 'succeeded') THEN 'succeeded' WHEN bool_or(state = 'running') THEN 'running' ELSE 'pending' END AS run_state,
+    count(*) AS tasks, count_if(state = 'succeeded') AS succeeded FROM task GROUP BY run_id""")
+def o13_a8_run_state(spark, d):
+    return o.run_state(view(spark, d, "task"))
+
+
+@query("SELECT run_id, state, count(*) AS n FROM task GROUP BY ALL")
+def a6_a7_state_histogram(spark, d):
+    return view(spark, d, "task").groupBy("run_id", "state").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT task_id, CASE WHEN task_id % 4 = 0 THEN 'succeeded' WHEN attempt < max_attempts THEN 'ready' ELSE 'failed' END AS next_state FROM task LEFT JOIN nation n ON n.n_nationkey = cell AND cell % 3 > 0
+    WHERE state = 'running' AND (memory <= 3000 OR n_nationkey IS NULL)""")
+def o11_j15_lease_recovery(spark, d):
+    node = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey % 3 > 0").select(F.col("n_nationkey").alias("cell"), F.lit(True).alias("node_ok"))
+    tasks = view(spark, d, "task").join(node, "cell", "left").withColumn("lease_until", F.col("memory")).withColumn("has_output", F.expr("task_id % 4 = 0"))
+    return o.lease_recovery(tasks, 3000).select("task_id", "next_state")
+
+
+@query("""WITH node AS (SELECT c_custkey AS node_id, c_nationkey AS node_cell, c_custkey % 5 AS kind, c_acctbal AS free_memory, c_custkey % 120 AS age FROM customer WHERE c_custkey < 200), ready AS (SELECT task_id, cell, task_id % 5 AS kind, memory FROM task WHERE state <> 'failed'),
+    fit AS (SELECT task_id, node_id, row_number() OVER (PARTITION BY task_id ORDER BY (cell = node_cell) DESC, node_id) AS rn FROM ready JOIN node USING (kind) WHERE free_memory >= memory AND age <= 90)
+    SELECT r.task_id, f.node_id, CASE WHEN f.node_id IS NULL THEN 'no_eligible_node' END AS reason_code FROM ready r LEFT JOIN fit f ON f.task_id = r.task_id AND rn = 1""")
+def o9_j16_l6_schedule(spark, d):
+    node = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey < 200").selectExpr("c_custkey AS node_id", "c_nationkey AS node_cell", "c_custkey % 5 AS kind", "c_acctbal AS free_memory", "c_custkey % 120 AS heartbeat_age_s")
+    ready = view(spark, d, "task").where("state <> 'failed'").selectExpr("task_id", "cell", "task_id % 5 AS kind", "memory")
+    return o.schedule(ready, node)
+
+
+@query("""SELECT task_id, CASE WHEN task_id % 3 <> attempt THEN 'stale_attempt' WHEN task_id % 7 = 0 THEN 'cancelled' WHEN task_id % 2 = 0 THEN 'succeeded' WHEN attempt < max_attempts THEN 'ready' ELSE 'failed' END AS next_state FROM task""")
+def o10_o12_reconcile(spark, d):
+    tasks = view(spark, d, "task").withColumn("state", F.when(F.expr("task_id % 7 = 0"), "cancelled").otherwise(F.col("state")))
+    results = tasks.selectExpr("task_id", "task_id % 3 AS reported_attempt", "task_id % 2 = 0 AS ok")
+    return o.reconciled(tasks, results).select("task_id", "next_state")
+
+
+@query("""SELECT c_custkey AS node_id, CASE WHEN c_custkey % 120 > 60 THEN 'heartbeat_stale' WHEN c_nationkey % 7 = 0 THEN 'locality_mismatch' WHEN c_mktsegment = 'MACHINERY' THEN 'artifact_form_unsupported'
+    WHEN c_custkey % 11 = 0 THEN 'platform_mismatch' WHEN c_acctbal < 1000 THEN 'memory_insufficient' WHEN c_custkey % 13 = 0 THEN 'digest_mismatch' END AS reason_code FROM customer""")
+def o16_preflight(spark, d):
+    node = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS node_id", "c_custkey % 120 AS heartbeat_age_s", "c_nationkey AS node_cell", "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'none' ELSE 'image' END AS form", "CASE WHEN c_custkey % 11 = 0 THEN 'other' ELSE 'linux' END AS platform", "c_acctbal AS free_memory", "c_custkey % 13 <> 0 AS digest_ok")
+    return o.preflight(node).select("node_id", "reason_code")
+
+
+@query("""SELECT task_id, CASE WHEN task_id % 19 = 0 THEN 'duplicate_report' WHEN state = 'succeeded' THEN 'operation_closed' WHEN task_id % 5 = 0 THEN 'node_mismatch' WHEN task_id % 7 = 0 THEN 'stale_operation'
+    WHEN attempt = 2 THEN 'generation_mismatch' WHEN memory < 0 THEN 'deadline_passed' ELSE 'accepted' END AS reason_code FROM task""")
+def o20_report_fence(spark, d):
+    reports = view(spark, d, "task").selectExpr("task_id", "task_id % 19 = 0 AS duplicate", "state = 'succeeded' AS closed", "task_id % 5 = 0 AS wrong_node", "task_id % 7 = 0 AS stale", "attempt = 2 AS old_generation", "memory < 0 AS late")
+    return o.report_fence(reports).select("task_id", "reason_code")
+
+
+@query("""SELECT task_id, attempt = 1 AND cell IS DISTINCT FROM node_id AS swapped, CASE WHEN NOT (attempt = 1 AND cell IS DISTINCT FROM node_id) THEN 'unchanged' WHEN cell % 4 = 0 THEN 'active' ELSE 'draining' END AS old_state FROM task""")
+def o23_cut_over(spark, d):
+    runtimes = view(spark, d, "task").selectExpr("task_id", "attempt AS generation", "1 AS expected_generation", "cell AS active_id", "node_id AS candidate_id")
+    pinned = view(spark, d, "task").where("cell % 4 = 0").select(F.col("cell").alias("runtime_id"))
+    return o.cut_over(runtimes, pinned).select("task_id", "swapped", "old_state")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('MACHINERY', 'HOUSEHOLD') AND c_custkey <> 7")
+def o21_stale_nodes(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").where(F.col("c_mktsegment").isin("MACHINERY", "HOUSEHOLD") & (F.col("c_custkey") != 7)).select("c_custkey")
+
+
+@query("""SELECT stream_id AS run_id, observation_id AS task_id, start_ms - min(start_ms) OVER w AS offset_ms, greatest(1, end_ms - start_ms) AS duration_ms, greatest(500, max(end_ms) OVER w - min(start_ms) OVER w) AS span_ms FROM obs WINDOW w AS (PARTITION BY stream_id)""")
+def a29_gantt(spark, d):
+    return o.gantt(view(spark, d, "obs").selectExpr("stream_id AS run_id", "observation_id AS task_id", "start_ms", "end_ms"))
+
+
+@query("""SELECT modality, le, sum(CASE WHEN value / 100 <= bound THEN 1 ELSE 0 END) AS n, count(*) AS count, round(sum(value / 100), 4) AS sum FROM obs, (VALUES ('0.005', 0.005), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0), ('2.5', 2.5), ('5.0', 5.0), ('10.0', 10.0), ('+Inf', 1e300)) AS t(le, bound) GROUP BY ALL""")
+def a21_histogram(spark, d):
+    return b.histogram(view(spark, d, "obs").selectExpr("modality", "value / 100 AS seconds"), ["modality"], "seconds").withColumn("sum", F.round("sum", 4))
+
+
+@query("SELECT event_type, round(sum(value), 2) AS counter, arg_max(value, event_id) AS gauge FROM events GROUP BY 1")
+def a22_counter_gauge(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("counter"), F.max_by("value", "event_id").alias("gauge"))
+
+
+@query("""SELECT stream_id AS trace_id, observation_id AS span_id, start_ms - min(start_ms) OVER w AS offset_ms, round(100.0 * (end_ms - start_ms) / nullif(max(end_ms) OVER w - min(start_ms) OVER w, 0), 6) AS percent,
+    row_number() OVER (PARTITION BY stream_id ORDER BY end_ms - start_ms DESC, start_ms, observation_id) = 1 AS bottleneck FROM obs WINDOW w AS (PARTITION BY stream_id)""")
+def a23_w13_waterfall(spark, d):
+    return b.waterfall(view(spark, d, "obs").selectExpr("stream_id AS trace_id", "observation_id AS span_id", "start_ms", "end_ms")).withColumn("percent", F.round("percent", 6))
+
+
+@query("""WITH p AS (SELECT stream_id, start_ms AS t, 1 AS d FROM obs UNION ALL SELECT stream_id, end_ms, -1 FROM obs), r AS (SELECT stream_id, sum(d) OVER (PARTITION BY stream_id ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS open FROM p)
+    SELECT stream_id, CAST(max(open) AS BIGINT) AS peak FROM r GROUP BY 1""")
+def a31_peak_concurrency(spark, d):
+    return b.peak_concurrency(view(spark, d, "obs"), ["stream_id"])
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS price_sum, max(o_totalprice) AS price_max, sum(o_custkey) AS cust_sum, max(o_custkey) AS cust_max FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY ALL""")
+def a9_deployment_metrics(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").where("o_orderdate >= TIMESTAMP '1995-01-01'").withColumnsRenamed({"o_totalprice": "price", "o_custkey": "cust"})
+    return b.phase_metrics(rows, ["o_orderstatus", "o_orderpriority"], ["price", "cust"]).withColumn("price_sum", F.round("price_sum", 2))
+
+
+@query("SELECT modality, count(*) AS total, count_if(quality_state IN ('final', 'accepted')) / count(*) AS success_rate, count_if(quality_state = 'failed') AS failed, count_if(quality_state = 'rejected') AS rejected FROM obs GROUP BY 1")
+def a10_dashboard(spark, d):
+    q = F.col("quality_state")
+    return view(spark, d, "obs").groupBy("modality").agg(F.count("*").alias("total"), (F.count_if(q.isin("final", "accepted")) / F.count("*")).alias("success_rate"), F.count_if(q == "failed").alias("failed"), F.count_if(q == "rejected").alias("rejected"))
+
+
+@query("SELECT observation_id, count(*) OVER w AS in_window, count(*) OVER w > 2 AS blocked FROM obs WHERE modality = 'error' WINDOW w AS (PARTITION BY stream_id ORDER BY start_ms RANGE BETWEEN 599999 PRECEDING AND CURRENT ROW)")
+def a30_login_windows(spark, d):
+    rows = view(spark, d, "obs").where("modality = 'error'").withColumn("at_ms", F.col("start_ms"))
+    return b.failure_windows(rows, ["stream_id"], 600_000, 2).select("observation_id", "in_window", "blocked")
+
+
+@query("SELECT run_id, sum(CASE WHEN node_id <> 3 THEN memory ELSE 0 END) AS declared FROM task GROUP BY 1")
+def a25_j17_declared_memory(spark, d):
+    return view(spark, d, "task").groupBy("run_id").agg(F.sum(F.when(F.col("node_id") != 3, F.col("memory")).otherwise(0)).alias("declared"))
+
+
+@query("SELECT 'events_total{type=\"' || event_type || '\"} ' || count(*) AS line, event_type AS label, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY event_type")
+def s16_prometheus_text(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"))
+    lines = rows.select(b.prometheus(rows, "events_total", ["type"], "n").alias("line"))
+    p = b.parsed_prometheus("line")
+    return lines.select("line", p["label"].alias("label"), p["value"].alias("value"))
