@@ -35,7 +35,7 @@ VIEWS = {
         s_nationkey % 4 AS attempt, 3 AS max_attempts, s_acctbal AS memory, s_nationkey AS cell FROM supplier""",
     "edge": """SELECT p.run_id, p.task_id AS parent_id, c.task_id AS child_id, (p.node_id + c.node_id) % 3 <> 0 AS required
         FROM task p JOIN task c ON p.run_id = c.run_id AND (c.node_id = p.node_id + 1 OR c.node_id = p.node_id + 3)""",
-    "point": "SELECT user_id AS stream_id, event_id AS decode_index, MILLIS(ts) - 1704067200000 AS pts_ms, CAST(value AS BIGINT) % 256 AS luma, value FROM events",
+    "point": "SELECT user_id AS stream_id, event_id AS decode_index, MILLIS(ts) - 1704067200000 AS pts_ms, CAST(floor(value) AS BIGINT) % 256 AS luma, value FROM events",
 }
 
 

@@ -1 +1,250 @@
-"""."""
+"""Queries over timelines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import kernels as k
+from ..operators import timeline as t
+from ..operators.helpers import overlap_join
+from .fixtures import view
+from .registry import query
+
+HOUR = 3_600_000
+
+
+def _shifted(df, **names):
+    return df.select(*[F.col(v).alias(n) for n, v in names.items()])
+
+
+@query("""WITH x AS (SELECT *, lead(pts_ms) OVER (PARTITION BY stream_id ORDER BY pts_ms, decode_index) AS nxt FROM point)
+    SELECT stream_id, decode_index, pts_ms, coalesce(nxt, 2592000000) AS end_ms, CASE WHEN nxt IS NULL AND 2592000000 <= pts_ms THEN 'duration_unknown_last_frame_interval' WHEN coalesce(nxt, 2592000000) <= pts_ms THEN 'collapsed_interval' END AS drop_reason,
+    nxt IS NOT NULL AND nxt - pts_ms > 7200000 AS is_gap FROM x""")
+def w3_w6_intervals(spark, d):
+    return t.intervals(view(spark, d, "point"), F.lit(2_592_000_000), 2 * HOUR).select("stream_id", "decode_index", "pts_ms", "end_ms", "drop_reason", F.coalesce("is_gap", F.lit(False)).alias("is_gap"))
+
+
+@query("""WITH x AS (SELECT stream_id, pts_ms - (decode_index % 3) * 20000000 AS p, decode_index FROM point), y AS (SELECT *, p < lag(p) OVER (PARTITION BY stream_id ORDER BY decode_index) AS back FROM x)
+    SELECT stream_id, count_if(back) AS reordered FROM y GROUP BY 1""")
+def w4_reordered(spark, d):
+    return t.reordered(view(spark, d, "point").withColumn("pts_ms", F.expr("pts_ms - (decode_index % 3) * 20000000")))
+
+
+@query("SELECT stream_id, decode_index, 'frame-' || lpad(CAST(row_number() OVER (PARTITION BY stream_id ORDER BY pts_ms, decode_index) - 1 AS VARCHAR), 8, '0') AS anchor FROM point")
+def w5_anchor_labels(spark, d):
+    return t.intervals(view(spark, d, "point"), F.lit(2_592_000_000)).select("stream_id", "decode_index", "anchor")
+
+
+@query("SELECT stream_id, decode_index, count(*) OVER (PARTITION BY stream_id) > 40 AS truncated FROM point QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY decode_index) <= 40")
+def s5_truncated_tracks(spark, d):
+    return t.truncated(view(spark, d, "point"), "stream_id", "decode_index", 40).select("stream_id", "decode_index", "truncated")
+
+
+GRID = "s AS (SELECT stream_id, 86400000 + stream_id * 7777 AS duration_ms FROM stream), g AS (SELECT stream_id, start_ms, least(start_ms + 3600000, duration_ms) AS end_ms FROM (SELECT stream_id, duration_ms, unnest(range(0, duration_ms, 3600000)) AS start_ms FROM s))"
+
+
+def _grid(spark, d):
+    return t.grid(view(spark, d, "stream").select("stream_id", (86_400_000 + F.col("stream_id") * 7777).alias("duration_ms")), HOUR)
+
+
+@query(f"WITH {GRID} SELECT * FROM g")
+def t6_grid(spark, d):
+    return _grid(spark, d)
+
+
+@query(f"WITH {GRID} SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM obs WHERE obs.stream_id = g.stream_id AND obs.start_ms // 3600000 = g.start_ms // 3600000)")
+def t7_gap_fill(spark, d):
+    have = view(spark, d, "obs").select("stream_id", (F.floor(F.col("start_ms") / HOUR) * HOUR).alias("start_ms")).distinct()
+    cells = _grid(spark, d)
+    return t.missing_cells(cells, cells.join(have, ["stream_id", "start_ms"], "left_semi"))
+
+
+@query(f"WITH {GRID} SELECT stream_id, start_ms, end_ms, 'missing' AS side FROM g WHERE start_ms % 10800000 = 0 UNION ALL SELECT stream_id, start_ms + 1, end_ms, 'extra' FROM g WHERE start_ms % 10800000 = 0")
+def t10_grid_validation(spark, d):
+    cells = _grid(spark, d)
+    given = cells.withColumn("start_ms", F.expr("start_ms + CASE WHEN start_ms % 10800000 = 0 THEN 1 ELSE 0 END"))
+    return t.grid_differences(cells, given)
+
+
+@query(f"WITH {GRID} SELECT stream_id, start_ms FROM g WHERE start_ms % 7200000 = 0")
+def w12_stride(spark, d):
+    return t.stride(_grid(spark, d), 5_000_000, HOUR).select("stream_id", "start_ms")
+
+
+@query("SELECT observation_id, start_ms // 300000 * 300000 AS window_start, end_ms <= start_ms // 300000 * 300000 + 300000 AS fits FROM obs")
+def j7_window_assignment(spark, d):
+    return t.windowed(view(spark, d, "obs"), 300_000).select("observation_id", "window_start", "fits")
+
+
+LEDGER = "led AS (SELECT stream_id, observation_id AS item_id, start_ms - 1 AS item_start, end_ms + 5 - (observation_id % 4) * 3 AS item_end FROM obs WHERE observation_id % 6 > 0)"
+
+
+@query(f"""WITH {LEDGER} SELECT coalesce(CASE WHEN item_start IS NULL THEN 'ledger_item_missing' WHEN end_ms <= start_ms THEN 'range_invalid' WHEN start_ms < item_start OR end_ms > item_end THEN 'outside_ledger_range'
+    WHEN end_ms > start_ms // 300000 * 300000 + 300000 THEN 'crosses_window' END, 'accepted') AS reason, count(*) AS n FROM obs LEFT JOIN led ON led.stream_id = obs.stream_id AND item_id = observation_id GROUP BY 1""")
+def f13_a27_admission(spark, d):
+    obs = view(spark, d, "obs").withColumn("item_id", F.col("observation_id"))
+    ledger = obs.where("observation_id % 6 > 0").selectExpr("stream_id", "item_id", "start_ms - 1 AS item_start", "end_ms + 5 - (observation_id % 4) * 3 AS item_end")
+    return t.admit(obs, ledger, 300_000).groupBy(F.coalesce("reason_code", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT *, start_ms // 300000 * 300000 AS ws FROM obs WHERE end_ms <= start_ms // 300000 * 300000 + 300000),
+    g AS (SELECT stream_id, ws AS start_ms, ws + 300000 AS end_ms, count(*) AS received, count_if(quality_state = 'partial') AS n_partial, count_if(quality_state = 'rejected') AS n_rejected, count_if(quality_state = 'failed') AS n_failed, count_if(confidence IS NULL) AS unknown_confidence,
+    bool_or(quality_state = 'conflict') AS c, bool_or(quality_state = 'low_confidence') AS l, bool_or(quality_state NOT IN ('failed', 'rejected')) AS u, bool_or(modality = 'view' AND quality_state IN ('accepted', 'final')) AS v, bool_or(modality = 'click' AND quality_state IN ('accepted', 'final')) AS k FROM x GROUP BY stream_id, ws)
+    SELECT stream_id, start_ms, end_ms, received, n_partial, n_rejected, n_failed, unknown_confidence, CASE WHEN c THEN 'conflict' WHEN l THEN 'low_confidence' WHEN NOT u THEN 'failed' WHEN NOT v THEN 'partial' WHEN k THEN 'enriched' ELSE 'fast_ready' END AS status,
+    concat_ws(',', CASE WHEN NOT k THEN 'click' END, CASE WHEN NOT v THEN 'view' END) AS pending FROM g""")
+def a1_a4_t5_fusion(spark, d):
+    return t.fuse(view(spark, d, "obs"), 300_000, ["view"], ["click"]).select("stream_id", "start_ms", "end_ms", "received", "n_partial", "n_rejected", "n_failed", "unknown_confidence", "status", "pending")
+
+
+@query("SELECT count(DISTINCT stream_id * 100000000 + start_ms // 300000) AS windows, count_if(end_ms <= start_ms // 300000 * 300000 + 300000) AS accepted, count_if(end_ms > start_ms // 300000 * 300000 + 300000) AS rejected FROM obs")
+def a26_materialisation_counters(spark, d):
+    return t.windowed(view(spark, d, "obs"), 300_000).agg(F.count_distinct("stream_id", "window_start").alias("windows"), F.count_if("fits").alias("accepted"), F.count_if(~F.col("fits")).alias("rejected"))
+
+
+@query("SELECT a.observation_id AS a_id, b.observation_id AS b_id FROM obs a JOIN obs b ON a.stream_id = b.stream_id AND a.start_ms < b.end_ms AND a.end_ms > b.start_ms AND a.modality = 'view' AND b.modality = 'error'")
+def j8_overlap_join(spark, d):
+    obs = view(spark, d, "obs")
+    a = _shifted(obs.where("modality = 'view'"), stream_id="stream_id", a_id="observation_id", start_ms="start_ms", end_ms="end_ms")
+    b = _shifted(obs.where("modality = 'error'"), stream_id="stream_id", b_id="observation_id", other_start_ms="start_ms", other_end_ms="end_ms")
+    return overlap_join(a, b, ["stream_id"], 300_000).select("a_id", "b_id")
+
+
+@query("SELECT a.observation_id AS a_id, count(*) AS inside FROM obs a JOIN obs b ON a.stream_id = b.stream_id AND a.start_ms <= b.start_ms AND b.end_ms <= a.end_ms AND a.modality = 'view' AND b.modality = 'error' GROUP BY 1")
+def j9_j22_window_contains(spark, d):
+    obs = view(spark, d, "obs")
+    a = _shifted(obs.where("modality = 'view'"), stream_id="stream_id", a_id="observation_id", start_ms="start_ms", end_ms="end_ms")
+    b = _shifted(obs.where("modality = 'error'"), stream_id="stream_id", b_id="observation_id", other_start_ms="start_ms", other_end_ms="end_ms")
+    return t.join_policy(a, b, "window_contains", 300_000).groupBy("a_id").agg(F.count("*").alias("inside"))
+
+
+@query("""WITH hit AS (SELECT p.decode_index AS item_id, min(o.observation_id) AS u FROM point p JOIN obs o ON o.stream_id = p.stream_id AND o.modality = 'view' AND o.start_ms <= p.pts_ms AND p.pts_ms < o.end_ms GROUP BY 1)
+    SELECT decode_index AS item_id, coalesce('unit_' || u, 'derived_' || decode_index) AS unit FROM point LEFT JOIN hit ON item_id = decode_index""")
+def j11_point_in_interval(spark, d):
+    items = _shifted(view(spark, d, "point"), stream_id="stream_id", item_id="decode_index", at_ms="pts_ms")
+    units = view(spark, d, "obs").where("modality = 'view'").withColumnRenamed("observation_id", "unit_id")
+    return t.stabbed(items, units, 300_000).select("item_id", "unit")
+
+
+@query("""WITH r AS (SELECT event_id AS read_id, user_id AS stream_id, MILLIS(ts) - 1704067200000 + 90000 AS at_ms FROM events WHERE event_type = 'click'), o AS (SELECT * FROM obs WHERE modality = 'view'),
+    c AS (SELECT read_id, at_ms, observation_id, start_ms, o.start_ms <= at_ms AND at_ms < o.end_ms AS covering, row_number() OVER (PARTITION BY read_id ORDER BY o.start_ms > at_ms, start_ms DESC, observation_id) AS latest,
+        row_number() OVER (PARTITION BY read_id ORDER BY abs(start_ms - at_ms), start_ms, observation_id) AS nearest FROM r LEFT JOIN o ON o.stream_id = r.stream_id)
+    SELECT read_id, max(CASE WHEN latest = 1 AND covering THEN observation_id END) IS NOT NULL AS covering, coalesce(max(CASE WHEN latest = 1 AND covering THEN observation_id END), max(CASE WHEN nearest = 1 THEN observation_id END)) AS observation_id,
+    coalesce(max(CASE WHEN latest = 1 AND covering THEN start_ms END), max(CASE WHEN nearest = 1 THEN start_ms END)) - max(at_ms) AS offset_ms FROM c GROUP BY read_id""")
+def j12_as_of(spark, d):
+    obs = view(spark, d, "obs")
+    reads = obs.where("modality = 'click'").select("stream_id", F.col("observation_id").alias("read_id"), (F.col("start_ms") + 90_000).alias("at_ms"))
+    return t.as_of(reads, obs.where("modality = 'view'"), ["stream_id"]).select("read_id", "covering", "observation_id", "offset_ms")
+
+
+@query(f"""WITH {GRID}, x AS (SELECT g.*, EXISTS (SELECT 1 FROM obs o WHERE o.stream_id = g.stream_id AND o.modality = 'view' AND o.start_ms < g.end_ms AND o.end_ms > g.start_ms) AS seen,
+    EXISTS (SELECT 1 FROM obs o WHERE o.stream_id = g.stream_id AND o.modality = 'click' AND o.start_ms < g.end_ms AND o.end_ms > g.start_ms) AS refresh, EXISTS (SELECT 1 FROM obs o WHERE o.stream_id = g.stream_id AND o.modality = 'error' AND o.start_ms < g.end_ms AND o.end_ms > g.start_ms) AS rej FROM g)
+    SELECT stream_id, start_ms, CASE WHEN seen THEN 'observed' WHEN stream_id % 10 = 0 THEN 'not_applicable' WHEN stream_id % 10 = 1 THEN 'failed' WHEN refresh THEN 'not_observed' WHEN stream_id % 2 = 0 THEN 'covered_without_model_refresh' ELSE 'not_sampled_by_policy' END AS state,
+    CASE WHEN seen THEN NULL WHEN stream_id % 10 = 0 THEN 'no_track' WHEN stream_id % 10 = 1 THEN 'task_failed' WHEN refresh AND rej THEN 'data_plane_retention_rejected' WHEN refresh THEN 'selected_without_observation' WHEN stream_id % 2 = 0 THEN 'semantic_coverage' END AS reason_code FROM x""")
+def t8_t9_coverage(spark, d):
+    obs = view(spark, d, "obs")
+    s = F.col("stream_id")
+    out = t.coverage(_grid(spark, d), obs, obs.where("modality = 'click'"), obs.where("modality = 'error'"), "view", s % 10 != 0, s % 10 == 1, s % 2 == 0, "not_sampled_by_policy", HOUR)
+    return out.select("stream_id", "start_ms", "state", "reason_code")
+
+
+@query(f"WITH {GRID} SELECT g.stream_id, g.start_ms, g.end_ms, 2 AS state_revision, count(*) AS results FROM g JOIN obs o ON o.stream_id = g.stream_id AND o.modality = 'error' AND o.start_ms < g.end_ms AND o.end_ms > g.start_ms GROUP BY ALL")
+def t11_coverage_advance(spark, d):
+    tasks = _shifted(view(spark, d, "obs").where("modality = 'error'"), stream_id="stream_id", other_start_ms="start_ms", other_end_ms="end_ms")
+    return t.advanced(_grid(spark, d).withColumn("state_revision", F.lit(1)), tasks, HOUR)
+
+
+@query("""WITH m AS (SELECT unit_id, revision, stream_id, start_ms, end_ms FROM material QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY revision DESC) = 1), r AS (SELECT stream_id, start_ms // 1000 AS s, start_ms // 1000 + 2500 AS e, event_id % 3 > 0 AS observed FROM (SELECT *, observation_id AS event_id FROM obs) WHERE modality = 'view')
+    SELECT unit_id, revision + 1 AS revision, count(*) AS results, CASE WHEN bool_or(observed) THEN 'enriched' ELSE 'no_observations' END AS status FROM m JOIN r ON r.stream_id = m.stream_id AND s < end_ms AND e > start_ms GROUP BY ALL""")
+def t12_j10_late_enrichment(spark, d):
+    from ..operators.materials import latest_revision
+
+    late = view(spark, d, "obs").where("modality = 'view'").selectExpr("stream_id", "start_ms div 1000 AS start_ms", "start_ms div 1000 + 2500 AS end_ms", "modality", "observation_id % 3 > 0 AS observed")
+    return t.enriched(latest_revision(view(spark, d, "material")), late, 10_000)
+
+
+@query("""WITH x AS (SELECT stream_id, pts_ms AS start_ms, coalesce(lead(pts_ms) OVER w, 2592000000) - pts_ms AS gap_ms, coalesce(lead(pts_ms * 2) OVER w - pts_ms * 2, -1) AS pts_jump_ms, CASE WHEN lead(pts_ms) OVER w IS NULL THEN 'stream_gap_at_window_end' ELSE 'recovered' END AS reason
+    FROM point WINDOW w AS (PARTITION BY stream_id ORDER BY pts_ms, decode_index)) SELECT * FROM x WHERE gap_ms >= 36000000""")
+def t14_a19_stalls(spark, d):
+    progress = view(spark, d, "point").selectExpr("stream_id", "pts_ms AS at_ms", "pts_ms * 2 AS pts_ms", "decode_index AS event_id")
+    return t.stalls(progress, 36_000_000, 2_592_000_000)
+
+
+@query("""WITH x AS (SELECT stream_id, decode_index, CASE WHEN luma >= 64 THEN 'saturated' WHEN 2 * luma >= 64 THEN 'degraded' ELSE 'ok' END AS level FROM point), y AS (SELECT *, coalesce(level <> lag(level) OVER (PARTITION BY stream_id ORDER BY decode_index), true) AS i FROM x)
+    SELECT stream_id, count_if(i AND level = 'degraded') AS degraded, count_if(i AND level = 'saturated') AS saturated FROM y GROUP BY 1""")
+def t15_w11_pressure(spark, d):
+    series = view(spark, d, "point").select("stream_id", F.col("decode_index").alias("event_id"), t.pressure_level(F.col("luma"), F.lit(64)).alias("level"))
+    return t.level_entries(series)
+
+
+@query("SELECT decode_index, greatest(luma * 100, least(luma * 400, 10000)) AS throttle_ms FROM point")
+def scalar_throttle(spark, d):
+    return view(spark, d, "point").select("decode_index", t.throttle_ms(F.col("luma") * 100).alias("throttle_ms"))
+
+
+@query("""WITH x AS (SELECT stream_id, decode_index, CASE WHEN decode_index % 3 = 0 THEN NULL ELSE 40 END AS dur, lead(pts_ms) OVER (PARTITION BY stream_id ORDER BY decode_index) - pts_ms AS delta FROM point)
+    SELECT decode_index, CASE WHEN dur IS NOT NULL THEN NULL WHEN delta IS NULL THEN 'duration_unavailable' WHEN delta <= 0 THEN 'duration_delta_nonpositive' WHEN delta > 5000 THEN 'duration_delta_out_of_range' END AS reason_code, coalesce(dur IS NULL AND delta > 0 AND delta <= 5000, false) AS derived FROM x""")
+def t37_derived_durations(spark, d):
+    samples = view(spark, d, "point").withColumn("duration_ms", F.expr("CASE WHEN decode_index % 3 = 0 THEN NULL ELSE 40 END"))
+    return t.derived_durations(samples).select("decode_index", "reason_code", F.coalesce("derived", F.lit(False)).alias("derived"))
+
+
+@query("""WITH x AS (SELECT stream_id, count(*) AS frames, CASE WHEN max(pts_ms) > min(pts_ms) THEN (count(*) - 1) * 1000 / (max(pts_ms) - min(pts_ms)) END AS rate FROM point GROUP BY 1)
+    SELECT stream_id, frames, CASE WHEN rate IS NULL THEN 'unknown' WHEN abs(rate - 0.00003) <= 0.05 THEN 'constant' ELSE 'variable' END AS mode FROM x""")
+def a24_frame_rate_mode(spark, d):
+    return t.frame_rate_mode(view(spark, d, "point"), 0.00003).select("stream_id", "frames", "mode")
+
+
+@query("""WITH x AS (SELECT stream_id, decode_index, CASE WHEN decode_index % 5 > 0 THEN luma END AS l FROM point), y AS (SELECT *, last_value(l IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY decode_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM x)
+    SELECT decode_index, coalesce(abs(l - b), 0) AS delta FROM y""")
+def w7_signature_delta(spark, d):
+    frames = view(spark, d, "point").withColumn("frame_index", F.col("decode_index")).withColumn("signature", F.expr("CASE WHEN decode_index % 5 > 0 THEN array(luma, luma) END"))
+    return t.signature_delta(frames).select("decode_index", "delta")
+
+
+@query("SELECT stream_id, count(*) AS samples, min(pts_ms) AS first_pts, count_if(overlap) AS overlapping FROM (SELECT stream_id, pts_ms, pts_ms < lag(pts_ms + 600000) OVER (PARTITION BY stream_id ORDER BY decode_index) AS overlap FROM point) GROUP BY 1")
+def a32_track_statistics(spark, d):
+    from pyspark.sql import Window
+
+    before = F.lag(F.col("pts_ms") + 600_000).over(Window.partitionBy("stream_id").orderBy("decode_index"))
+    return view(spark, d, "point").withColumn("overlap", F.col("pts_ms") < before).groupBy("stream_id").agg(F.count("*").alias("samples"), F.min("pts_ms").alias("first_pts"), F.count_if("overlap").alias("overlapping"))
+
+
+@query("SELECT modality, quality_state, count(*) AS n, count_if(confidence IS NULL) AS unknown FROM obs GROUP BY ALL")
+def a2_report_counters(spark, d):
+    return view(spark, d, "obs").groupBy("modality", "quality_state").agg(F.count("*").alias("n"), F.count_if(F.col("confidence").isNull()).alias("unknown"))
+
+
+def _frames(spark, d):
+    return view(spark, d, "point").select("stream_id", F.col("decode_index").alias("frame_index"), "pts_ms", F.array(*["luma"] * 4).alias("signature"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT stream_id, decode_index, pts_ms, luma, row_number() OVER (PARTITION BY stream_id ORDER BY decode_index) AS n FROM point),
+    r AS (SELECT stream_id, decode_index, n, pts_ms AS kept, luma AS sig, true AS keep, 'first_frame' AS reason FROM f WHERE n = 1
+    UNION ALL SELECT f.stream_id, f.decode_index, f.n, CASE WHEN f.pts_ms - kept >= 7200000 AND (abs(f.luma - sig) >= 30 OR f.pts_ms - kept >= 28800000) THEN f.pts_ms ELSE kept END, CASE WHEN f.pts_ms - kept >= 7200000 AND (abs(f.luma - sig) >= 30 OR f.pts_ms - kept >= 28800000) THEN f.luma ELSE sig END,
+        f.pts_ms - kept >= 7200000 AND (abs(f.luma - sig) >= 30 OR f.pts_ms - kept >= 28800000), CASE WHEN f.pts_ms - kept < 7200000 THEN 'rate_limited' WHEN abs(f.luma - sig) >= 30 THEN 'content_change' WHEN f.pts_ms - kept >= 28800000 THEN 'static_heartbeat' ELSE 'no_change_yet' END
+        FROM r JOIN f ON f.stream_id = r.stream_id AND f.n = r.n + 1) SELECT stream_id, decode_index AS frame_index, keep, reason FROM r""")
+def t1_w8_sampler(spark, d):
+    return k.sample(_frames(spark, d), min_interval=2 * HOUR, static_hold=8 * HOUR, threshold=30).select("stream_id", "frame_index", "keep", "reason")
+
+
+@query()
+def t2_t33_evidence(spark, d):
+    frames = _frames(spark, d).join(k.sample(_frames(spark, d), min_interval=2 * HOUR, static_hold=8 * HOUR, threshold=30).select("stream_id", "frame_index", F.col("keep").alias("sampler_keeps")), ["stream_id", "frame_index"])
+    return k.select_evidence(frames, gap=6 * HOUR, threshold=60, event_interval=HOUR)
+
+
+@query()
+def a18_evidence_histogram(spark, d):
+    return t.counted_decisions(k.select_evidence(_frames(spark, d), gap=6 * HOUR, threshold=60, event_interval=HOUR), "selection")
+
+
+@query("""WITH RECURSIVE c AS (SELECT stream_id, pts_ms, row_number() OVER (PARTITION BY stream_id ORDER BY pts_ms, decode_index) AS n FROM point) SELECT stream_id, count(*) * 4000 AS n_bytes FROM c GROUP BY 1""")
+def t4_t31_segments(spark, d):
+    chunks = view(spark, d, "point").selectExpr("stream_id", "pts_ms", "10 AS duration_ms", "100000 AS sample_rate", "1 AS channels", "'F32LE' AS sample_format", "4000 AS n_bytes")
+    return k.segment_audio(chunks, segment_ms=200).groupBy("stream_id").agg(F.sum("n_bytes").alias("n_bytes"))
+
+
+@query()
+def t16_t17_retention(spark, d):
+    events = view(spark, d, "point").selectExpr("stream_id", "decode_index AS event_id", "CASE WHEN luma % 3 = 0 THEN 'release' ELSE 'offer' END AS action", "luma AS buffer_id", "CASE WHEN luma % 2 = 0 THEN 'audio' ELSE 'video' END AS kind", "luma * 10 AS n_bytes")
+    return k.retain(events, limit=16, arena_bytes=8000)
