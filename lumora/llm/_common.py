@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +41,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ascii_lower(text: str | Column) -> Column:
     """A-Z to a-z and nothing else; a null text is empty."""
     return F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_LOWER)
+
+
+def split_id(*columns: str) -> list[Column]:
+    """For Python: the id without nulls, which pandas would turn into floating point, and a mark for them, then the columns."""
+    return [F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("id_null"), *map(F.col, columns)]
+
+
+def ids_of(batch: pd.DataFrame) -> list[int | None]:
+    return [None if null else i for i, null in zip(batch["doc_id"].tolist(), batch["id_null"].tolist())]
+
+
+def rows_frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows as a batch of that schema, whose first column is the doc_id; longs may be null."""
+    names = [c.split() for c in schema.split(", ")]
+    return pd.DataFrame({n: pd.array([r[k] for r in rows], "Int64") if kind == "long" else [r[k] for r in rows] for k, (n, kind) in enumerate(names)})

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import documents, ids_of, rows_frame, split_id
 
 Q = 8
 EDIT_RATE = 0.08
@@ -199,7 +199,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Pat
     for k in range(n):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()
         if rows:
-            yield Patterns(sorted((r["item_id"], r["text"]) for r in rows if r["text"] is not None))
+            yield Patterns(sorted(((r["item_id"], r["text"]) for r in rows if r["text"] is not None), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -208,11 +208,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def against(pats: Patterns) -> DataFrame:
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                ids = batch["doc_id"].tolist()
-                found = regions(batch["text"].tolist(), pats)
-                yield pd.DataFrame([(ids[f[0]], *f[1:]) for f in found], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                ids = ids_of(batch)
+                yield rows_frame([(ids[f[0]], *f[1:]) for f in regions(batch["text"].tolist(), pats)], SCHEMA)
 
-        return docs.select("doc_id", "text").mapInPandas(scan, SCHEMA)
+        return docs.select(split_id("text")).mapInPandas(scan, SCHEMA)
 
     parts = [against(p) for p in blocks(benchmark)]
     return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], SCHEMA)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import documents
+from ._common import documents, ids_of, rows_frame, split_id
 from ._tokens import END_ID, shared_words, tokenizer_path
 
 SEQUENCE = 2048
@@ -127,17 +127,15 @@ def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFra
         enders = np.unique(np.frombuffer(b"".join(words.encode([".", "!", "?", "a.", "...", "!!", "??", "!!!"])), "<u4"))
         enders = np.setdiff1d(enders, np.frombuffer(words.encode(["a"])[0], "<u4"))
         packer, end, rows = Packer(enders, TaskContext.get().partitionId() << 32, most=sequence), np.array([END_ID], "<u4").tobytes(), []
-        columns = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
-            nulls, ids, texts = batch["doc_id"].isna().tolist(), batch["doc_id"].tolist(), batch["text"].tolist()
-            for null, doc_id, tokens in zip(nulls, ids, words.encode(texts)):
-                rows += packer.add(None if null else int(doc_id), tokens + end)
+            for doc_id, tokens in zip(ids_of(batch), words.encode(batch["text"].tolist())):
+                rows += packer.add(doc_id, tokens + end)
             if rows:
-                yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+                yield rows_frame(rows, SCHEMA)
                 rows = []
-        yield pd.DataFrame(packer.pack(True), columns=columns).astype({"doc_id": "Int64"})
+        yield rows_frame(packer.pack(True), SCHEMA)
 
-    return docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(pack, SCHEMA)
+    return docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select(split_id("text")).mapInPandas(pack, SCHEMA)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

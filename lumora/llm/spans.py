@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, written
+from ._common import documents, split_id, written
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -82,15 +82,17 @@ def span_table(docs: DataFrame) -> DataFrame:
             n = np.array([len(f) for f in found], np.int64)
             flat = [x for f in found for x in f]
             rows = np.repeat(np.arange(len(n)), n)
+            ids = pd.array(batch["doc_id"].to_numpy()[rows], "Int64")
+            ids[batch["id_null"].to_numpy()[rows]] = pd.NA
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64").to_numpy()[rows] if batch["doc_id"].isna().any() else batch["doc_id"].to_numpy()[rows],
+                "doc_id": ids,
                 "text_hash": batch["text_hash"].to_numpy()[rows],
                 "span": np.array([x[0] for x in flat], np.uint64).view(np.int64),
                 "first": np.array([x[1] for x in flat], np.int32),
                 "length": np.array([x[2] for x in flat], np.int32),
             })
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(each, "doc_id long, text_hash long, span long, first int, length int")
+    return docs.select(*split_id("text"), F.xxhash64("text").alias("text_hash")).mapInPandas(each, "doc_id long, text_hash long, span long, first int, length int")
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, fresh_path, written
+from ._common import documents, fresh_path, ids_of, rows_frame, split_id, written
 from ._tokens import END_ID, shared_words, tokenizer_path
 
 MAGIC = b"LUMSST01"
@@ -44,7 +44,7 @@ BITS_PER_KEY = 10
 PROBES = 7
 FOOTER = struct.Struct("<QQQQQQI8s")
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
-BATCH_CHARS = 4 << 20
+ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -193,19 +193,18 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_bytes: int =
         words, part, seq, out, rows = shared_words(tokenizer), TaskContext.get().partitionId(), 0, None, []
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            nulls, ids, texts = batch["doc_id"].isna().tolist(), batch["doc_id"].tolist(), batch["text"].tolist()
-            for null, doc_id, tokens in zip(nulls, ids, words.encode(texts)):
+            for doc_id, tokens in zip(ids_of(batch), words.encode(batch["text"].tolist())):
                 if out is not None and out.size + out.in_block >= shard_bytes:
                     rows.append((part, seq, *out.close()))
                     out, seq = None, seq + 1
                 if out is None:
                     out = Writer(f"{path}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.sst")
-                out.add(key_of(None if null else doc_id), np.frombuffer(tokens + end, "<u4"))
+                out.add(key_of(doc_id), np.frombuffer(tokens + end, "<u4"))
         if out is not None:
             rows.append((part, seq, *out.close()))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select(split_id("text"))
     return written(ranged.mapInPandas(write, MANIFEST), "sstable-manifest")
 
 
@@ -222,11 +221,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 for key, ids in Reader(path):
                     rows.append((id_of(key), start, len(ids), zlib.crc32(ids.tobytes())))
                     start += len(ids)
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-                yield out.astype({"doc_id": "Int64"})
+                yield rows_frame(rows, ROWS)
 
     n = max(1, min(manifest.count(), 10_000))
-    return placed.repartition(n, "path").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(n, "path").mapInPandas(read, ROWS)
 
 
 def lookup(manifest: DataFrame, wanted: list[int]) -> DataFrame:
