@@ -35,6 +35,7 @@ MIN_TOKEN = 20
 MIN_RATIO = 15.0
 MIN_RATE = 0.6
 SAMPLE_DOCS = 1000
+SAMPLE_CHARS = 4000  # of a sampled document; scanning always covers whole texts
 
 # Ordinary identifiers.
 IDENTIFIERS = """getUserName set_value max_connections is_enabled HTTPServer2 parse_json_v2 index_of_first utf8_decode base64_encode
@@ -112,9 +113,12 @@ def all_spans(text: str | None, ratio: np.ndarray) -> tuple[list, list]:
     return base, sorted(base + markov_spans(text or "", ratio, base), key=lambda x: (x[0], KINDS[x[1]]))
 
 
-def trained_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    rows = docs.select("doc_id", F.substring("text", 1, 4000).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).collect()
-    return trained_ratio(r["text"] for r in rows)
+def trained_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> np.ndarray:
+    """The ratio from a bounded sample: the highest sampled hash is found from ids alone, then only sampled rows leave the executors."""
+    of = docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, sample_chars).alias("text"))
+    last = of.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    rows = [] if last is None else of.where(F.col("h") <= last).select("text").limit(sample_docs).collect()
+    return trained_ratio(sorted(r["text"] or "" for r in rows))
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
