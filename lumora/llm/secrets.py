@@ -2,8 +2,9 @@
 
 Both models are first-order over letters, digits and a few marks, with add-one counts. The labelled samples are
 random strings (drawn by a seeded generator from the usual alphabets of keys) and ordinary identifiers: the words
-of at most SAMPLE_DOCS documents, those with the lowest hash of their id, joined as code would join them, plus a
-fixed list. A token of MIN_TOKEN or more characters that holds letters and digits is a span if random is likelier
+of the whole texts of the documents with the SAMPLE_DOCS lowest hashes of their ids, joined as code would join them,
+plus a fixed list. The transitions of that sample are counted on the executors; the driver gets their sums alone, a
+row for each pair of characters at most. A token of MIN_TOKEN or more characters that holds letters and digits is a span if random is likelier
 by MIN_RATIO nats in all and MIN_RATE a character. Spans that touch one found by a pattern are not repeated.
 
 Edge cases: null and empty texts have no spans; texts are scanned whole; repeated rows are alike; with no
@@ -15,7 +16,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterable
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,8 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
 MIN_TOKEN = 20
 MIN_RATIO = 15.0
 MIN_RATE = 0.6
-SAMPLE_DOCS = 1000
-SAMPLE_CHARS = 4000  # of a sampled document; scanning always covers whole texts
+SAMPLE_DOCS = 1000  # bounds the training sample of the identifier model; scanning covers all documents
+CHARACTERS = 65  # letters, digits, two marks, and all others as one
 
 # Ordinary identifiers.
 IDENTIFIERS = """getUserName set_value max_connections is_enabled HTTPServer2 parse_json_v2 index_of_first utf8_decode base64_encode
@@ -50,14 +52,19 @@ for _i, _c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
     _CLASS[ord(_c)] = _i
 
 
-def _chain(strings: Iterable[str]) -> np.ndarray:
-    """Log transition probabilities; row 65 is the start."""
-    counts = np.ones((66, 65))
+def transitions(strings: Iterable[str]) -> np.ndarray:
+    """Counts of character pairs; the last row is the start."""
+    counts = np.zeros((CHARACTERS + 1, CHARACTERS), np.int64)
     raw = np.frombuffer("\n".join(["", *strings, ""]).encode("ascii", "replace"), np.uint8)
-    c = np.where(raw == 10, 65, _CLASS[raw & 127])
-    real = c[1:] < 65
+    c = np.where(raw == 10, CHARACTERS, _CLASS[raw & 127])
+    real = c[1:] < CHARACTERS
     np.add.at(counts, (c[:-1][real], c[1:][real]), 1)
-    return np.log(counts / counts.sum(1, keepdims=True))
+    return counts
+
+
+def log_chain(counts: np.ndarray) -> np.ndarray:
+    """Log transition probabilities of add-one counts."""
+    return np.log((counts + 1) / (counts + 1).sum(1, keepdims=True))
 
 
 def random_samples(n: int = 4000, seed: int = 7) -> list[str]:
@@ -65,12 +72,13 @@ def random_samples(n: int = 4000, seed: int = 7) -> list[str]:
     return ["".join(rng.choices(ALPHABETS[k % len(ALPHABETS)], k=rng.randint(16, 48))) for k in range(n)]
 
 
-def identifier_samples(texts: Iterable[str | None], seed: int = 7) -> list[str]:
-    """Words and joined words of the texts, as code would write them, without what the patterns find."""
-    rng, out = random.Random(seed), list(IDENTIFIERS) * 20
+def identifier_samples(texts: Iterable[str | None]) -> list[str]:
+    """Words and joined words of the whole texts, as code would write them; what is drawn from a text depends on that text alone."""
+    out: list[str] = []
     for text in texts:
-        words = [w for w in re.findall(r"[A-Za-z]{2,}", text or "")][:400]
+        words = re.findall(r"[A-Za-z]{2,}", text or "")
         out += words
+        rng = random.Random(zlib.crc32((text or "").encode()))
         for _ in range(len(words) // 12):
             part = rng.choices(words, k=rng.randint(2, 4))
             style, tail = rng.randrange(4), rng.choice(["", "", str(rng.randint(0, 99)), f"v{rng.randint(1, 9)}", f"_{rng.randint(1, 2030)}"])
@@ -78,9 +86,13 @@ def identifier_samples(texts: Iterable[str | None], seed: int = 7) -> list[str]:
     return out
 
 
+def ratio_of(identifiers: np.ndarray) -> np.ndarray:
+    """log P(random) - log P(identifier) of each transition, from the counts of identifiers in a sample."""
+    return log_chain(transitions(random_samples())) - log_chain(identifiers + transitions(IDENTIFIERS * 20))
+
+
 def trained_ratio(texts: Iterable[str | None]) -> np.ndarray:
-    """log P(random) - log P(identifier) of each transition."""
-    return _chain(random_samples()) - _chain(identifier_samples(texts))
+    return ratio_of(transitions(identifier_samples(texts)))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -113,12 +125,23 @@ def all_spans(text: str | None, ratio: np.ndarray) -> tuple[list, list]:
     return base, sorted(base + markov_spans(text or "", ratio, base), key=lambda x: (x[0], KINDS[x[1]]))
 
 
-def trained_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> np.ndarray:
-    """The ratio from a bounded sample: the highest sampled hash is found from ids alone, then only sampled rows leave the executors."""
-    of = docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, sample_chars).alias("text"))
-    last = of.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    rows = [] if last is None else of.where(F.col("h") <= last).select("text").limit(sample_docs).collect()
-    return trained_ratio(sorted(r["text"] or "" for r in rows))
+def trained_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
+    """The ratio from a bounded sample of documents: its last hash is found from ids alone, then pairs are counted where the rows are."""
+    hashed = F.xxhash64("doc_id")
+    last = docs.select(hashed.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    counts = np.zeros((CHARACTERS + 1, CHARACTERS), np.int64)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = transitions(identifier_samples(batch["text"])).ravel()
+            cell = np.flatnonzero(found)
+            yield pd.DataFrame({"cell": cell, "n": found[cell]})
+
+    if last is not None:
+        sums = docs.where(hashed <= last).select("text").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        for r in sums.collect():  # at most one row for each pair of characters
+            counts.flat[r["cell"]] = r["n"]
+    return ratio_of(counts)
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
