@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import decontam, packing, secrets, simhash, toxicity
+from lumora.llm import decontam, nearcopies, packing, secrets, toxicity
 from lumora.llm._common import documents, written
 from lumora.llm._tokens import tokenizer_path
 
-#: Near copies here: fingerprints of five-word shingles that agree in nine tenths of their bits or more.
-NEAR_BITS = 6
+#: Near copies here: five-word shingle sets with this Jaccard similarity or more, found by fingerprints within so many bits.
+NEAR_BITS = 14
 NEAR_WORDS = 5
+NEAR_SIMILARITY = 0.8
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs, NEAR_BITS, NEAR_WORDS)
+    return nearcopies.deduplicated(docs, NEAR_BITS, NEAR_WORDS, NEAR_SIMILARITY)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

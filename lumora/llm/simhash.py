@@ -38,24 +38,34 @@ CHUNK = 400_000
 LEAF_PAIRS = 16
 
 
-def fingerprint(text: str | None, words_per_shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit fingerprint of the whole text."""
+def shingle_hashes(text: str | None, words_per_shingle: int = SHINGLE) -> np.ndarray:
+    """Hash of each shingle of the whole text; a text shorter than a shingle is one, a text without words has none."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - words_per_shingle + 1)
     ends = np.fromiter(map(len, words), np.int64, len(words)).cumsum() + np.arange(len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint of shingle hashes; zero if there are none."""
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
         counts += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > n).view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words_per_shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit fingerprint of the whole text."""
+    return folded(shingle_hashes(text, words_per_shingle))
+
+
 def fingerprint_column(text: str = "text", words_per_shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed long."""
 
