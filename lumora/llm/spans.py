@@ -2,9 +2,10 @@
 
 A text is cut into sentences (a full stop, question or exclamation mark before white space, or a line end). A
 sentence of LONG_WORDS or more is cut further after words whose hash says so, so that the same words are cut at the
-same places wherever they stand. From each sentence on, the shortest run of MIN_SENTENCES or more with MIN_WORDS or
-more is hashed, over lower-case words. A run's first place is the least (doc_id, sentence); every sentence that
-any other run with that hash covers is removed.
+same places wherever they stand; where no word says so for WINDOW words, the cut is after the one of least hash, the
+last of equals. From each sentence on, and back from each, the shortest run of MIN_SENTENCES or more with MIN_WORDS or
+more is hashed, over lower-case words; a text too short for a run of that many words is one run if it has MIN_WORDS.
+A run's first place is the least (doc_id, sentence); every sentence that any other run with that hash covers is removed.
 
 The hashes of repeated runs are found by a map-side combined count, written, and joined back to the runs; first
 places are sought among the repeated ones only. Both sides of each join are shuffled as they are, so a run that very
@@ -33,6 +34,7 @@ MIN_SENTENCES = 2
 MIN_WORDS = 20
 LONG_WORDS = 24
 ANCHOR = 8
+WINDOW = 24
 
 SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)", re.S)
 WORD = re.compile(r"\S+")
@@ -52,12 +54,17 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
             part, first = [], at
             for m in WORD.finditer(text, at, end):
                 w = m.group().lower()
-                part.append(w)
-                if crc32(w.encode()) % ANCHOR == 0:
-                    out.append((first, m.end(), part))
-                    part, first = [], m.end()
+                part.append((w, m.end(), crc32(w.encode())))
+                if part[-1][2] % ANCHOR == 0:
+                    cut = len(part)
+                elif len(part) == WINDOW:
+                    cut = min(range(1, WINDOW + 1), key=lambda k: (part[k - 1][2], -k))
+                else:
+                    continue
+                out.append((first, part[cut - 1][1], [x for x, _, _ in part[:cut]]))
+                first, part = part[cut - 1][1], part[cut:]
             if part:
-                out.append((first, end, part))
+                out.append((first, end, [x for x, _, _ in part]))
         elif words:
             out.append((at, end, words))
         at = end
@@ -69,8 +76,14 @@ def runs(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int =
     parts = sentences(text or "")
     units = [" ".join(w) for _, _, w in parts]
     counts = np.cumsum([0, *(len(w) for _, _, w in parts)])
-    ends = np.maximum(np.searchsorted(counts, counts[:-1] + min_words), np.arange(len(units)) + min_sentences).tolist()
-    return [(xxhash.xxh3_64_intdigest(" ".join(units[i:e])), i, e - i) for i, e in enumerate(ends) if e <= len(units)]
+    n = len(units)
+    places = np.arange(n)
+    ends = np.maximum(np.searchsorted(counts, counts[:-1] + min_words), places + min_sentences).tolist()
+    starts = np.minimum(np.searchsorted(counts, counts[1:] - min_words, "right") - 1, places + 1 - min_sentences).tolist()
+    found = {(i, e) for i, e in enumerate(ends) if e <= n} | {(s, i + 1) for i, s in enumerate(starts) if s >= 0}
+    if not found and counts[-1] >= min_words:
+        found = {(0, n)}
+    return [(xxhash.xxh3_64_intdigest(" ".join(units[i:e])), i, e - i) for i, e in sorted(found)]
 
 
 def span_table(docs: DataFrame) -> DataFrame:

@@ -133,6 +133,31 @@ def test_spans_without_punctuation(spark):
     assert got[1]["n_removed"] == 0 and got[3]["n_removed"] == 0 and got[2]["removed_chars"] > 0.6 * len(words)
 
 
+def plain_covered(text):
+    """Sentences that any run of two or more sentences and 20 words or more covers, of every length."""
+    counts = [len(w) for _, _, w in spans.sentences(text)]
+    n = len(counts)
+    return {k for i in range(n) for e in range(i + 2, n + 1) if sum(counts[i:e]) >= 20 for k in range(i, e)}
+
+
+@pytest.mark.parametrize("sizes", [(10, 10, 3), (10, 10, 10, 3), (12, 9, 2, 1), (3, 2, 4, 15, 1), (23, 1), (5, 5, 9)])
+def test_runs_reach_the_last_sentence(sizes):
+    text = " ".join(" ".join(f"w{k}x{i}" for i in range(n)) + "." for k, n in enumerate(sizes))
+    got = {k for _, first, n in spans.runs(text) for k in range(first, first + n)}
+    assert got == plain_covered(text)
+
+
+def test_spans_without_anchor_words(spark):
+    word = [w for w in (f"q{k}" for k in range(400)) if zlib.crc32(w.encode()) % spans.ANCHOR][:40]
+    few = " ".join(word[k * k % 7] for k in range(160))
+    many = " ".join(word[(k * k + k // 3) % 40] for k in range(128))
+    assert all(len(w) <= spans.WINDOW for t in (few, many) for _, _, w in spans.sentences(t))
+    one = " ".join(word[:22])
+    df = spark.createDataFrame([(1, few), (2, few), (3, many), (4, many), (5, one), (6, one)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(spans.deduplicated(df))}
+    assert got[2]["text"] == "" and got[4]["text"] == "" and got[6]["text"] == ""
+
+
 # 5
 
 
