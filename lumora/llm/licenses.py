@@ -1,7 +1,7 @@
 """Licence detection by a positional rare-token index (DataFrame functions only).
 
 Each template is a short word sequence with its words' positions. A word's IDF is its inverse document
-frequency over all documents. Of a text's template words the rarest few are looked up: every occurrence at
+frequency over all documents. Of a text's template words the rarest few, and the rarest few of each template, are looked up: every occurrence at
 word i of a posting (template, position p) votes for the template starting at word i - p. Starts with enough
 IDF weight are kept if the template's mandatory key phrase stands word for word at its relative position.
 
@@ -39,6 +39,7 @@ TEMPLATES = [
 ]
 
 RARE_WORDS = 12
+TEMPLATE_WORDS = 4  # of each template, so that one which stands word for word always has postings
 MIN_WEIGHT = 0.5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -89,7 +90,9 @@ def _verified(scan: DataFrame, weights: dict[str, float]) -> DataFrame:
             postings.setdefault(w, []).append((t, p))
     lists = [{"w": w, "at": [{"t": t, "p": p, "v": weights[w]} for t, p in ps]} for w, ps in postings.items()]
     entries = F.from_json(F.lit(json.dumps(lists)), "array<struct<w:string,at:array<struct<t:int,p:int,v:double>>>>")
-    scan = scan.withColumn("rare", F.slice(F.array_intersect(ranked, "cand"), 1, RARE_WORDS))  # keeps the order by IDF
+    always = sorted({w for _, body, _ in TEMPLATES for w in sorted(set(body.split()), key=lambda w: (-weights[w], w))[:TEMPLATE_WORDS]})
+    present = F.array_intersect(ranked, "cand")  # keeps the order by IDF
+    scan = scan.withColumn("rare", F.array_union(F.slice(present, 1, RARE_WORDS), F.array_intersect(present, F.array(*map(F.lit, always)))))
     scan = scan.withColumn("lists", F.filter(entries, lambda e: F.array_contains("rare", e["w"])))
     scan = scan.withColumn("hits", F.filter(F.transform("cand", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("rare", x["w"])))
     vote = lambda h, p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("at"), p["v"].alias("v"))

@@ -349,6 +349,14 @@ def plain_licenses(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def test_license_notice_with_many_template_words(spark):
+    bodies = [next(t for label, t, _ in licenses.TEMPLATES if label == "bsd"), licenses.TEMPLATES[1][1], "licensed under cc by nc 4 0"]
+    common = [(k, "0 4 nc by cc under licensed") for k in range(1, 31)]  # makes the last template's words the least rare
+    df = spark.createDataFrame([(0, ". ".join(bodies)), *common], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in rows(licenses.license_scan(df))}
+    assert got[0] == "bsd,cc-by-nc,mit" and got[1] == ""
+
+
 def test_license_scan(spark, odd):
     extra = [(100, "x MIT license, mit-License ü Apache LICENSE"), (101, "General\nPublic  License; " * 3), (102, "Licensed under CC BY-NC 4.0."), (103, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"), (104, "license permission copyright free charge hereby granted"), (105, "mit the license")]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
