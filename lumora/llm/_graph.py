@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import discard, written
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Each round takes the least label over the edges and then the label of that label, so paths shorten by
     half at least. Both joins read written tables, so that a hub's rows can be split at run time. Rounds end
-    when no label changes. Nodes without edges are not listed.
+    when no label changes. Nodes without edges are not listed. Tables of earlier rounds are deleted.
     """
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
@@ -25,6 +25,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = written(told.union(own).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was")), f"{name}-least")
         up = least.select(F.col("node").alias("label"), F.col("label").alias("higher"))
         jumped = written(least.join(up, "label").select("node", F.col("higher").alias("label"), "was"), f"{name}-labels")
-        labels = jumped.select("node", "label")
+        discard(labels, least)
+        labels = jumped
         if jumped.where("label <> was").isEmpty():
-            return labels
+            discard(edges)
+            return labels.select("node", "label")

@@ -1,23 +1,26 @@
-"""SimHash near-duplicates by a self-join of the binary trie of fingerprints.
+"""SimHash near-duplicates by a self-join of binary tries of fingerprints.
 
 A fingerprint has a bit set where over half of the text's shingle hashes have it. Equal fingerprints are merged
-first, so copies cost one row. The distinct fingerprints form a binary trie; pairs of its nodes are walked down
-together, differing bits are added up, and a pair is dropped as soon as they exceed the budget. The trie is cut
-at nodes of bounded size, every pair of cut nodes within the budget is one unit of work, and a cut node that is
-still too large is dealt into blocks, each pair of which is a unit: no link is lost and no unit grows without
-bound. A unit keeps a union-find and returns a forest, never all pairs; node pairs that are already in one
-component are dropped too, and the walk is done for budgets of 1, 2 and the whole, so that dense groups close
-early. Components then come from joins over the forests.
-
-Edge cases: null texts and texts without words have the fingerprint zero and are linked like any other; rows
-with one doc_id and one text count as copies; a null doc_id never names a component that has another; an empty
-table gives no rows.
+first, so copies cost one row. Two fingerprints within the budget of b bits agree on m - b of any m blocks of their 64
+bits at least: each fingerprint goes to the C(m, b) buckets of its values on m - b blocks, so that all links are inside
+buckets, and m is the least for which a bucket has BUCKET_ROWS rows on average or fewer (5 copies up to 4 million
+distinct fingerprints, 15 up to 2 thousand million). A bucket's fingerprints form a binary trie that is joined with
+itself: pairs of its nodes are walked down together, differing bits are added up, and a pair is dropped as soon as
+they exceed the budget.
+
+A bucket that is too large for a unit of work is dealt into blocks. First each block is joined with itself; then the
+rows outside the bucket's largest component meet every block. What a unit gives is a spanning forest of its links,
+never all pairs, nearest first, so dense groups close early; components then come from joins over the forests.
+
+Edge cases: null texts and texts without words have the fingerprint zero and are linked like any other; texts are
+read whole, however long; rows with one doc_id and one text count as copies; a null doc_id never names a component
+that has another; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -25,17 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, written
+from . import _tries
+from ._common import discard, documents, written
 from ._graph import components
 
 BITS = 4
 SHINGLE = 4
 SEED = 42
-CUT_DEPTH = 16  # the sizes of trie nodes are counted to this depth: 65,536 at most
-PARTS = 64  # a cut node has at most this share of the fingerprints
-NODE_ROWS = 200_000  # and at most this many
-CHUNK = 400_000
-LEAF_PAIRS = 16
+BUCKET_ROWS = 1024
+MOST_COPIES = 100
 
 
 def shingle_hashes(text: str | None, words_per_shingle: int = SHINGLE) -> np.ndarray:
@@ -75,206 +76,49 @@ def fingerprint_column(text: str = "text", words_per_shingle: int = SHINGLE) ->
     return F.pandas_udf(each, "long")(text)
 
 
-class _Forest:
-    """Union-find over local indices with whole-array steps."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-        self.version = 0
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        root = self.root
-        while True:
-            x, y = root[a], root[b]
-            apart = x != y
-            if not apart.any():
-                break
-            self.version += 1
-            np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
-        self.root = root
-
-
-class _Trie:
-    """Levels of the binary trie of a sorted array: where each node starts, its first child and how many it has."""
-
-    def __init__(self, values: np.ndarray, offset: int):
-        self.values, self.offset = values, offset
-        self.starts, self.first, self.two, self.bit, self._same = [np.array([0])], [], [], [], {}
-
-    def level(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the nodes at depth d: index of the first child at d + 1, whether there are two, the first child's bit."""
-        while len(self.first) <= d:
-            k = len(self.first)
-            prefix = self.values >> np.uint64(63 - k)
-            starts = np.concatenate([[0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1])
-            first = np.searchsorted(starts, self.starts[k])
-            self.first.append(first)
-            self.two.append(np.diff(np.append(first, len(starts))) == 2)
-            self.bit.append((prefix[starts[first]] & np.uint64(1)).astype(np.int8))
-            self.starts.append(starts)
-        return self.first[d], self.two[d], self.bit[d]
-
-    def sizes(self, d: int) -> np.ndarray:
-        return np.diff(np.append(self.starts[d], len(self.values)))
-
-    def component(self, d: int, forest: _Forest) -> np.ndarray:
-        """The component of each node at depth d, or -1 if it has several."""
-        version, got = self._same.get(d, (-1, None))
-        if version != forest.version:
-            own = forest.root[self.offset : self.offset + len(self.values)]
-            low, high = np.minimum.reduceat(own, self.starts[d]), np.maximum.reduceat(own, self.starts[d])
-            got = np.where(low == high, low, -1)
-            self._same[d] = (forest.version, got)
-        return got
+def block_masks(n: int, bits: int = BITS) -> list[int]:
+    """Masks of 64 bits; two fingerprints within the budget agree on one of them at least. More and longer ones for larger n."""
+    m = bits + 1
+    while n > BUCKET_ROWS << 64 * (m - bits) // m and comb(m + 1, bits) <= MOST_COPIES:
+        m += 1
+    ends = [64 * k // m for k in range(m + 1)]
+    blocks = [(1 << 64 - a) - (1 << 64 - b) for a, b in zip(ends, ends[1:])]
+    return [sum(kept) for kept in combinations(blocks, m - bits)]
 
 
-def trie_join(left: np.ndarray, right: np.ndarray | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """All values, left then right, and the forest of links at up to so many differing bits; right None: left with itself."""
-    left = np.unique(left)
-    one = _Trie(left, 0)
-    two = one if right is None else _Trie(np.unique(right), len(left))
-    values = left if right is None else np.concatenate([left, two.values])
-    forest = _Forest(len(values))
-    if not len(left) or not len(two.values):
-        return values, forest.root
-    for budget in sorted({min(1, bits), min(2, bits), bits}):
-        zero = np.zeros(1, np.int64)
-        stack = [(0, zero, zero, np.zeros(1, np.int8))]
-        while stack:
-            d, a, b, off = stack.pop()
-            if len(a) > CHUNK:
-                stack += [(d, a[k : k + CHUNK], b[k : k + CHUNK], off[k : k + CHUNK]) for k in range(0, len(a), CHUNK)]
-                continue
-            if forest.version:
-                ca = one.component(d, forest)[a]
-                go = (ca < 0) | (ca != two.component(d, forest)[b])
-                a, b, off = a[go], b[go], off[go]
-            na, nb = one.sizes(d)[a], two.sizes(d)[b]
-            small = (na * nb <= LEAF_PAIRS) | (d == 64)
-            if small.any():
-                x, y, reach = a[small], b[small], na[small] * nb[small]
-                rows = np.repeat(np.arange(len(x)), reach)
-                k = np.arange(len(rows)) - np.repeat(reach.cumsum() - reach, reach)
-                width = nb[small][rows]
-                i, j = one.starts[d][x][rows] + k // width, two.starts[d][y][rows] + k % width
-                near = np.bitwise_count(left[i] ^ two.values[j]) <= budget
-                forest.link(i[near], j[near] + two.offset)
-                a, b, off = a[~small], b[~small], off[~small]
-            if not len(a):
-                continue
-            (fa, ta, ba), (fb, tb, bb) = one.level(d), two.level(d)
-            parts = []
-            for u in (0, 1):
-                for v in (0, 1):
-                    ok = np.ones(len(a), bool)
-                    if u:
-                        ok &= ta[a]
-                    if v:
-                        ok &= tb[b]
-                    if u and not v and right is None:
-                        ok &= a != b
-                    x, y = a[ok], b[ok]
-                    more = off[ok] + ((ba[x] + u) ^ (bb[y] + v))
-                    fits = more <= budget
-                    parts.append((fa[x[fits]] + u, fb[y[fits]] + v, more[fits].astype(np.int8)))
-            stack.append((d + 1, *(np.concatenate(p) for p in zip(*parts))))
-    return values, forest.root
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _cut(counts: dict[int, int], most: int) -> list[tuple[int, int, int]]:
-    """Nodes (depth, prefix, rows) that cover the trie, each of at most so many rows, or at CUT_DEPTH."""
-    levels = [counts]
-    for _ in range(CUT_DEPTH):
-        up: dict[int, int] = {}
-        for p, n in levels[-1].items():
-            up[p >> 1] = up.get(p >> 1, 0) + n
-        levels.append(up)
-    levels.reverse()
-    out, open_nodes = [], [(0, 0)] if counts else []
-    while open_nodes:
-        d, p = open_nodes.pop()
-        n = levels[d].get(p, 0)
-        if n and (n <= most or d == CUT_DEPTH):
-            out.append((d, p, n))
-        elif n:
-            open_nodes += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
-    return sorted(out, key=lambda x: x[1] << (CUT_DEPTH - x[0]))
-
-
-def _within(x: tuple, y: tuple, bits: int) -> bool:
-    d = min(x[0], y[0])
-    return (x[1] >> (x[0] - d) ^ y[1] >> (y[0] - d)).bit_count() <= bits
-
-
-def forest_edges(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """Edges (a, b) of a forest with the components of all links between distinct fingerprints (column fp)."""
-    spark = distinct.sparkSession
-    prefix = F.shiftrightunsigned("fp", 64 - CUT_DEPTH).cast("int")
-    counts = {r[0]: r[1] for r in distinct.groupBy(prefix).count().collect()}  # at most 2 ** CUT_DEPTH rows
-    total = sum(counts.values())
-    most = min(NODE_ROWS, max(1000, total // PARTS))
-    nodes = _cut(counts, most)
-    blocks = [math.ceil(n / most) for _, _, n in nodes]
-    rows, unit = [], 0
-    for i, x in enumerate(nodes):
-        for j in range(i, len(nodes)):
-            if _within(x, nodes[j], bits):
-                for s in range(blocks[i]):
-                    for t in range(s if i == j else 0, blocks[j]):
-                        alone = i == j and s == t
-                        rows.append((i, s, unit, 0))
-                        if not alone:
-                            rows.append((j, t, unit, 1))
-                        unit += 1
-    place = pd.DataFrame(rows, columns=["node", "block", "unit", "side"]).groupby(["node", "block"]).agg(lambda x: x.tolist()).reset_index() if rows else pd.DataFrame(columns=["node", "block", "unit", "side"])
-    units = spark.createDataFrame(list(place.itertuples(index=False, name=None)), "node int, block int, unit array<int>, side array<int>")
-    bounds = spark.createDataFrame([(i, p << (CUT_DEPTH - d), (p + 1) << (CUT_DEPTH - d), blocks[i]) for i, (d, p, _) in enumerate(nodes)], "node int, low int, high int, blocks int")
-    each = spark.range(0, 1 << CUT_DEPTH, 1, 1).select(F.col("id").cast("int").alias("prefix")).join(F.broadcast(bounds), (F.col("prefix") >= F.col("low")) & (F.col("prefix") < F.col("high"))).select("prefix", "node", "blocks")
-    # the two broadcast tables have a row for each trie prefix and for each block of a cut node
-    at = distinct.select("fp", prefix.alias("prefix")).join(F.broadcast(each), "prefix")
-    at = at.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).join(F.broadcast(units), ["node", "block"])
-    at = at.select("fp", F.explode(F.arrays_zip("unit", "side")).alias("u")).select("fp", "u.unit", "u.side")
-
-    def join_unit(rows: pd.DataFrame) -> pd.DataFrame:
-        values, side = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy()
-        both = side.any()
-        out, root = trie_join(values[side == 0], values[side == 1] if both else None, bits)
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"a": out[linked].view(np.int64), "b": out[root[linked]].view(np.int64)})
-
-    return at.groupBy("unit").applyInPandas(join_unit, "a long, b long")
+def fingerprint_components(distinct: DataFrame, n: int, bits: int = BITS) -> DataFrame:
+    """(node, label) of each of n distinct fingerprints (column fp) that has a link: label is the least of its component."""
+    masks = F.array(*[F.lit(_signed(x)).cast("long") for x in block_masks(n, bits)])
+    entries = distinct.select("fp", F.posexplode(masks).alias("mask", "bits")).select(F.col("fp").alias("node"), "fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("part"))
+    keys = ["mask", "part"]
+    large = written(entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _tries.UNIT_ROWS), "simhash-large")
+    links = written(_tries.unit_pairs(_tries.one_block_units(entries.withColumn("label", F.col("node")), keys, large, "left"), bits), "simhash-links")
+    labels = components(links, "simhash")
+    if large.isEmpty():
+        return labels
+    inside = entries.join(large.select(keys), keys, "left_semi")
+    at = written(inside.join(labels, "node", "left").select("node", "fp", *keys, F.coalesce("label", "node").alias("label")), "simhash-inside")
+    more = _tries.unit_pairs(_tries.cross_units(at, keys), bits)
+    out = components(written(links.union(more), "simhash-links"), "simhash")
+    discard(links, at)
+    return out
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, words_per_shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (signed long) and component_id, the least doc_id that is reachable over links, itself included."""
     rows = written(docs.select("doc_id", fingerprint_column("text", words_per_shingle).alias("fp")), "simhash-rows")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "simhash-distinct")
-    labels = components(forest_edges(distinct.select("fp"), bits), "simhash")
+    labels = fingerprint_components(distinct.select("fp"), distinct.count(), bits)
     labelled = written(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_doc", F.coalesce("label", "fp").alias("label")), "simhash-labelled")
     names = written(labelled.groupBy("label").agg(F.min("least_doc").alias("component_id")), "simhash-names")
     named = written(labelled.join(names, "label").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, bits: int = BITS, words_per_shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs that name their group: one document of each. Columns stay as they are.
-
-    Where ids repeat (null ids count as one), rows are told apart by their fingerprint too and one of each pair stays.
-    """
-    found = written(near_duplicates(docs, bits, words_per_shingle), "simhash-found")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp"))
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    marked = docs.withColumn("lumora_fp", fingerprint_column("text", words_per_shingle))
-    one = marked.join(kept, marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked["lumora_fp"] == kept["kept_fp"]), "left_semi")
-    return one.dropDuplicates(["doc_id", "lumora_fp"]).drop("lumora_fp")
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
