@@ -1,19 +1,24 @@
-"""Near copies: SimHash proposes, the exact Jaccard similarity of the shingle sets decides.
+"""Near copies: SimHash tries propose, the exact Jaccard similarity of the shingle sets decides.
 
-At a similarity of 0.8 two fingerprints differ in up to 14 bits, where a trie prunes almost nothing. So the texts (one
-for each shingle set) are dealt into blocks by hash and each pair of blocks is one unit of work, in which every pair of
-fingerprints is compared. Pairs within the budget whose set sizes allow the similarity are verified on the sets.
+At a similarity of 0.8 two 64-bit fingerprints differ in 9.7 bits on average and 18 at most but for 2 pairs in 1,000. At
+such a budget one trie of all fingerprints would prune nothing until its nodes are single texts, so the trie self-join
+runs inside buckets: a text (one for each shingle set) goes to BANDS of them, each named by the least values of BAND_ROWS
+hash functions over its shingles; two texts at 0.8 share none with a probability of 0.0017. Pairs within the budget
+whose set sizes and least values (SKETCH_LEAST of all of them equal) allow the similarity are verified on the sets.
 
-In a dense group all pairs would grow with its square. So the first rounds verify only the NEAREST candidates of each
-text outside its component; the last one verifies every candidate pair that is still in two components.
+First each bucket, in blocks if it is large, proposes a spanning forest of its candidate pairs, nearest first, so a dense
+group costs a pair a text. Then every candidate pair of a bucket whose texts are still in two components is verified;
+the rows outside a bucket's largest component meet all its blocks, so no pair of two components is missed. No step has a
+cap on partners or candidates.
 
 Edge cases: null texts and texts without words have one empty set and are linked; a text shorter than a shingle is one
-shingle; ids may repeat or be null, a null doc_id never names a component that has another; an empty table gives no rows.
+shingle; texts are read whole, however long; ids may repeat or be null, a null doc_id never names a component that has
+another; an empty table gives no rows; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,81 +26,70 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from . import _tries
+from ._common import discard, written
 from ._graph import components
-from .simhash import NODE_ROWS, PARTS, folded, shingle_hashes
+from .simhash import folded, shingle_hashes
 
-NEAREST = 4
-ROUNDS = 2
+BITS = 18
+BANDS = 16
+BAND_ROWS = 5
+SKETCH_LEAST = 52  # of BANDS * BAND_ROWS least values that are equal: 64 on average at 0.8, under 52 for 1 pair in 2,000
+_FACTORS = np.random.default_rng(17).integers(1 << 62, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def least_values(own: np.ndarray) -> np.ndarray:
+    """The least value of each hash function (an odd factor each) over distinct shingle hashes."""
+    out = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 4096):
+        np.minimum(out, (own[k : k + 4096, None] * _FACTORS).min(0), out=out)
+    return out
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each band."""
+    rows = least.reshape(BANDS, BAND_ROWS)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        out = (out ^ rows[:, k]) * _MIX
+        out ^= out >> np.uint64(31)
+    return out
 
 
 def shingled_column(text: str, words_per_shingle: int) -> Column:
-    """key (hash of the shingle set), fp (fingerprint), size and the sorted set itself as bytes of 64-bit hashes."""
+    """key (hash of the shingle set), fp (fingerprint), size, sketch (a byte of each least value), bands and the sorted set as bytes of 64-bit hashes."""
 
     def each(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             hashes = shingle_hashes(t, words_per_shingle)
             own = np.unique(hashes)
-            rows.append((xxhash.xxh3_64_intdigest(own.tobytes()), folded(hashes), len(own), own.tobytes()))
-        keys, fps, sizes, sets = zip(*rows) if rows else ((), (), (), ())
-        return pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "fp": np.array(fps, np.uint64).view(np.int64), "size": np.array(sizes, np.int32), "shingles": list(sets)})
-
-    return F.pandas_udf(each, "key long, fp long, size int, shingles binary")(text)
-
-
-def near_pairs(one: pd.DataFrame, two: pd.DataFrame | None, bits: int, similarity: float, nearest: bool) -> pd.DataFrame:
-    """Candidate pairs (a, b, off) of different components; nearest: only the nearest one of each row. two None: one with itself."""
-    left, right = one, one if two is None else two
-    x, y = left["fp"].to_numpy().view(np.uint64), right["fp"].to_numpy().view(np.uint64)
-    nx, ny, lx, ly = left["size"].to_numpy(), right["size"].to_numpy(), left["label"].to_numpy(), right["label"].to_numpy()
-    kx, ky = left["key"].to_numpy(), right["key"].to_numpy()
-    none = np.iinfo(np.int64).max
-    best_x, best_y, parts = np.full(len(x), none), np.full(len(y), none), []
-    for s in range(0, len(x), 32):
-        for t in range(s if two is None else 0, len(y), 8192):
-            off = np.bitwise_count(x[s : s + 32, None] ^ y[None, t : t + 8192])
-            at = np.flatnonzero(off.ravel() <= bits)
-            if not len(at):
-                continue
-            i, j, d = s + at // off.shape[1], t + at % off.shape[1], off.ravel()[at].astype(np.int64)
-            small, large = np.minimum(nx[i], ny[j]), np.maximum(nx[i], ny[j])
-            ok = (lx[i] != ly[j]) & (small >= similarity * large)
-            if two is None:
-                ok &= i < j
-            i, j, d = i[ok], j[ok], d[ok]
-            if nearest:
-                np.minimum.at(best_x, i, d << 32 | j)
-                np.minimum.at(best_y, j, d << 32 | i)
-            else:
-                parts.append((kx[i], ky[j], d))
-    if nearest:
-        i, j = np.flatnonzero(best_x < none), np.flatnonzero(best_y < none)
-        low = (1 << 32) - 1
-        parts = [(kx[i], ky[best_x[i] & low], best_x[i] >> 32), (ky[j], kx[best_y[j] & low], best_y[j] >> 32)]
-    a, b, d = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
-    return pd.DataFrame({"a": a, "b": b, "off": d.astype(np.int32)})
-
-
-def candidates(texts: DataFrame, n: int, bits: int, similarity: float, nearest: bool) -> DataFrame:
-    """Pairs (a, b), a < b, of keys in different components (column label)."""
-    most = min(NODE_ROWS, max(1000, n // PARTS))
-    blocks = -(-n // most)
-    block, other = F.col("block"), F.col("other")
-    dealt = texts.select("key", "fp", "size", "label", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("key", "fp", "size", "label", (F.least(block, other).cast("long") * blocks + F.greatest(block, other)).alias("unit"), (block > other).alias("side"))
-
-    def join_unit(rows: pd.DataFrame) -> pd.DataFrame:
-        side = rows["side"].to_numpy()
-        first = rows["unit"].iloc[0]
-        alone = first // blocks == first % blocks
-        return near_pairs(rows[~side], None if alone else rows[side], bits, similarity, nearest)
-
-    found = dealt.groupBy("unit").applyInPandas(join_unit, "a long, b long, off int")
-    if nearest:  # a row has one candidate a unit at most
-        found = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("off", "b"))), 1, NEAREST).alias("to")).select("a", F.explode("to.b").alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            least = least_values(own)
+            rows.append((xxhash.xxh3_64_intdigest(own.tobytes()), folded(hashes), len(own), (least >> np.uint64(8)).astype(np.uint8).tobytes(), bands(least).view(np.int64), own.tobytes()))
+        keys, fps, sizes, sketches, names, sets = zip(*rows) if rows else ((),) * 6
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
+        return pd.DataFrame({"key": signed(keys), "fp": signed(fps), "size": np.array(sizes, np.int32), "sketch": list(sketches), "bands": list(names), "shingles": list(sets)})
+
+    return F.pandas_udf(each, "key long, fp long, size int, sketch binary, bands array<long>, shingles binary")(text)
+
+
+def _alike(similarity: float) -> Callable[[pd.DataFrame], Callable]:
+    def of(rows: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        size = rows["size"].to_numpy()
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+
+        def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+            at = np.flatnonzero(ok)
+            for k in range(0, len(at), 100_000):
+                part = at[k : k + 100_000]
+                ok[part] = (sketch[i[part]] == sketch[j[part]]).sum(1) >= SKETCH_LEAST
+            return ok
+
+        return alike
+
+    return of
 
 
 def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -113,38 +107,54 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
                 keep[k] = same >= similarity * (len(x) + len(y) - same)
             yield batch.loc[keep, ["a", "b"]]
 
-    return both.select("a", "b", "x", "y").mapInPandas(each, "a long, b long")
+    out = written(both.select("a", "b", "x", "y").mapInPandas(each, "a long, b long"), "nearcopies-links")
+    discard(sets)
+    return out
 
 
-def near_copies(docs: DataFrame, bits: int, words_per_shingle: int, similarity: float) -> DataFrame:
+def near_copies(docs: DataFrame, words_per_shingle: int, similarity: float, bits: int = BITS) -> DataFrame:
     """doc_id, key and component_id, the least doc_id that is reachable over links of that similarity, itself included."""
     made = docs.select("doc_id", shingled_column("text", words_per_shingle).alias("s"))
-    rows = written(made.select("doc_id", "s.key", "s.fp", "s.size", "s.shingles"), "nearcopies-rows")
-    distinct = written(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("least_doc")), "nearcopies-distinct")
-    n = distinct.count()
-    labelled, links = distinct.withColumn("label", F.col("key")), None
-    for k in range(ROUNDS + 1):
-        pairs = written(candidates(labelled, max(n, 1), bits, similarity, nearest=k < ROUNDS), "nearcopies-pairs")
-        more = written(verified(pairs, rows, similarity), "nearcopies-links")
-        if more.isEmpty():
-            continue
-        links = more if links is None else links.union(more)
-        labels = components(links, "nearcopies").withColumnRenamed("label", "reached")
-        labelled = written(distinct.join(labels.withColumnRenamed("node", "key"), "key", "left").select(*distinct.columns, F.coalesce("reached", "key").alias("label")), "nearcopies-labelled")
-    names = written(labelled.groupBy("label").agg(F.min("least_doc").alias("component_id")), "nearcopies-names")
+    rows = written(made.select("doc_id", "s.*"), "nearcopies-rows")
+    distinct = written(rows.groupBy("key").agg(F.min("doc_id").alias("least_doc")), "nearcopies-distinct")
+    # columns other than the id are functions of the key, but for fp, where texts differ in repeats alone
+    once = rows.groupBy("key").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    exploded = once.where("size > 0").select(F.col("key").alias("node"), "fp", "size", "sketch", F.col("key").alias("label"), F.explode("bands").alias("band"))
+    all_entries = written(exploded, "nearcopies-entries")
+    shared = written(all_entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nearcopies-bands")
+    alike = _alike(similarity)
+    first = written(_tries.unit_pairs(_tries.one_block_units(all_entries, ["band"], shared, "inner"), bits, alike), "nearcopies-pairs")
+    links = verified(first, rows, similarity)
+    labels = written(components(links, "nearcopies").withColumnRenamed("node", "key"), "nearcopies-labels")
+    inside = all_entries.drop("label").join(shared.select("band"), "band", "left_semi").join(labels.withColumnRenamed("key", "node"), "node", "left")
+    at = written(inside.withColumn("label", F.coalesce("label", "node")), "nearcopies-inside")
+    discard(all_entries, shared)
+    rest = written(_tries.unit_pairs(_tries.cross_units(at, ["band"]), bits, alike, every=True).join(first, ["a", "b"], "left_anti"), "nearcopies-pairs")
+    discard(at, first)
+    if not rest.isEmpty():
+        more = verified(rest, rows, similarity)
+        labels = written(components(links.union(more), "nearcopies").withColumnRenamed("node", "key"), "nearcopies-labels")
+        discard(more)
+    discard(rest, links)
+    labelled = distinct.join(labels, "key", "left").select("key", "least_doc", F.coalesce("label", "key").alias("label"))
+    names = labelled.groupBy("label").agg(F.min("least_doc").alias("component_id"))
     named = written(labelled.join(names, "label").select("key", "component_id"), "nearcopies-named")
+    discard(distinct, labels)
     return rows.select("doc_id", "key").join(named, "key").select("doc_id", "key", "component_id")
 
 
-def deduplicated(docs: DataFrame, bits: int, words_per_shingle: int, similarity: float) -> DataFrame:
+def deduplicated(docs: DataFrame, words_per_shingle: int, similarity: float, bits: int = BITS) -> DataFrame:
     """The rows of docs that name their group: one document of each. Columns stay as they are.
 
-    Where ids repeat (null ids count as one), rows are told apart by their shingle set too and one of each pair stays.
+    Where ids repeat (null ids count as one), rows are told apart by their text too: of those that share the id of the
+    group and its shingle set, the one with the least text stays, once.
     """
-    found = written(near_copies(docs, bits, words_per_shingle, similarity), "nearcopies-found")
+    found = written(near_copies(docs, words_per_shingle, similarity, bits), "nearcopies-found")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    marked = docs.withColumn("lumora_key", shingled_column("text", words_per_shingle)["key"])
-    one = marked.join(kept, marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked["lumora_key"] == kept["kept_key"]), "left_semi")
-    return one.dropDuplicates(["doc_id", "lumora_key"]).drop("lumora_key")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("kept_id"), shingled_column("text", words_per_shingle)["key"].alias("kept_key"))
+    once = kept.distinct()
+    one = whole.join(once, whole["kept_id"].eqNullSafe(once["kept_id"]) & (whole["kept_key"] == once["kept_key"]), "left_semi")
+    rank = F.struct(F.col("row.text"), F.xxhash64("row"))
+    return one.groupBy("kept_id", "kept_key").agg(F.min_by("row", rank).alias("row")).select("row.*")
