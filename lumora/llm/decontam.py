@@ -1,47 +1,54 @@
 """Benchmark decontamination by the q-gram lemma, in overlapping diagonal bands, verified by banded alignment.
 
 Texts are compared as lower-case letters and digits with single spaces. A benchmark item is one pattern, or, if it
-is long, overlapping windows, so that a passage of an item is found too. A pattern of m characters that matches a
-region with at most e edits shares at least m - q + 1 - q * e of its q-grams with it, all on neighbouring diagonals
-(position in the text less position in the pattern). Shared q-grams are therefore counted in diagonal bands, each
-overlapping the next by half; bands that reach the bound are verified by an alignment within the band.
+is long, overlapping windows, so that a passage of an item is found too: one of WINDOW + STRIDE - 1 normalised characters
+is sure to hold a window; of an item that is one pattern (up to WINDOW + STRIDE / 2) the whole is looked for. A pattern of
+m characters that matches a region with at most e edits shares at least m - q + 1 - q * e of its q-grams with it, all on
+neighbouring diagonals (position in the text less position in the pattern). Shared q-grams are therefore counted in
+diagonal bands, each overlapping the next by half; bands that reach the bound are verified by an alignment within the band.
 
-The benchmark is the stated query set: it is dealt into blocks of at most BLOCK_BYTES, and each block is matched
-against all documents in one pass over them, so what a task holds of the benchmark has a fixed bound.
+A task lays its rows end to end with gaps that no band and no alignment can cross, so a row's regions do not depend on
+its neighbours. The benchmark is the stated query set. It is dealt into blocks of about BLOCK_BYTES, a file each in the
+shared folder; tasks read and index one block at a time, so neither they nor the driver hold more, and all documents are
+scanned once whatever the number of blocks.
 
 Edge cases: null and empty texts, and items with fewer than q characters after normalising, match nothing; an
 item of null text is skipped; items with the same text are all reported; repeated documents each have their rows;
-texts are matched whole; an empty table on either side gives no rows.
+texts are matched whole, however long; of equally good regions of an item the first counts; an empty table on either
+side gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, ids_of, rows_frame, split_id
+from ._common import documents, ids_of, rows_frame, split_id, written
 
 Q = 8
 EDIT_RATE = 0.08
-WINDOW = 100
-STRIDE = 50
-BLOCK_BYTES = 16 << 20
+WINDOW = 60
+STRIDE = 20
+BLOCK_BYTES = 1 << 20
+HELD_CHARS = 16 << 20  # texts that meet all blocks together
 CHUNK_CHARS = 1 << 18
 FILTER_BITS = 22
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int, pattern_chars int, shared int"
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _CASE = np.array([0] + [ord(chr(c).lower()) if len(chr(c).lower()) == 1 and chr(c).lower().isalnum() else 32 for c in range(1, 0x10000)], np.uint32)
+GAP = "\0"  # stays as it is when a text is normalised; such characters of a text or item become spaces first
 
 
 def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-case letters and digits with single spaces, and each one's place in the text."""
+    """Code points of the lower-case letters and digits with single spaces, and each one's place in the text; gap characters stay."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     low = np.where(raw < 0x10000, _CASE[np.minimum(raw, 0xFFFF)], raw)
     keep = low != 32
@@ -74,7 +81,7 @@ class Patterns:
     def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW, stride: int = STRIDE, rate: float = EDIT_RATE):
         self.points, self.item = [], []
         for item, text in items:
-            p, _ = normalised(text or "")
+            p, _ = normalised((text or "").replace(GAP, " "))
             if len(p) < Q:
                 continue
             starts = [0] if len(p) <= window + stride // 2 else sorted({*range(0, len(p) - window + 1, stride), len(p) - window})
@@ -95,7 +102,9 @@ class Patterns:
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")
         self.hash, self.first, self.n = np.unique(every[order], return_index=True, return_counts=True)
-        self.owner, self.place = owner[order], place[order]
+        self.owner, self.place = owner[order].astype(np.int32), place[order].astype(np.int32)
+        # rows further apart than this share no band and no alignment
+        self.gap = int(self.m.max() + 5 * (self.edits.max() + 1)) if len(m) else 1
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.hash >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
@@ -118,8 +127,8 @@ def aligned(patterns: np.ndarray, lengths: np.ndarray, text: np.ndarray, starts:
     return cost[np.arange(len(starts)), best], starts + best + lengths
 
 
-def matches(points: np.ndarray, pats: Patterns) -> Iterator[tuple[int, int, int, int, int]]:
-    """(pattern, start, end, edits, shared) of verified regions in the text points."""
+def matches(points: np.ndarray, begins: np.ndarray, pats: Patterns) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(row, pattern, start, end, edits, shared) of verified regions in the points of rows that begin at begins."""
     h = grams(points)
     if not len(h) or not len(pats.hash):
         return
@@ -143,91 +152,115 @@ def matches(points: np.ndarray, pats: Patterns) -> Iterator[tuple[int, int, int,
     n = pats.n[k]
     rows = np.repeat(np.arange(len(hit)), n)
     entry = pats.first[k][rows] + np.arange(len(rows)) - np.repeat(n.cumsum() - n, n)
-    owner, diagonal = pats.owner[entry], hit[rows] - pats.place[entry]
+    owner, row = pats.owner[entry].astype(np.int64), np.searchsorted(begins, hit[rows], side="right") - 1
     half = int(pats.edits.max()) + 1
-    band = (diagonal + span) // half  # a region lies in one band of two halves: the one that it begins or the one before
-    key = owner.astype(np.int64) << 40 | band
-    keys, counts = np.unique(key, return_counts=True)
+    # a region lies in one band of two halves: the one that it begins or the one before; bands are counted from the row's begin
+    band = (hit[rows] - pats.place[entry] - begins[row] + span) // half
+    wide = int(band.max()) + 2
+    keys, counts = np.unique((row * len(pats.m) + owner) * wide + band, return_counts=True)
     nxt = np.searchsorted(keys, keys + 1)
     follow = np.where((nxt < len(keys)) & (keys[np.minimum(nxt, len(keys) - 1)] == keys + 1), counts[np.minimum(nxt, len(keys) - 1)], 0)
     both = counts + follow
-    good = both >= pats.least[keys >> 40]
-    owner, low, both = (keys[good] >> 40), (keys[good] & ((1 << 40) - 1)) * half - span, both[good]
+    good = both >= pats.least[keys // wide % len(pats.m)]
+    keys, both = keys[good], both[good]
+    row, owner = keys // wide // len(pats.m), keys // wide % len(pats.m)
+    low = keys % wide * half - span + begins[row]
     for k in range(0, len(owner), 4096):
         p = owner[k : k + 4096]
         m, e = pats.m[p], pats.edits[p]
         edits, ends = aligned(pats.padded[p], m, points, low[k : k + 4096] - half, 4 * half)
         for x in np.flatnonzero(edits <= e).tolist():
-            yield int(p[x]), max(0, int(ends[x] - m[x])), min(int(ends[x]), len(points)), int(edits[x]), int(both[k + x])
+            yield int(row[k + x]), int(p[x]), max(0, int(ends[x] - m[x])), min(int(ends[x]), len(points)), int(edits[x]), int(both[k + x])
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
-    """Runs of rows with their texts joined by a character that no pattern has; each of some length, whatever the rows."""
-    rows, parts, total = [], [], 0
+def _chunks(texts: list[str | None], gap: int) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
+    """Runs of rows, where each starts, and their texts with gaps in between; each of some length, whatever the rows."""
+    rows, starts, parts, total = [], [], [], 0
     for row, text in enumerate(texts):
         if text:
             rows.append(row)
-            parts.append(text)
-            total += len(text) + 1
+            starts.append(total)
+            parts.append(text.replace(GAP, " "))
+            total += len(text) + gap
             if total >= CHUNK_CHARS:
-                yield rows, "\0".join(parts)
-                rows, parts, total = [], [], 0
+                yield np.array(rows), np.array(starts), (GAP * gap).join(parts)
+                rows, starts, parts, total = [], [], [], 0
     if rows:
-        yield rows, "\0".join(parts)
-
-
-def regions(texts: list[str | None], pats: Patterns) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(row, item, start, end, edits, pattern characters, shared), one for each row and item: its best region; places in the text."""
-    out: dict[tuple[int, int], tuple] = {}
-    for rows, joined in _chunks(texts):
-        points, place = normalised(joined)
-        firsts = np.cumsum([0, *(len(texts[r]) + 1 for r in rows[:-1])])
-        for p, start, end, edits, shared in matches(points, pats):
-            k = int(np.searchsorted(firsts, place[(start + end) // 2], side="right")) - 1
-            first, row = int(firsts[k]), rows[k]
+        yield np.array(rows), np.array(starts), (GAP * gap).join(parts)
+
+
+def regions(texts: list[str | None], pats: Patterns) -> dict[tuple[int, int | None], tuple]:
+    """The best region of each row and item: (rank, (start, end, edits, pattern characters, shared)); places in the text."""
+    out: dict[tuple[int, int | None], tuple] = {}
+    for rows, starts, laid in _chunks(texts, pats.gap):
+        points, place = normalised(laid)
+        if not len(points):
+            continue
+        begins = np.searchsorted(place, starts)
+        begins += points[np.minimum(begins, len(points) - 1)] == 32
+        for k, p, start, end, edits, shared in matches(points, begins, pats):
+            first, row = int(starts[k]), int(rows[k])
             low, high = max(int(place[start]) - first, 0), min(int(place[max(end - 1, start)]) + 1 - first, len(texts[row]))
-            best = (edits / pats.m[p], -int(pats.m[p]), low)
+            best = (edits / pats.m[p], -int(pats.m[p]), low, high)
             if (row, pats.item[p]) not in out or best < out[row, pats.item[p]][0]:
-                out[row, pats.item[p]] = (best, (row, pats.item[p], low, high, edits, int(pats.m[p]), shared))
-    return [found for _, found in out.values()]
+                out[row, pats.item[p]] = (best, (low, high, edits, int(pats.m[p]), shared))
+    return out
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Patterns]:
-    """The benchmark in blocks whose text is bounded, each collected by itself. An item longer than a block is a block."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(2 * size / block_bytes)) if size > block_bytes else 1
-    for k in range(n):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").collect()
-        if rows:
-            yield Patterns(sorted(((r["item_id"], r["text"]) for r in rows if r["text"] is not None), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """Writes the items as files of about block_bytes of text each; their addresses. An item longer than a block makes its block longer."""
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return sorted(written(items.repartition(max(1, -(-size // block_bytes)), "item_id", "text"), "decontam-items").inputFiles())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The verified regions: one row for each document and item, with its best region (places in the document's text)."""
+@lru_cache(maxsize=1)
+def _block(address: str) -> Patterns:
+    """One block's index; a Python worker that has a single block to look at keeps it."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(address)
+    with fs.open_input_file(path) as file:
+        table = pyarrow.parquet.read_table(file)
+    items = zip(table["item_id"].to_pylist(), table["text"].to_pylist())
+    return Patterns(sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
 
-    def against(pats: Patterns) -> DataFrame:
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                ids = ids_of(batch)
-                yield rows_frame([(ids[f[0]], *f[1:]) for f in regions(batch["text"].tolist(), pats)], SCHEMA)
 
-        return docs.select(split_id("text")).mapInPandas(scan, SCHEMA)
+def all_regions(texts: list[str | None], addresses: list[str]) -> list[tuple[int, int | None, int, int, int, int, int]]:
+    """(row, item, start, end, edits, pattern characters, shared): the best region of each row and item over all blocks."""
+    out: dict[tuple[int, int | None], tuple] = {}
+    for address in addresses:
+        for key, found in regions(texts, _block(address)).items():
+            if key not in out or found < out[key]:  # an id may repeat in another block
+                out[key] = found
+    return [(row, item, *region) for (row, item), (_, region) in out.items()]
 
-    parts = [against(p) for p in blocks(benchmark)]
-    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], SCHEMA)
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The verified regions: one row for each document and item, with its best region (places in the document's text)."""
+    addresses = item_blocks(benchmark, block_bytes)
 
-def is_contaminated(benchmark: DataFrame, text: str = "text") -> Column:
-    """Whether the text holds a region of any item, as a column; a null text holds none."""
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, texts, chars = [], [], 0
+        for batch in batches:
+            ids += ids_of(batch)
+            texts += batch["text"].tolist()
+            chars += int(batch["text"].str.len().sum())
+            if chars >= HELD_CHARS:
+                yield rows_frame([(ids[f[0]], *f[1:]) for f in all_regions(texts, addresses)], SCHEMA)
+                ids, texts, chars = [], [], 0
+        yield rows_frame([(ids[f[0]], *f[1:]) for f in all_regions(texts, addresses)], SCHEMA)
 
-    def against(pats: Patterns) -> Column:
-        def each(texts: pd.Series) -> pd.Series:
-            rows = {f[0] for f in regions(texts.tolist(), pats)}
-            return pd.Series([k in rows for k in range(len(texts))], dtype=bool)
+    return docs.select(split_id("text")).mapInPandas(scan, SCHEMA)
+
+
+def is_contaminated(benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> Column:
+    """Whether the text holds a region of any item, as a column; a null text holds none."""
+    addresses = item_blocks(benchmark, block_bytes)
 
-        return F.pandas_udf(each, "boolean")(text)
+    def each(texts: pd.Series) -> pd.Series:
+        rows = {f[0] for f in all_regions(texts.tolist(), addresses)}
+        return pd.Series([k in rows for k in range(len(texts))], dtype=bool)
 
-    return reduce(Column.__or__, map(against, blocks(benchmark)), F.lit(False))
+    return F.pandas_udf(each, "boolean")(text)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

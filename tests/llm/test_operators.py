@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from lumora.llm import decontam, licenses, packing, quality, secrets, sharding, simhash, spans, sstable, toxicity
+from lumora.llm import _tries, decontam, licenses, nearcopies, packing, quality, secrets, sharding, simhash, spans, sstable, toxicity
 from lumora.llm._common import fresh_path
 from lumora.llm._tokens import Words, tokenizer_path
 
@@ -173,8 +173,76 @@ def test_leaks_with_edits(spark):
     bench = spark.createDataFrame([*enumerate(item), (9, None), (10, "tiny")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in rows(decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench))}
     assert got == {(1, 0), (3, 2), (4, 3), (None, 4)}
-    many = {(r["doc_id"], r["item_id"]) for p in [decontam.blocks(bench, 300)] for pats in p for r in ({"doc_id": docs[f[0]][0], "item_id": f[1]} for f in decontam.regions([t for _, t in docs], pats))}
+    many = {(r["doc_id"], r["item_id"]) for r in rows(decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_bytes=300))}
     assert many == got
+    hit = rows(spark.createDataFrame(docs, "doc_id long, text string").where(decontam.is_contaminated(bench, block_bytes=300)))
+    assert sorted(str(r["doc_id"]) for r in hit) == ["1", "3", "4", "None"]
+
+
+LETTERS = np.array(list("abcdefghijklmnopqrstuvwxyz      "))
+
+
+def drawn(rng, n):
+    return "".join(rng.choice(LETTERS, n))
+
+
+def test_leaks_do_not_cross_rows(spark):
+    rng = np.random.default_rng(8)
+    item = drawn(rng, 92)
+    held = f"{drawn(rng, 40)}\0{drawn(rng, 50)}"
+    texts = [drawn(rng, 300) + item[:46], item[46:] + drawn(rng, 300), None, "", item, " .. " + item + "..", drawn(rng, 30) + held, held[:45], held[45:], drawn(rng, 7), held.replace("\0", " - ")]
+    pats = decontam.Patterns([(1, item), (2, held), (3, "a\0b\0c\0d\0e")])
+    alone = {(r, i): f for r, t in enumerate(texts) for (_, i), f in decontam.regions([t], pats).items()}
+    assert {(r, i) for r, i in alone} == {(4, 1), (5, 1), (6, 2), (10, 2)}
+    assert decontam.regions(texts, pats) == alone
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, held)], "item_id long, text string")
+    results = [sorted(map(str, rows(decontam.contaminated(docs.repartition(n), bench)))) for n in (1, 50)]
+    assert results[0] == results[1] and len(results[0]) == 4
+
+
+def plain_leaks(text, pats):
+    """Per pattern the least edits against any part of the text, by the whole table of edit distances, where they are within its budget."""
+    t = decontam.normalised((text or "").replace("\0", " "))[0].tolist()
+    out = {}
+    for p, item, most in zip(pats.points, pats.item, pats.edits.tolist()):
+        row = np.zeros(len(t) + 1, int)
+        for i, a in enumerate(p.tolist()):
+            step = np.minimum(row[1:] + 1, row[:-1] + (np.array(t, int) != a)) if t else row[1:]
+            new = np.concatenate([[i + 1], step])
+            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        if row.min() <= most:
+            best = (row.min() / len(p), -len(p))
+            out[item] = min(out.get(item, best), best)
+    return out
+
+
+def test_leaks_by_brute_force():
+    rng = np.random.default_rng(3)
+    items = [(k, drawn(rng, n)) for k, n in enumerate((40, 72, 84, 85, 130, 300, 20, 9))]
+    pats = decontam.Patterns(items)
+    texts = []
+    for _ in range(60):
+        parts = [drawn(rng, int(rng.integers(0, 200)))]
+        for _ in range(int(rng.integers(0, 4))):
+            item = items[rng.integers(len(items))][1]
+            a = int(rng.integers(0, len(item)))
+            part = list(item[a // 3 : len(item) - a // 4])
+            for _ in range(int(rng.integers(0, 9))):
+                k = int(rng.integers(len(part)))
+                part[k : k + 1] = [[], ["q"], ["z", "x"]][rng.integers(3)]
+                part = part or ["a"]
+            parts += ["".join(part), drawn(rng, int(rng.integers(0, 120)))]
+        texts.append("".join(parts))
+    got = defaultdict(dict)
+    for (r, item), (rank, _) in decontam.regions(texts, pats).items():
+        got[r][item] = rank[:2]
+    found = 0
+    for r, t in enumerate(texts):
+        want = plain_leaks(t, pats)
+        assert got[r] == want, r
+        found += len(want)
+    assert found > 15
 
 
 def test_alignment_is_edit_distance():
@@ -308,14 +376,56 @@ def test_trie_join(bits):
                 x ^= 1 << k
             values.append(x)
     values = np.unique(np.array(values, np.uint64))
-    out, root = simhash.trie_join(values, None, bits)
-    assert (out == values).all() and root.tolist() == plain_groups(values, bits)
-    assert simhash.trie_join(np.zeros(0, np.uint64), None, bits)[0].size == 0
+    want = plain_groups(values, bits)
+    rng.shuffle(values)
+    values = np.concatenate([values, values[:9]])  # equal values in one unit
+    n, zero = len(values), np.zeros(len(values), np.int64)
+    i, j = both(_tries.joined(values, zero, zero > 0, zero == 0, np.arange(n), bits))
+    assert rooted(values, i, j) == dict(zip(sorted(set(values.tolist())), want)) and len(i) == n - len(set(want))
+    every = both(_tries.joined(values, zero, zero > 0, zero == 0, np.arange(n), bits, every=True))
+    near = np.argwhere(np.triu(np.bitwise_count(values[:, None] ^ values) <= bits, 1))
+    assert {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, every))} == set(map(tuple, near.tolist()))
+    # three units; in the last one side meets the other
+    units, side = np.arange(n) % 3, np.arange(n) % 2 == 1
+    i, j = both(_tries.joined(values, units, side, units < 2, np.arange(n), bits, every=True))
+    want = {(a, b) for a, b in near.tolist() if units[a] == units[b] and (units[a] < 2 or side[a] != side[b])}
+    assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())} == want
+
+
+def both(pairs):
+    return tuple(map(np.concatenate, zip(*pairs)))
+
+
+def rooted(values, i, j):
+    """Place of the least value of each value's component, among the distinct values."""
+    least = {v: v for v in values.tolist()}
+
+    def top(v):
+        while least[v] != v:
+            v = least[v]
+        return v
+
+    for a, b in zip(values[i].tolist(), values[j].tolist()):
+        x, y = sorted((top(a), top(b)))
+        least[y] = x
+    order = sorted(least)
+    return {v: order.index(top(v)) for v in order}
+
+
+@pytest.mark.parametrize(("n", "bits"), [(10, 4), (10**7, 4), (10**10, 4), (10, 6)])
+def test_masks_meet_all_close_pairs(n, bits):
+    masks = np.array(simhash.block_masks(n, bits), np.uint64)
+    assert len(masks) <= simhash.MOST_COPIES and len(set(masks.tolist())) == len(masks)
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        x = 0
+        for k in rng.choice(64, bits, replace=False).tolist():
+            x |= 1 << k
+        assert ((masks & np.uint64(x)) == 0).any()
 
 
 def test_simhash_components(odd, spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(simhash, "PARTS", 10**9)
-    monkeypatch.setattr(simhash, "NODE_ROWS", 20)  # many cut nodes, and blocks of those that stay large
+    monkeypatch.setattr(_tries, "UNIT_ROWS", 3)  # many buckets are dealt into blocks
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     got = rows(simhash.near_duplicates(docs))
     table = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -328,13 +438,6 @@ def test_simhash_components(odd, spark, sf_dir, monkeypatch):
     assert all(r["component_id"] == want[r["doc_id"], r["fp"] % 2**64] for r in got)
 
 
-def test_simhash_keeps_one_of_each(odd):
-    kept = simhash.deduplicated(odd)
-    assert kept.columns == odd.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert ids.count(7) == 1 and ids.count(5) == 1 and 6 not in ids and 4 in ids
-
-
 # 8
 
 
@@ -408,7 +511,7 @@ def test_marginals_match_enumeration():
 def test_empty_tables(empty, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for df in (sharding.shard_documents(empty), quality.repetition_quality(empty), secrets.secret_scan(empty), spans.deduplicated(empty), decontam.contaminated(empty, bench), simhash.near_duplicates(empty), simhash.deduplicated(empty), licenses.license_scan(empty), toxicity.toxicity(empty, none), packing.packed(empty, tokenizer_path()), sstable.read_shards(sstable.write_shards(empty, fresh_path(spark, "e"), tokenizer_path()))):
+    for df in (sharding.shard_documents(empty), quality.repetition_quality(empty), secrets.secret_scan(empty), spans.deduplicated(empty), decontam.contaminated(empty, bench), simhash.near_duplicates(empty), nearcopies.near_copies(empty, 5, 0.8), licenses.license_scan(empty), toxicity.toxicity(empty, none), packing.packed(empty, tokenizer_path()), sstable.read_shards(sstable.write_shards(empty, fresh_path(spark, "e"), tokenizer_path()))):
         assert df.count() == 0
 
 
