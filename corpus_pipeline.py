@@ -10,8 +10,7 @@ from lumora.llm import decontam, nearcopies, packing, secrets, toxicity
 from lumora.llm._common import documents, written
 from lumora.llm._tokens import tokenizer_path
 
-#: Near copies here: five-word shingle sets with this Jaccard similarity or more, found by fingerprints within so many bits.
-NEAR_BITS = 14
+#: Near copies here: five-word shingle sets with this Jaccard similarity or more.
 NEAR_WORDS = 5
 NEAR_SIMILARITY = 0.8
 
@@ -22,7 +21,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.deduplicated(docs, NEAR_BITS, NEAR_WORDS, NEAR_SIMILARITY)
+    return nearcopies.deduplicated(docs, NEAR_WORDS, NEAR_SIMILARITY)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
