@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNIT_ROWS = 2048  # a bucket with more rows is dealt into blocks
-TASK_ROWS = 200_000  # units are taken together until they have so many rows
+TASK_ROWS = 100_000  # units are taken together until they have so many rows
 CHUNK = 400_000
 LEAF_PAIRS = 64
 

@@ -18,7 +18,7 @@ another; an empty table gives no rows; other columns stay as they are, whatever
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -58,7 +58,7 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 
 def shingled_column(text: str, words_per_shingle: int) -> Column:
-    """key (hash of the shingle set), fp (fingerprint), size, sketch (a byte of each least value), bands and the sorted set as bytes of 64-bit hashes."""
+    """key (hash of the shingle set), fp (fingerprint), size, sketch (a byte of each least value), bands and the set, as 32 bits of each hash."""
 
     def each(texts: pd.Series) -> pd.DataFrame:
         rows = []
@@ -66,12 +66,12 @@ def shingled_column(text: str, words_per_shingle: int) -> Column:
             hashes = shingle_hashes(t, words_per_shingle)
             own = np.unique(hashes)
             least = least_values(own)
-            rows.append((xxhash.xxh3_64_intdigest(own.tobytes()), folded(hashes), len(own), (least >> np.uint64(8)).astype(np.uint8).tobytes(), bands(least).view(np.int64), own.tobytes()))
+            rows.append((xxhash.xxh3_64_intdigest(own.tobytes()), folded(hashes), len(own), (least >> np.uint64(8)).astype(np.uint8).tobytes(), bands(least).view(np.int64), np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32)))
         keys, fps, sizes, sketches, names, sets = zip(*rows) if rows else ((),) * 6
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
         return pd.DataFrame({"key": signed(keys), "fp": signed(fps), "size": np.array(sizes, np.int32), "sketch": list(sketches), "bands": list(names), "shingles": list(sets)})
 
-    return F.pandas_udf(each, "key long, fp long, size int, sketch binary, bands array<long>, shingles binary")(text)
+    return F.pandas_udf(each, "key long, fp long, size int, sketch binary, bands array<long>, shingles array<int>")(text)
 
 
 def _alike(similarity: float) -> Callable[[pd.DataFrame], Callable]:
@@ -92,55 +92,48 @@ def _alike(similarity: float) -> Callable[[pd.DataFrame], Callable]:
     return of
 
 
-def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have that Jaccard similarity or more."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = written(rows.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "nearcopies-sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for k, (x, y) in enumerate(zip(batch["x"], batch["y"])):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = same >= similarity * (len(x) + len(y) - same)
-            yield batch.loc[keep, ["a", "b"]]
-
-    out = written(both.select("a", "b", "x", "y").mapInPandas(each, "a long, b long"), "nearcopies-links")
-    discard(sets)
-    return out
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets (key, shingles) have that Jaccard similarity or more."""
+    of = lambda end, name: sets.select(F.col("key").alias(end), F.col("shingles").alias(name))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    same = F.size(F.array_intersect("x", "y"))
+    return both.withColumn("same", same).where(F.col("same") >= similarity * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b")
 
 
 def near_copies(docs: DataFrame, words_per_shingle: int, similarity: float, bits: int = BITS) -> DataFrame:
     """doc_id, key and component_id, the least doc_id that is reachable over links of that similarity, itself included."""
     made = docs.select("doc_id", shingled_column("text", words_per_shingle).alias("s"))
     rows = written(made.select("doc_id", "s.*"), "nearcopies-rows")
-    distinct = written(rows.groupBy("key").agg(F.min("doc_id").alias("least_doc")), "nearcopies-distinct")
-    # columns other than the id are functions of the key, but for fp, where texts differ in repeats alone
-    once = rows.groupBy("key").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    exploded = once.where("size > 0").select(F.col("key").alias("node"), "fp", "size", "sketch", F.col("key").alias("label"), F.explode("bands").alias("band"))
-    all_entries = written(exploded, "nearcopies-entries")
-    shared = written(all_entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nearcopies-bands")
+    # what is no id is a function of the key, but for fp, where texts differ in repeats alone
+    once = rows.groupBy("key").agg(F.min("doc_id").alias("least_doc"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    once = written(once, "nearcopies-once")
+    named = once.where("size > 0").select(F.col("key").alias("node"), F.explode("bands").alias("band"))
+    shared = written(named.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nearcopies-bands")
+    inside = written(named.join(shared.select("band"), "band", "left_semi"), "nearcopies-inside")
+    # the texts that share no bucket, most of them, end here
+    nodes = inside.select(F.col("node").alias("key")).distinct()
+    sets = rows.select("key", "shingles").join(nodes, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = written(sets, "nearcopies-sets")
+    entries = inside.join(once.select(F.col("key").alias("node"), "fp", "size", "sketch"), "node")
     alike = _alike(similarity)
-    first = written(_tries.unit_pairs(_tries.one_block_units(all_entries, ["band"], shared, "inner"), bits, alike), "nearcopies-pairs")
-    links = verified(first, rows, similarity)
-    labels = written(components(links, "nearcopies").withColumnRenamed("node", "key"), "nearcopies-labels")
-    inside = all_entries.drop("label").join(shared.select("band"), "band", "left_semi").join(labels.withColumnRenamed("key", "node"), "node", "left")
-    at = written(inside.withColumn("label", F.coalesce("label", "node")), "nearcopies-inside")
-    discard(all_entries, shared)
+    first = _tries.unit_pairs(_tries.one_block_units(entries.withColumn("label", F.col("node")), ["band"], shared, "inner"), bits, alike)
+    first = written(first, "nearcopies-pairs")
+    links = written(verified(first, sets, similarity), "nearcopies-links")
+    labels = components(links, "nearcopies")
+    at = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    at = written(at, "nearcopies-labelled")
     rest = written(_tries.unit_pairs(_tries.cross_units(at, ["band"]), bits, alike, every=True).join(first, ["a", "b"], "left_anti"), "nearcopies-pairs")
-    discard(at, first)
-    if not rest.isEmpty():
-        more = verified(rest, rows, similarity)
-        labels = written(components(links.union(more), "nearcopies").withColumnRenamed("node", "key"), "nearcopies-labels")
-        discard(more)
-    discard(rest, links)
-    labelled = distinct.join(labels, "key", "left").select("key", "least_doc", F.coalesce("label", "key").alias("label"))
+    discard(shared, inside, first, at)
+    more = written(verified(rest, sets, similarity), "nearcopies-links")
+    if not more.isEmpty():
+        labels = components(links.union(more), "nearcopies")
+    discard(rest, links, more, sets)
+    labelled = once.select("key", "least_doc").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "least_doc", F.coalesce("label", "key").alias("label"))
     names = labelled.groupBy("label").agg(F.min("least_doc").alias("component_id"))
     named = written(labelled.join(names, "label").select("key", "component_id"), "nearcopies-named")
-    discard(distinct, labels)
-    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "key", "component_id")
+    found = written(rows.select("doc_id", "key").join(named, "key").select("doc_id", "key", "component_id"), "nearcopies-found")
+    discard(once, named, rows)
+    return found
 
 
 def deduplicated(docs: DataFrame, words_per_shingle: int, similarity: float, bits: int = BITS) -> DataFrame:
@@ -149,7 +142,7 @@ def deduplicated(docs: DataFrame, words_per_shingle: int, similarity: float, bit
     Where ids repeat (null ids count as one), rows are told apart by their text too: of those that share the id of the
     group and its shingle set, the one with the least text stays, once.
     """
-    found = written(near_copies(docs, words_per_shingle, similarity, bits), "nearcopies-found")
+    found = near_copies(docs, words_per_shingle, similarity, bits)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
