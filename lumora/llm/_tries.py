@@ -151,11 +151,15 @@ def walk(one: Tries, two: Tries, budget: int, forest: Forest) -> Iterator[tuple[
         stack.append((d + 1, *(np.concatenate(p) for p in zip(*parts))))
 
 
-def joined(values: np.ndarray, units: np.ndarray, side: np.ndarray, alone: np.ndarray, labels: np.ndarray, bits: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a unit within so many bits, with different labels: those of a spanning forest, nearest first, or every one as it is found.
+Passes = list[tuple[int, Callable[[np.ndarray, np.ndarray], np.ndarray] | None]]
 
-    Rows of a unit that are alone are joined with themselves, of the others one side with the other.
-    alike: which pairs may count besides.
+
+def joined(values: np.ndarray, units: np.ndarray, side: np.ndarray, alone: np.ndarray, labels: np.ndarray, passes: Passes, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a unit with different labels: those of a spanning forest, or every one as it is found.
+
+    Rows of a unit that are alone are joined with themselves, of the others one side with the other. passes: budgets of
+    bits, each with which pairs may count besides, the strictest first; a forest takes its links in that order, every
+    pair is one of the last pass.
     """
     forest = Forest(labels)
     order = np.lexsort((values, units))
@@ -167,8 +171,7 @@ def joined(values: np.ndarray, units: np.ndarray, side: np.ndarray, alone: np.nd
         works.append((tries, tries))
     if len(left) and len(right):
         works.append((Tries(left, units, values), Tries(right, units, values)))
-    budgets = [bits] if every else sorted({b for b in (1, 2, 4, 8) if b < bits} | {bits})
-    for budget in budgets:
+    for budget, alike in passes[-1:] if every else passes:
         for one, two in works:
             for i, j in walk(one, two, budget, forest):
                 if alike is not None:
@@ -213,12 +216,12 @@ def cross_units(entries: DataFrame, keys: list[str]) -> DataFrame:
     return at.withColumn("unit", unit).withColumn("side", F.col("block") > F.col("meets")).withColumn("alone", F.col("block") == F.col("meets")).drop(*keys, "n", "n_main", "main", "labels", "others", "mains", "block", "meets")
 
 
-def unit_pairs(dealt: DataFrame, bits: int, alike: Callable[[pd.DataFrame], Callable] | None = None, every: bool = False) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes that the units of dealt (node, fp, label, unit, side, alone and what alike reads) give."""
+def unit_pairs(dealt: DataFrame, passes: Callable[[pd.DataFrame], Passes], every: bool = False) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that the units of dealt (node, fp, label, unit, side, alone and what passes reads) give."""
 
     def work(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
-        for i, j in joined(rows["fp"].to_numpy().view(np.uint64), rows["unit"].to_numpy(), rows["side"].to_numpy(), rows["alone"].to_numpy(), label, bits, alike(rows) if alike else None, every):
+        for i, j in joined(rows["fp"].to_numpy().view(np.uint64), rows["unit"].to_numpy(), rows["side"].to_numpy(), rows["alone"].to_numpy(), label, passes(rows), every):
             yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,9 +4,9 @@ At a similarity of 0.8 two 64-bit fingerprints differ in 9.7 bits on average and
 such a budget one trie of all fingerprints would prune nothing until its nodes are single texts, so the trie self-join
 runs inside buckets: a text (one for each shingle set) goes to BANDS of them, each named by the least values of BAND_ROWS
 hash functions over its shingles; two texts at 0.8 share none with a probability of 0.0017. Pairs within the budget
-whose set sizes and least values (SKETCH_LEAST of all of them equal) allow the similarity are verified on the sets.
+whose set sizes and least values (SKETCH_PASSES) allow the similarity are verified on the sets.
 
-First each bucket, in blocks if it is large, proposes a spanning forest of its candidate pairs, nearest first, so a dense
+First each bucket, in blocks if it is large, proposes a spanning forest of its candidate pairs, the most alike first, so a dense
 group costs a pair a text. Then every candidate pair of a bucket whose texts are still in two components is verified;
 the rows outside a bucket's largest component meet all its blocks, so no pair of two components is missed. No step has a
 cap on partners or candidates.
@@ -19,6 +19,7 @@ another; an empty table gives no rows; other columns stay as they are, whatever
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -34,22 +35,24 @@ from .simhash import folded, shingle_hashes
 BITS = 18
 BANDS = 16
 BAND_ROWS = 5
-SKETCH_LEAST = 52  # of BANDS * BAND_ROWS least values that are equal: 64 on average at 0.8, under 52 for 1 pair in 2,000
-_FACTORS = np.random.default_rng(17).integers(1 << 62, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SKETCH = 256  # least values of a text; the first of them name its bands
+#: Of a pair's least values those that are equal: 205 on average at 0.8, under 184 for 1 pair in 2,000.
+SKETCH_PASSES = (244, 231, 218, 210, 202, 194, 184)
+_FACTORS = np.random.default_rng(17).integers(1 << 62, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def least_values(own: np.ndarray) -> np.ndarray:
     """The least value of each hash function (an odd factor each) over distinct shingle hashes."""
     out = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), 4096):
-        np.minimum(out, (own[k : k + 4096, None] * _FACTORS).min(0), out=out)
+    for k in range(0, len(own), 1024):
+        np.minimum(out, (own[k : k + 1024, None] * _FACTORS).min(0), out=out)
     return out
 
 
 def bands(least: np.ndarray) -> np.ndarray:
     """A 64-bit name for each band."""
-    rows = least.reshape(BANDS, BAND_ROWS)
+    rows = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(BAND_ROWS):
         out = (out ^ rows[:, k]) * _MIX
@@ -74,20 +77,22 @@ def shingled_column(text: str, words_per_shingle: int) -> Column:
     return F.pandas_udf(each, "key long, fp long, size int, sketch binary, bands array<long>, shingles array<int>")(text)
 
 
-def _alike(similarity: float) -> Callable[[pd.DataFrame], Callable]:
-    def of(rows: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+def _passes(similarity: float, bits: int) -> Callable[[pd.DataFrame], list]:
+    """Those that are surely alike come first, so that few links of a spanning forest fail on the sets."""
+
+    def of(rows: pd.DataFrame) -> list:
         size = rows["size"].to_numpy()
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
 
-        def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        def alike(i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
             ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
             at = np.flatnonzero(ok)
             for k in range(0, len(at), 100_000):
                 part = at[k : k + 100_000]
-                ok[part] = (sketch[i[part]] == sketch[j[part]]).sum(1) >= SKETCH_LEAST
+                ok[part] = (sketch[i[part]] == sketch[j[part]]).sum(1) >= least
             return ok
 
-        return alike
+        return [(bits, partial(alike, least=n)) for n in SKETCH_PASSES]
 
     return of
 
@@ -115,14 +120,14 @@ def near_copies(docs: DataFrame, words_per_shingle: int, similarity: float, bits
     sets = rows.select("key", "shingles").join(nodes, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
     sets = written(sets, "nearcopies-sets")
     entries = inside.join(once.select(F.col("key").alias("node"), "fp", "size", "sketch"), "node")
-    alike = _alike(similarity)
-    first = _tries.unit_pairs(_tries.one_block_units(entries.withColumn("label", F.col("node")), ["band"], shared, "inner"), bits, alike)
+    passes = _passes(similarity, bits)
+    first = _tries.unit_pairs(_tries.one_block_units(entries.withColumn("label", F.col("node")), ["band"], shared, "inner"), passes)
     first = written(first, "nearcopies-pairs")
     links = written(verified(first, sets, similarity), "nearcopies-links")
     labels = components(links, "nearcopies")
     at = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     at = written(at, "nearcopies-labelled")
-    rest = written(_tries.unit_pairs(_tries.cross_units(at, ["band"]), bits, alike, every=True).join(first, ["a", "b"], "left_anti"), "nearcopies-pairs")
+    rest = written(_tries.unit_pairs(_tries.cross_units(at, ["band"]), passes, every=True).join(first, ["a", "b"], "left_anti"), "nearcopies-pairs")
     discard(shared, inside, first, at)
     more = written(verified(rest, sets, similarity), "nearcopies-links")
     if not more.isEmpty():

@@ -90,19 +90,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _passes(bits: int) -> list[tuple[int, None]]:
+    return [(b, None) for b in (1, 2, 4, 8) if b < bits] + [(bits, None)]
+
+
 def fingerprint_components(distinct: DataFrame, n: int, bits: int = BITS) -> DataFrame:
     """(node, label) of each of n distinct fingerprints (column fp) that has a link: label is the least of its component."""
     masks = F.array(*[F.lit(_signed(x)).cast("long") for x in block_masks(n, bits)])
     entries = distinct.select("fp", F.posexplode(masks).alias("mask", "bits")).select(F.col("fp").alias("node"), "fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("part"))
     keys = ["mask", "part"]
     large = written(entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _tries.UNIT_ROWS), "simhash-large")
-    links = written(_tries.unit_pairs(_tries.one_block_units(entries.withColumn("label", F.col("node")), keys, large, "left"), bits), "simhash-links")
+    links = written(_tries.unit_pairs(_tries.one_block_units(entries.withColumn("label", F.col("node")), keys, large, "left"), lambda _: _passes(bits)), "simhash-links")
     labels = components(links, "simhash")
     if large.isEmpty():
         return labels
     inside = entries.join(large.select(keys), keys, "left_semi")
     at = written(inside.join(labels, "node", "left").select("node", "fp", *keys, F.coalesce("label", "node").alias("label")), "simhash-inside")
-    more = _tries.unit_pairs(_tries.cross_units(at, keys), bits)
+    more = _tries.unit_pairs(_tries.cross_units(at, keys), lambda _: _passes(bits))
     out = components(written(links.union(more), "simhash-links"), "simhash")
     discard(links, at)
     return out

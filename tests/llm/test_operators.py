@@ -380,14 +380,14 @@ def test_trie_join(bits):
     rng.shuffle(values)
     values = np.concatenate([values, values[:9]])  # equal values in one unit
     n, zero = len(values), np.zeros(len(values), np.int64)
-    i, j = both(_tries.joined(values, zero, zero > 0, zero == 0, np.arange(n), bits))
+    i, j = both(_tries.joined(values, zero, zero > 0, zero == 0, np.arange(n), simhash._passes(bits)))
     assert rooted(values, i, j) == dict(zip(sorted(set(values.tolist())), want)) and len(i) == n - len(set(want))
-    every = both(_tries.joined(values, zero, zero > 0, zero == 0, np.arange(n), bits, every=True))
+    every = both(_tries.joined(values, zero, zero > 0, zero == 0, np.arange(n), simhash._passes(bits), every=True))
     near = np.argwhere(np.triu(np.bitwise_count(values[:, None] ^ values) <= bits, 1))
     assert {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, every))} == set(map(tuple, near.tolist()))
     # three units; in the last one side meets the other
     units, side = np.arange(n) % 3, np.arange(n) % 2 == 1
-    i, j = both(_tries.joined(values, units, side, units < 2, np.arange(n), bits, every=True))
+    i, j = both(_tries.joined(values, units, side, units < 2, np.arange(n), simhash._passes(bits), every=True))
     want = {(a, b) for a, b in near.tolist() if units[a] == units[b] and (units[a] < 2 or side[a] != side[b])}
     assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())} == want
 
