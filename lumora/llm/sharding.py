@@ -3,11 +3,16 @@
 Records hash into a fixed number of virtual slots; bytes and rows are summed per slot; a small versioned
 table maps slots to shards. Rebalancing writes a new version of that table: slots stay where they are while
 their shard is within the mean load, and only the overflow moves, largest first, to the least loaded shard.
-Everything that grows with the data is a scan, a map-side combined sum and one shuffle by slot; the map has
-as many rows as there are slots, whatever the input.
+Everything that grows with the data is a scan, map-side combined sums and shuffles by hash; the map has
+as many rows as there are slots, whatever the input. Versions of the map are kept as version=N under a path that the
+caller names; a later run loads the latest one and edits it.
 
-Edge cases: a null or empty text has 16 bytes and CRC 0; a null doc_id is hashed like a value; rows repeated
-in full share a slot; an empty table gives no rows and a map whose slots keep their places.
+Rows that are equal in id and text are numbered, within each part of the written table first, and the number is part of
+what is hashed, so that any number of copies spreads over the slots as other rows do and no window has a hot key.
+
+Edge cases: a null or empty text has 16 bytes and CRC 0; a null doc_id is hashed like a value; a text of any length is
+one record, in one slot; rows repeated in full differ by their number alone, and ties by nothing that a result shows; an
+empty table gives no rows and a map whose slots keep their places; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -15,22 +20,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, written
+from ._common import discard, documents, fresh_path, written
 
 SLOTS = 4096
 SHARDS = 40
 ROW_OVERHEAD = 16
 
 
-def virtual_slot(*keys: str, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
-
-
-def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of each document."""
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, size and text_crc32 of each document, same (one value for each id and text) and at (a row's place: its part of the table, and there)."""
     text = F.coalesce("text", F.lit(""))
     out = docs.select("doc_id", (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return out.withColumn("virtual_slot", virtual_slot("doc_id", "text_crc32", slots=slots))
+    return out.withColumn("same", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("at", F.monotonically_increasing_id())
+
+
+def slotted(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """rows (written, as sized gives them) with the virtual slot of each; a row that has no copy is copy 0."""
+    part = F.shiftright("at", 33)
+    counts = rows.groupBy("same", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    by_same = Window.partitionBy("same").orderBy("part")  # a row for each part of the table at most
+    before = F.coalesce(F.sum("n").over(by_same.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    several = counts.select("same", "part", before.alias("before"), (F.sum("n").over(Window.partitionBy("same"))).alias("total")).where("total > 1").drop("total")
+    keys = ["same", "part"]
+    rows = rows.withColumn("part", part)
+    number = F.col("before") + F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1
+    copies = rows.join(several, keys).withColumn("copy", number).drop("before")
+    alone = rows.join(several, keys, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    slot = F.pmod(F.xxhash64("same", "copy"), F.lit(slots)).cast("int")
+    return alone.unionByName(copies).withColumn("virtual_slot", slot).select("doc_id", "size", "text_crc32", "virtual_slot")
 
 
 def slot_loads(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -77,16 +94,35 @@ def rebalanced(slot_map: DataFrame, loads: DataFrame, shards: int = SHARDS) -> D
     return one.select((F.col("version") + 1).alias("version"), F.inline(put))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
+def stored_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest version of the map under a path; None if there is none yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        return None
+    every = spark.read.parquet(path)
+    last = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == last).select("version", "virtual_slot", "shard")
+
+
+def store_map(new: DataFrame, path: str) -> None:
+    """Adds a version of the map under the path; a version that is there already is an error."""
+    version = new.agg(F.max("version")).first()[0]
+    new.select("virtual_slot", "shard", "moved").coalesce(1).write.parquet(f"{path}/version={version}")  # as many rows as slots
+
+
+def shard_documents(docs: DataFrame, map_path: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """Each document with its shard and its place there (slot, gapless from 0), by bytes per virtual slot.
 
-    slot_map: the stored map to edit (version, virtual_slot, shard); version 1 if there is none yet.
+    map_path: where the versions of the slot map are kept; the latest one is edited and the next one is stored.
     """
     spark = docs.sparkSession
-    rows = written(sized(docs, slots), "sharding-sized")
+    records = written(sized(docs), "sharding-sized")
+    rows = written(slotted(records, slots), "sharding-rows")
+    discard(records)
     loads = written(slot_loads(rows, slots), "sharding-loads")
-    slot_map = initial_map(spark, shards, slots) if slot_map is None else slot_map
-    new = written(rebalanced(slot_map, loads, shards), "sharding-map")
+    old = stored_map(spark, map_path)
+    store_map(rebalanced(initial_map(spark, shards, slots) if old is None else old, loads, shards), map_path)
+    new = stored_map(spark, map_path)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     places = new.join(loads, "virtual_slot").withColumn("first", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)))
     places = F.broadcast(places.select("virtual_slot", "shard", "version", "first"))  # as many rows as slots, whatever the input
@@ -98,4 +134,4 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, s
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(documents(spark, sf_dir))
+    return shard_documents(documents(spark, sf_dir), fresh_path(spark, "sharding-map"))
