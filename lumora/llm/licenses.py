@@ -1,12 +1,15 @@
 """Licence detection by a positional rare-token index (DataFrame functions only).
 
 Each template is a short word sequence with its words' positions. A word's IDF is its inverse document
-frequency over all documents. Of a text's template words the rarest few, and the rarest few of each template, are looked up: every occurrence at
-word i of a posting (template, position p) votes for the template starting at word i - p. Starts with enough
-IDF weight are kept if the template's mandatory key phrase stands word for word at its relative position.
-
-Edge cases: a null text is empty (no words, no labels, score 0); texts are read whole; rows are independent,
-so repeated rows and ties get equal results; on an empty table no IDF is needed and no rows come out.
+frequency over all documents. The index holds each template's rarest words, half of them and TEMPLATE_WORDS at least.
+Those of them that a text has are looked up: every occurrence at word i of a posting (template, position p) votes for the
+template starting at word i - p. Starts that get MIN_WEIGHT of the IDF weight of the template's words in the index are
+kept if the template's mandatory key phrase stands word for word at its relative position. What is found at a place
+depends on no other place, so a text that joins several has the labels of all.
+
+Edge cases: a null text is empty (no words, no labels, score 0); texts are read whole, however long; rows are
+independent, so repeated rows and ties get equal results; on an empty table no IDF is needed and no rows come out; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +41,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
 
-RARE_WORDS = 12
-TEMPLATE_WORDS = 4  # of each template, so that one which stands word for word always has postings
+TEMPLATE_WORDS = 4
 MIN_WEIGHT = 0.5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -83,16 +85,17 @@ def _verified(scan: DataFrame, weights: dict[str, float]) -> DataFrame:
 
     Each step is a column of its own that later steps read, so that none is computed again for every element.
     """
-    ranked = F.array(*map(F.lit, sorted(weights, key=lambda w: (-weights[w], w))))
+    bodies = [body.split() for _, body, _ in TEMPLATES]
+    rarest = [sorted(set(b), key=lambda w: (-weights[w], w))[: max(TEMPLATE_WORDS, len(set(b)) // 2)] for b in bodies]
     postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, body, _) in enumerate(TEMPLATES):
-        for p, w in enumerate(body.split()):
-            postings.setdefault(w, []).append((t, p))
+    for t, body in enumerate(bodies):
+        for p, w in enumerate(body):
+            if w in rarest[t]:
+                postings.setdefault(w, []).append((t, p))
+    total = [sum(weights[w] for w in body if w in rarest[t]) for t, body in enumerate(bodies)]
     lists = [{"w": w, "at": [{"t": t, "p": p, "v": weights[w]} for t, p in ps]} for w, ps in postings.items()]
     entries = F.from_json(F.lit(json.dumps(lists)), "array<struct<w:string,at:array<struct<t:int,p:int,v:double>>>>")
-    always = sorted({w for _, body, _ in TEMPLATES for w in sorted(set(body.split()), key=lambda w: (-weights[w], w))[:TEMPLATE_WORDS]})
-    present = F.array_intersect(ranked, "cand")  # keeps the order by IDF
-    scan = scan.withColumn("rare", F.array_union(F.slice(present, 1, RARE_WORDS), F.array_intersect(present, F.array(*map(F.lit, always)))))
+    scan = scan.withColumn("rare", F.array_intersect(F.array(*map(F.lit, postings)), "cand"))
     scan = scan.withColumn("lists", F.filter(entries, lambda e: F.array_contains("rare", e["w"])))
     scan = scan.withColumn("hits", F.filter(F.transform("cand", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("rare", x["w"])))
     vote = lambda h, p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("at"), p["v"].alias("v"))
@@ -103,14 +106,10 @@ def _verified(scan: DataFrame, weights: dict[str, float]) -> DataFrame:
     summed = lambda x: F.aggregate(F.filter(F.slice("votes", x["i"] + 1, longest), lambda y: (y["t"] == x["t"]) & (y["at"] == x["at"])), F.lit(0.0), lambda a, y: a + y["v"])
     scan = scan.withColumn("runs", F.transform("ends", lambda x: F.struct(x["t"].alias("t"), x["at"].alias("at"), summed(x).alias("v"))))
 
-    bodies = F.from_json(F.lit(json.dumps([[{"w": w, "v": weights[w]} for w in body.split()] for _, body, _ in TEMPLATES])), "array<array<struct<w:string,v:double>>>")
-    # the weight that this text's looked-up words could give each template
-    scan = scan.withColumn("full", F.transform(bodies, lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.when(F.array_contains("rare", x["w"]), x["v"]).otherwise(0.0))))
-
     def best(t: int, seq: list[str], key: list[str]) -> Column:
         offset = next(i for i in range(len(seq)) if seq[i : i + len(key)] == key)
-        weight = F.get("full", F.lit(t))
-        ok = F.filter("runs", lambda r: (r["t"] == t) & (weight > 0) & (r["v"] >= MIN_WEIGHT * weight) & _phrase_at(F.col("cand"), r["at"] + offset, key))
+        weight = F.lit(total[t])
+        ok = F.filter("runs", lambda r: (r["t"] == t) & (r["v"] >= MIN_WEIGHT * weight) & _phrase_at(F.col("cand"), r["at"] + offset, key))
         most = F.array_max(F.transform(ok, lambda r: r["v"])) / weight
         return F.when(most.isNotNull(), F.least(most, F.lit(1.0)))
 
