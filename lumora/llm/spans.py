@@ -13,7 +13,9 @@ many documents share can be split.
 
 Edge cases: null texts stay null and have no sentences; empty texts stay empty; texts without a long enough run
 are unchanged; documents that repeat a doc_id and a text in full count as one document; of an exact copy all that
-a run covers is removed; a null doc_id comes before any other; an empty table gives no rows.
+a run covers is removed; texts are read whole, however long; of runs that tie on doc_id and sentence, in rows of one
+doc_id, the least text hash is first; a null doc_id comes before any other; an empty table gives no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, split_id, written
+from ._common import discard, documents, split_id, written
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -108,42 +110,51 @@ def span_table(docs: DataFrame) -> DataFrame:
     return docs.select(*split_id("text"), F.xxhash64("text").alias("text_hash")).mapInPandas(each, "doc_id long, text_hash long, span long, first int, length int")
 
 
-def repeated_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the sorted numbers of the sentences that a non-first repeated run covers."""
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and the non-first repeated runs, each as its first sentence and length in one long."""
     spans = written(span_table(docs), "spans-all")
     repeated = written(spans.groupBy("span").count().where("count > 1").select("span"), "spans-repeated")
     again = written(spans.join(repeated, "span", "left_semi"), "spans-again")
+    discard(spans)
     firsts = again.groupBy("span").agg(F.min(F.struct("doc_id", "text_hash", "first")).alias("at"))
     firsts = written(firsts.select("span", F.col("at.doc_id").alias("d"), F.col("at.text_hash").alias("t"), F.col("at.first").alias("f")), "spans-firsts")
     later = again.join(firsts, "span").where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("first") == F.col("f"))))
-    covered = written(later.select("doc_id", "text_hash", F.explode(F.sequence("first", F.col("first") + F.col("length") - 1)).alias("sentence")), "spans-covered")
-    return covered.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("sentence")).alias("removed"))
+    run = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("length").cast("long"))
+    # a document has two runs a sentence at most, so the group is no longer than its text
+    found = written(later.groupBy("doc_id", "text_hash").agg(F.collect_set(run).alias("runs")), "spans-found")
+    discard(repeated, again, firsts)
+    return found
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, text without the removed sentences, n_removed, removed_chars and removed (sentence numbers from 0)."""
-    found = repeated_sentences(docs).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "removed")
+    found = repeated_runs(docs).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "runs")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("t0"))
     both = keyed.join(found, keyed["doc_id"].eqNullSafe(found["d"]) & (keyed["t0"] == found["t"]), "left")
-    schema = "text string, n_removed long, removed_chars long"
+    schema = "text string, n_removed long, removed_chars long, removed string"
 
-    def cut(texts: pd.Series, removed: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, runs_of: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, gone in zip(texts, removed):
-            gone = [] if gone is None else list(gone)
-            chars = 0
-            if gone:
-                parts, keep, at = sentences(text or ""), [], 0
+        for text, packed in zip(texts, runs_of):
+            gone, chars = [], 0
+            if packed is not None:
+                parts = sentences(text or "")
+                first, length = np.asarray(packed) >> 32, np.asarray(packed) & 0xFFFFFFFF
+                depth = np.zeros(len(parts) + 1, np.int64)
+                np.add.at(depth, first, 1)
+                np.add.at(depth, first + length, -1)
+                gone = np.flatnonzero(depth.cumsum()[:-1] > 0).tolist()
+                keep, at = [], 0
                 for k in gone:
                     s, e, _ = parts[k]
                     keep.append(text[at:s])
                     chars += e - s
                     at = e
                 text = "".join(keep) + text[at:]
-            rows.append((text, len(gone), chars))
+            rows.append((text, len(gone), chars, ",".join(map(str, gone))))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return both.select("doc_id", F.pandas_udf(cut, schema)("text", "removed").alias("c"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed")).select("doc_id", "c.*", F.coalesce("removed", F.lit("")).alias("removed"))
+    return both.select("doc_id", F.pandas_udf(cut, schema)("text", "runs").alias("c")).select("doc_id", "c.*")
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
