@@ -8,14 +8,19 @@ Forward-backward gives each token's marginal; a document's score is a logistic f
 of the expected number of toxic tokens.
 
 The labelled sample is bounded: SAMPLE_TOXIC and SAMPLE_CLEAN documents of the training part, those with the lowest
-hash of their id. The model has a fixed size. Scoring covers every whole text, row by row.
-
-Edge cases: null and empty texts have no tokens and the score of a text without toxic tokens; documents with several
-labels count as toxic if any says so, null labels are skipped; without a toxic or a clean label every score is 0.
+hash of their id. Of their chains the field sees all that have a toxic token, and as many others (2,000 at least),
+drawn by a seeded generator. The model has a fixed size. Scoring covers every whole text, row by row; words whose
+marginal is SPAN_LEAST or more are its offending spans.
+
+Edge cases: null and empty texts have no tokens, no spans and the score of a text without toxic tokens; documents with
+several labels count as toxic if any says so, null labels are skipped; where a labelled id has several texts the least
+one trains; without a toxic or a clean label every score is 0; texts are read whole, however long; equal texts have equal
+scores; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable
@@ -36,9 +41,11 @@ MIN_DOCS = 3  # or one in a hundred of the toxic documents
 MIN_ODDS = 30.0
 COPY_BITS = 8
 THRESHOLD = 0.7
+SPAN_LEAST = 0.5  # the marginal from which a word is reported
 STEPS = 30
 CACHE_WORDS = 400_000
 GROUP_CHARS = 4 << 20
+WORD = re.compile(r"\S+")
 EDGE = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
 
 
@@ -130,35 +137,36 @@ class Field:
         unary[chain, place], mask[chain, place] = score, True
         return marginals(unary, mask, self.trans)[0][chain, place], lengths
 
-    def features(self, words: list[list[str]]) -> np.ndarray:
+    def _features(self, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Per text: one, the greatest marginal, and the logarithm of one more than the expected number of toxic tokens."""
-        p, lengths = self.tag(words)
         text = np.repeat(np.arange(len(lengths)), lengths)
         most = np.zeros(len(lengths))
         np.maximum.at(most, text, p)
         p = np.where(p > 0.05, p, 0)  # many tokens with next to nothing do not add up
         return np.stack([np.ones(len(lengths)), most, np.log1p(np.bincount(text, p, len(lengths)))], 1)
 
-    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
-        texts, out, k = list(texts), [], 0
+    def features(self, words: list[list[str]]) -> np.ndarray:
+        return self._features(*self.tag(words))
+
+    def scored(self, texts: Iterable[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+        """Score of each text, and its toxic words as (start, end, marginal)."""
+        texts, out, spans, k = list(texts), [], [], 0
         while k < len(texts):
             j, chars = k, 0
             while j < len(texts) and chars < GROUP_CHARS:
                 chars += len(texts[j] or "")
                 j += 1
-            out.append(1 / (1 + np.exp(-np.clip(self.features([(t or "").split() for t in texts[k:j]]) @ self.logistic, -60, 60))))
+            p, lengths = self.tag([(t or "").split() for t in texts[k:j]])
+            out.append(1 / (1 + np.exp(-np.clip(self._features(p, lengths) @ self.logistic, -60, 60))))
+            own, first = [[] for _ in range(k, j)], lengths.cumsum() - lengths
+            hits = np.flatnonzero(p >= SPAN_LEAST)
+            at = np.searchsorted(first, hits, side="right") - 1  # of texts without words, which share a first, the last has the words
+            for row in np.unique(at).tolist():
+                wanted = dict(zip((hits[at == row] - first[row]).tolist(), p[hits[at == row]].tolist()))
+                own[row] = [(*m.span(), wanted[n]) for n, m in enumerate(WORD.finditer(texts[k + row])) if n in wanted]
+            spans += own
             k = j
-        return np.concatenate(out) if out else np.zeros(0)
-
-    def spans(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
-        """(start, end, marginal) of each toxic word of a text."""
-        words, at, out = (text or "").split(), 0, []
-        for w, p in zip(words, self.tag([words])[0].tolist()):
-            at = text.index(w, at)
-            if p >= least:
-                out.append((at, at + len(w), p))
-            at += len(w)
-        return out
+        return np.concatenate(out) if out else np.zeros(0), spans
 
 
 def distinct_texts(texts: list[str], toxic: list[int]) -> tuple[list[str], list[int]]:
@@ -273,29 +281,21 @@ def trained_on(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TO
     return trained([t for _, t in rows], [of[i] for i, _ in rows])
 
 
-def score_column(docs: DataFrame, field: Field, text: str = "text") -> Column:
+def scored_column(docs: DataFrame, field: Field, text: str = "text") -> Column:
+    """score, and spans: start:end of each toxic word (code points, end exclusive), comma-joined."""
     shared = docs.sparkSession.sparkContext.broadcast(field)  # fixed size
 
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts))
+    def score(texts: pd.Series) -> pd.DataFrame:
+        scores, spans = shared.value.scored(texts)
+        return pd.DataFrame({"score": scores, "spans": [",".join(f"{s}:{e}" for s, e, _ in x) for x in spans]})
 
-    return F.pandas_udf(score, "double")(text)
+    return F.pandas_udf(score, "score double, spans string")(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document."""
-    scored = docs.select("doc_id", held_out().alias("held_out"), score_column(docs, trained_on(docs, labels)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-
-
-def toxic_spans(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id and its toxic words (start, end, marginal)."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
-
-    def tag(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": s, "end": e, "marginal": p} for s, e, p in shared.value.spans(t)] for t in texts])
-
-    return docs.select("doc_id", F.pandas_udf(tag, "array<struct<start:int,end:int,marginal:double>>")("text").alias("spans"))
+    """doc_id, held_out, score, the offending offsets and predicted for every document."""
+    scored = docs.select("doc_id", held_out().alias("held_out"), scored_column(docs, trained_on(docs, labels)).alias("s"))
+    return scored.select("doc_id", "held_out", "s.score", (F.col("s.score") >= THRESHOLD).cast("int").alias("predicted"), "s.spans")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
