@@ -2,13 +2,15 @@
 
 Both models are first-order over letters, digits and a few marks, with add-one counts. The labelled samples are
 random strings (drawn by a seeded generator from the usual alphabets of keys) and ordinary identifiers: the words
-of the whole texts of the documents with the SAMPLE_DOCS lowest hashes of their ids, joined as code would join them,
-plus a fixed list. The transitions of that sample are counted on the executors; the driver gets their sums alone, a
-row for each pair of characters at most. A token of MIN_TOKEN or more characters that holds letters and digits is a span if random is likelier
-by MIN_RATIO nats in all and MIN_RATE a character. Spans that touch one found by a pattern are not repeated.
-
-Edge cases: null and empty texts have no spans; texts are scanned whole; repeated rows are alike; with no
-documents the identifier model has the fixed list alone.
+of the whole texts of all documents, joined as code would join them, plus a fixed list. The documents are unlabelled, so
+what letters their own secrets hold are counted as ordinary too; they are few beside the words. Transitions are counted
+where the rows are; the driver gets their sums alone, a row for each pair of characters at most. A token of MIN_TOKEN or
+more characters that holds letters and digits is a span if random is likelier by MIN_RATIO nats in all and MIN_RATE a
+character. A token that lies within a span found by a pattern is not repeated; one that only touches it is a span too.
+
+Edge cases: null and empty texts have no spans; texts are scanned whole, however long; repeated rows are alike; spans
+that start together are in the order of KINDS; with no documents the identifier model has the fixed list alone, and no
+rows come out; other columns, whatever their names, stay or are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
 MIN_TOKEN = 20
 MIN_RATIO = 15.0
 MIN_RATE = 0.6
-SAMPLE_DOCS = 1000  # bounds the training sample of the identifier model; scanning covers all documents
+SAMPLE_CHARS = 1 << 21  # texts whose words are held at once
 CHARACTERS = 65  # letters, digits, two marks, and all others as one
 
 # Ordinary identifiers.
@@ -54,12 +56,11 @@ for _i, _c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 
 def transitions(strings: Iterable[str]) -> np.ndarray:
     """Counts of character pairs; the last row is the start."""
-    counts = np.zeros((CHARACTERS + 1, CHARACTERS), np.int64)
     raw = np.frombuffer("\n".join(["", *strings, ""]).encode("ascii", "replace"), np.uint8)
     c = np.where(raw == 10, CHARACTERS, _CLASS[raw & 127])
     real = c[1:] < CHARACTERS
-    np.add.at(counts, (c[:-1][real], c[1:][real]), 1)
-    return counts
+    cells = (CHARACTERS + 1) * CHARACTERS
+    return np.bincount(c[:-1][real] * CHARACTERS + c[1:][real], minlength=cells).reshape(-1, CHARACTERS)
 
 
 def log_chain(counts: np.ndarray) -> np.ndarray:
@@ -111,7 +112,7 @@ def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, str, int]]
     for m in TOKEN.finditer(text):
         s, e = m.span()
         token = m.group()
-        if not re.search("[0-9]", token) or not re.search("[A-Za-z]", token) or any(a < e and s < b for a, _, b in taken):
+        if not re.search("[0-9]", token) or not re.search("[A-Za-z]", token) or any(a <= s and e <= b for a, _, b in taken):
             continue
         c = _CLASS[np.frombuffer(token.encode(), np.uint8)]
         score = ratio[np.concatenate([[65], c[:-1]]), c].sum()
@@ -125,22 +126,25 @@ def all_spans(text: str | None, ratio: np.ndarray) -> tuple[list, list]:
     return base, sorted(base + markov_spans(text or "", ratio, base), key=lambda x: (x[0], KINDS[x[1]]))
 
 
-def trained_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """The ratio from a bounded sample of documents: its last hash is found from ids alone, then pairs are counted where the rows are."""
-    hashed = F.xxhash64("doc_id")
-    last = docs.select(hashed.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    counts = np.zeros((CHARACTERS + 1, CHARACTERS), np.int64)
+def trained_on(docs: DataFrame) -> np.ndarray:
+    """The ratio from all documents: pairs of characters are counted where the rows are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = transitions(identifier_samples(batch["text"])).ravel()
+            found, part, chars = np.zeros(counts.size, np.int64), [], 0
+            for text in [*batch["text"], None]:
+                part.append(text)
+                chars += len(text or "")
+                if text is None or chars >= SAMPLE_CHARS:
+                    found += transitions(identifier_samples(part)).ravel()
+                    part, chars = [], 0
             cell = np.flatnonzero(found)
             yield pd.DataFrame({"cell": cell, "n": found[cell]})
 
-    if last is not None:
-        sums = docs.where(hashed <= last).select("text").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-        for r in sums.collect():  # at most one row for each pair of characters
-            counts.flat[r["cell"]] = r["n"]
+    counts = np.zeros((CHARACTERS + 1, CHARACTERS), np.int64)
+    sums = docs.select("text").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    for r in sums.collect():  # at most one row for each pair of characters
+        counts.flat[r["cell"]] = r["n"]
     return ratio_of(counts)
 
 
