@@ -17,7 +17,7 @@ NEAR_SIMILARITY = 0.8
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     field = toxicity.trained_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(toxicity.score_column(docs, field) < toxicity.THRESHOLD)
+    return docs.where(toxicity.scored_column(docs, field)["score"] < toxicity.THRESHOLD)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
