@@ -92,7 +92,20 @@ def _passes(similarity: float, bits: int) -> Callable[[pd.DataFrame], list]:
                 ok[part] = (sketch[i[part]] == sketch[j[part]]).sum(1) >= least
             return ok
 
-        return [(bits, partial(alike, least=n)) for n in SKETCH_PASSES]
+        def first_common(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """The last pass, of pairs whose first common bucket is the unit's own, so that every pair comes once."""
+            ok = alike(i, j, SKETCH_PASSES[-1])
+            at = np.flatnonzero(ok)
+            for k in range(0, len(at), 100_000):
+                part = at[k : k + 100_000]
+                x, y = named[i[part]], named[j[part]]
+                ok[part] = x[np.arange(len(part)), (x == y).argmax(1)] == home[i[part]]
+            return ok
+
+        if "bands" not in rows:
+            return [(bits, partial(alike, least=n)) for n in SKETCH_PASSES]
+        named, home = np.stack(rows["bands"].to_numpy()), rows["home"].to_numpy()
+        return [(bits, first_common)]
 
     return of
 
@@ -110,24 +123,25 @@ def near_copies(docs: DataFrame, words_per_shingle: int, similarity: float, bits
     made = docs.select("doc_id", shingled_column("text", words_per_shingle).alias("s"))
     rows = written(made.select("doc_id", "s.*"), "nearcopies-rows")
     # what is no id is a function of the key, but for fp, where texts differ in repeats alone
-    once = rows.groupBy("key").agg(F.min("doc_id").alias("least_doc"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    once = written(once, "nearcopies-once")
-    named = once.where("size > 0").select(F.col("key").alias("node"), F.explode("bands").alias("band"))
+    once = written(rows.groupBy("key").agg(F.min("doc_id").alias("least_doc"), F.first("bands").alias("bands")), "nearcopies-once")
+    named = once.select(F.col("key").alias("node"), F.explode("bands").alias("band"))
     shared = written(named.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nearcopies-bands")
     inside = written(named.join(shared.select("band"), "band", "left_semi"), "nearcopies-inside")
     # the texts that share no bucket, most of them, end here
     nodes = inside.select(F.col("node").alias("key")).distinct()
-    sets = rows.select("key", "shingles").join(nodes, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = rows.where("size > 0").select("key", "fp", "size", "sketch", "bands", "shingles").join(nodes, "key", "left_semi")
+    sets = sets.groupBy("key").agg(F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("size", "sketch", "bands", "shingles")])
     sets = written(sets, "nearcopies-sets")
-    entries = inside.join(once.select(F.col("key").alias("node"), "fp", "size", "sketch"), "node")
+    sketches = sets.select(F.col("key").alias("node"), "fp", "size", "sketch", "bands")
     passes = _passes(similarity, bits)
-    first = _tries.unit_pairs(_tries.one_block_units(entries.withColumn("label", F.col("node")), ["band"], shared, "inner"), passes)
-    first = written(first, "nearcopies-pairs")
+    dealt = _tries.one_block_units(inside.withColumn("home", F.col("band")), ["band"], shared, "inner")
+    dealt = dealt.join(sketches.drop("bands"), "node").withColumn("label", F.col("node"))
+    first = written(_tries.unit_pairs(dealt, passes), "nearcopies-pairs")
     links = written(verified(first, sets, similarity), "nearcopies-links")
     labels = components(links, "nearcopies")
-    at = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    at = written(at, "nearcopies-labelled")
-    rest = written(_tries.unit_pairs(_tries.cross_units(at, ["band"]), passes, every=True).join(first, ["a", "b"], "left_anti"), "nearcopies-pairs")
+    at = written(inside.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "nearcopies-labelled")
+    dealt = _tries.cross_units(at.withColumn("home", F.col("band")), ["band"]).join(sketches, "node")
+    rest = written(_tries.unit_pairs(dealt, passes, every=True).join(first, ["a", "b"], "left_anti"), "nearcopies-pairs")
     discard(shared, inside, first, at)
     more = written(verified(rest, sets, similarity), "nearcopies-links")
     if not more.isEmpty():
