@@ -13,7 +13,7 @@ from array import array
 from functools import lru_cache
 
 END_ID = 1
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 GROUP_CHARS = 1 << 20
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
 

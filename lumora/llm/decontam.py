@@ -37,7 +37,7 @@ EDIT_RATE = 0.08
 WINDOW = 60
 STRIDE = 20
 BLOCK_BYTES = 1 << 20
-HELD_CHARS = 16 << 20  # texts that meet all blocks together
+HELD_CHARS = 4 << 20  # texts that meet all blocks together
 CHUNK_CHARS = 1 << 18
 FILTER_BITS = 22
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int, pattern_chars int, shared int"

@@ -38,7 +38,7 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
 MIN_TOKEN = 20
 MIN_RATIO = 15.0
 MIN_RATE = 0.6
-SAMPLE_CHARS = 1 << 21  # texts whose words are held at once
+SAMPLE_CHARS = 1 << 19  # texts whose words are held at once
 CHARACTERS = 65  # letters, digits, two marks, and all others as one
 
 # Ordinary identifiers.

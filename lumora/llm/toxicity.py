@@ -43,8 +43,8 @@ COPY_BITS = 8
 THRESHOLD = 0.7
 SPAN_LEAST = 0.5  # the marginal from which a word is reported
 STEPS = 30
-CACHE_WORDS = 400_000
-GROUP_CHARS = 4 << 20
+CACHE_WORDS = 200_000
+GROUP_CHARS = 1 << 20
 WORD = re.compile(r"\S+")
 EDGE = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
 
