@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .helpers import first_failure, latest_by
+from .helpers import first_failure
 
 MAX_NODES = 128  # of one graph; bounds every walk over it
 
@@ -99,14 +99,24 @@ def lease_recovery(tasks: DataFrame, as_of: int) -> DataFrame:
     return tasks.where((F.col("state") == "running") & lost).withColumn("next_state", F.when(F.col("has_output"), "succeeded").when(F.col("attempt") < F.col("max_attempts"), "ready").otherwise("failed"))
 
 
+def _staircase(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """The nodes with more free memory than every node of a smaller id: whatever a task needs, the first node that has it is one of them."""
+    before = F.max("free_memory").over(Window.partitionBy(*keys).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1))
+    return nodes.withColumn("_top", before).where("_top IS NULL OR free_memory > _top").select(*keys, "node_id", "free_memory")
+
+
 def schedule(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each ready task the eligible node: with its cell first, then by id; a reason if there is none.
 
-    Tasks meet the few nodes of their kind by an equi-join; nodes are an inventory, far fewer than tasks.
+    A task is looked up in the staircase of its kind and cell and in that of its kind, so it never meets all nodes.
     """
-    fit = tasks.join(nodes, "kind").where("free_memory >= memory AND heartbeat_age_s <= 90")
-    best = latest_by(fit, ["task_id"], [F.desc(F.col("cell") == F.col("node_cell")), F.col("node_id")]).select("task_id", "node_id")
-    return tasks.select("task_id").join(best, "task_id", "left").withColumn("reason_code", F.when(F.col("node_id").isNull(), "no_eligible_node"))
+    live = nodes.where("heartbeat_age_s <= 90").withColumnRenamed("node_cell", "cell")
+
+    def first(keys: list[str], name: str) -> DataFrame:
+        return tasks.join(_staircase(live, keys), keys).where("free_memory >= memory").groupBy("task_id").agg(F.min("node_id").alias(name))
+
+    found = tasks.select("task_id").join(first(["kind", "cell"], "_near"), "task_id", "left").join(first(["kind"], "_far"), "task_id", "left")
+    return found.select("task_id", F.coalesce("_near", "_far").alias("node_id")).withColumn("reason_code", F.when(F.col("node_id").isNull(), "no_eligible_node"))
 
 
 def reconciled(tasks: DataFrame, results: DataFrame) -> DataFrame:

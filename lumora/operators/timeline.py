@@ -118,22 +118,26 @@ def stabbed(items: DataFrame, units: DataFrame, grid_ms: int) -> DataFrame:
     return items.join(hit, "item_id", "left").withColumn("unit", F.coalesce(F.concat(F.lit("unit_"), F.col("unit_id").cast("string")), F.concat(F.lit("derived_"), F.col("item_id").cast("string"))))
 
 
-def as_of(reads: DataFrame, observation: DataFrame, keys: list[str]) -> DataFrame:
-    """For each read the observation that covers its time, else the nearest start, the earlier of two as near.
+def as_of(reads: DataFrame, observation: DataFrame, keys: list[str], grid_ms: int) -> DataFrame:
+    """For each read the observation that covers its time (of several the latest start, then the least id), else the nearest start, the earlier of two as near.
 
-    Both sides are put in one order per key: the nearest start before and after, and the latest start that still
-    covers, are window values, so no read meets every observation.
+    What covers is an overlap join on grid cells, so that a long interval is found behind shorter later ones. For the
+    nearest start both sides are put in one order per key: the start before and the one after are window values.
     """
-    o = observation.select(*keys, F.col("start_ms").alias("t"), "start_ms", "end_ms", "observation_id", F.lit(None).cast("long").alias("read_id"), F.lit(0).alias("kind"))
-    r = reads.select(*keys, F.col("at_ms").alias("t"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.lit(None).cast("long").alias("observation_id"), "read_id", F.lit(1).alias("kind"))
+    spans = observation.select(*keys, F.col("start_ms").alias("other_start_ms"), F.col("end_ms").alias("other_end_ms"), "observation_id")
+    at = reads.select(*keys, "read_id", "at_ms", (F.col("at_ms") + 1).alias("_end"))
+    hit = overlap_join(at, spans, keys, grid_ms, ("at_ms", "_end")).groupBy("read_id").agg(F.min(F.struct((-F.col("other_start_ms")).alias("back"), "observation_id")).alias("hit"))
+    o = observation.select(*keys, F.col("start_ms").alias("t"), "start_ms", "observation_id", F.lit(None).cast("long").alias("read_id"), F.lit(0).alias("kind"))
+    r = reads.select(*keys, F.col("at_ms").alias("t"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("observation_id"), "read_id", F.lit(1).alias("kind"))
     w = Window.partitionBy(*keys)
     upto, after = w.orderBy("t", "kind", F.col("observation_id").desc()).rowsBetween(Window.unboundedPreceding, 0), w.orderBy(F.desc("t"), F.desc("kind"), F.col("observation_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    row = F.when(F.col("kind") == 0, F.struct("start_ms", "end_ms", "observation_id"))
+    row = F.when(F.col("kind") == 0, F.struct("start_ms", "observation_id"))
     both = o.unionAll(r).withColumn("before", F.last(row, True).over(upto)).withColumn("next", F.last(row, True).over(after))
-    both = both.where("kind = 1").withColumnRenamed("t", "at_ms")
+    both = both.where("kind = 1").withColumnRenamed("t", "at_ms").join(hit, "read_id", "left")
     near = F.when(F.col("next").isNull() | (F.col("before").isNotNull() & (F.col("at_ms") - F.col("before.start_ms") <= F.col("next.start_ms") - F.col("at_ms"))), F.col("before")).otherwise(F.col("next"))
-    covers = F.col("before.end_ms") > F.col("at_ms")
-    return both.withColumn("pick", F.when(covers, F.col("before")).otherwise(near)).select(*keys, "read_id", "at_ms", F.col("pick.observation_id").alias("observation_id"), F.coalesce(covers, F.lit(False)).alias("covering"), (F.col("pick.start_ms") - F.col("at_ms")).alias("offset_ms"))
+    covering = F.struct((-F.col("hit.back")).alias("start_ms"), F.col("hit.observation_id").alias("observation_id"))
+    both = both.withColumn("pick", F.when(F.col("hit").isNotNull(), covering).otherwise(near))
+    return both.select(*keys, "read_id", "at_ms", F.col("pick.observation_id").alias("observation_id"), F.col("hit").isNotNull().alias("covering"), (F.col("pick.start_ms") - F.col("at_ms")).alias("offset_ms"))
 
 
 def stalls(progress: DataFrame, threshold_ms: int, window_end_ms: int) -> DataFrame:
@@ -192,10 +196,16 @@ def signature_delta(frames: DataFrame) -> DataFrame:
 
 
 def enriched(material: DataFrame, results: DataFrame, grid_ms: int) -> DataFrame:
-    """The next revision of each latest material that late results overlap: their modality is no longer pending, and the status follows."""
+    """The next revision of each material that late results overlap.
+
+    A result's modality leaves pending (an array); with none left the status is enriched if any result has observed
+    something, else no_observations; while some are pending it is partial.
+    """
     r = results.select("stream_id", F.col("start_ms").alias("other_start_ms"), F.col("end_ms").alias("other_end_ms"), F.col("modality").alias("late"), "observed")
-    hit = overlap_join(material, r, ["stream_id"], grid_ms).groupBy("unit_id", "revision").agg(F.count(F.lit(1)).alias("results"), F.bool_or("observed").alias("_any"))
-    return hit.withColumn("revision", F.col("revision") + 1).withColumn("status", F.when(F.col("_any"), "enriched").otherwise("no_observations")).drop("_any")
+    hit = overlap_join(material, r, ["stream_id"], grid_ms).groupBy("unit_id", "revision").agg(F.first("pending").alias("pending"), F.collect_set("late").alias("_late"), F.count(F.lit(1)).alias("results"), F.bool_or("observed").alias("_any"))
+    left = hit.withColumn("pending", F.array_sort(F.array_except("pending", "_late")))
+    status = F.when(F.size("pending") > 0, "partial").when(F.col("_any"), "enriched").otherwise("no_observations")
+    return left.withColumn("revision", F.col("revision") + 1).withColumn("status", status).drop("_any", "_late")
 
 
 def counted_decisions(decided: DataFrame, column: str) -> DataFrame:

@@ -71,11 +71,11 @@ def o11_j15_lease_recovery(spark, d):
     return o.lease_recovery(tasks, 3000).select("task_id", "next_state")
 
 
-@query("""WITH node AS (SELECT c_custkey AS node_id, c_nationkey AS node_cell, c_custkey % 5 AS kind, c_acctbal AS free_memory, c_custkey % 120 AS age FROM customer WHERE c_custkey < 200), ready AS (SELECT task_id, cell, task_id % 5 AS kind, memory FROM task WHERE state <> 'failed'),
+@query("""WITH node AS (SELECT c_custkey AS node_id, c_nationkey AS node_cell, c_custkey % 5 AS kind, c_acctbal AS free_memory, c_custkey % 120 AS age FROM customer), ready AS (SELECT task_id, cell, task_id % 5 AS kind, memory FROM task WHERE state <> 'failed'),
     fit AS (SELECT task_id, node_id, row_number() OVER (PARTITION BY task_id ORDER BY (cell = node_cell) DESC, node_id) AS rn FROM ready JOIN node USING (kind) WHERE free_memory >= memory AND age <= 90)
     SELECT r.task_id, f.node_id, CASE WHEN f.node_id IS NULL THEN 'no_eligible_node' END AS reason_code FROM ready r LEFT JOIN fit f ON f.task_id = r.task_id AND rn = 1""")
 def o9_j16_l6_schedule(spark, d):
-    node = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey < 200").selectExpr("c_custkey AS node_id", "c_nationkey AS node_cell", "c_custkey % 5 AS kind", "c_acctbal AS free_memory", "c_custkey % 120 AS heartbeat_age_s")
+    node = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS node_id", "c_nationkey AS node_cell", "c_custkey % 5 AS kind", "c_acctbal AS free_memory", "c_custkey % 120 AS heartbeat_age_s")
     ready = view(spark, d, "task").where("state <> 'failed'").selectExpr("task_id", "cell", "task_id % 5 AS kind", "memory")
     return o.schedule(ready, node)
 

@@ -126,14 +126,13 @@ def j11_point_in_interval(spark, d):
 
 
 @query("""WITH r AS (SELECT event_id AS read_id, user_id AS stream_id, MILLIS(ts) - 1704067200000 + 90000 AS at_ms FROM events WHERE event_type = 'click'), o AS (SELECT * FROM obs WHERE modality = 'view'),
-    c AS (SELECT read_id, at_ms, observation_id, start_ms, o.start_ms <= at_ms AND at_ms < o.end_ms AS covering, row_number() OVER (PARTITION BY read_id ORDER BY o.start_ms > at_ms, start_ms DESC, observation_id) AS latest,
-        row_number() OVER (PARTITION BY read_id ORDER BY abs(start_ms - at_ms), start_ms, observation_id) AS nearest FROM r LEFT JOIN o ON o.stream_id = r.stream_id)
-    SELECT read_id, max(CASE WHEN latest = 1 AND covering THEN observation_id END) IS NOT NULL AS covering, coalesce(max(CASE WHEN latest = 1 AND covering THEN observation_id END), max(CASE WHEN nearest = 1 THEN observation_id END)) AS observation_id,
-    coalesce(max(CASE WHEN latest = 1 AND covering THEN start_ms END), max(CASE WHEN nearest = 1 THEN start_ms END)) - max(at_ms) AS offset_ms FROM c GROUP BY read_id""")
+    c AS (SELECT read_id, at_ms, observation_id, start_ms, coalesce(o.start_ms <= at_ms AND at_ms < o.end_ms, false) AS covering FROM r LEFT JOIN o ON o.stream_id = r.stream_id)
+    SELECT read_id, covering, observation_id, start_ms - at_ms AS offset_ms FROM c
+    QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY covering DESC, CASE WHEN covering THEN -start_ms ELSE abs(start_ms - at_ms) END, start_ms, observation_id) = 1""")
 def j12_as_of(spark, d):
     obs = view(spark, d, "obs")
     reads = obs.where("modality = 'click'").select("stream_id", F.col("observation_id").alias("read_id"), (F.col("start_ms") + 90_000).alias("at_ms"))
-    return t.as_of(reads, obs.where("modality = 'view'"), ["stream_id"]).select("read_id", "covering", "observation_id", "offset_ms")
+    return t.as_of(reads, obs.where("modality = 'view'"), ["stream_id"], 300_000).select("read_id", "covering", "observation_id", "offset_ms")
 
 
 @query(f"""WITH {GRID}, x AS (SELECT g.*, EXISTS (SELECT 1 FROM obs o WHERE o.stream_id = g.stream_id AND o.modality = 'view' AND o.start_ms < g.end_ms AND o.end_ms > g.start_ms) AS seen,
@@ -154,12 +153,13 @@ def t11_coverage_advance(spark, d):
 
 
 @query("""WITH m AS (SELECT unit_id, revision, stream_id, start_ms, end_ms FROM material QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY revision DESC) = 1), r AS (SELECT stream_id, start_ms // 1000 AS s, start_ms // 1000 + 2500 AS e, event_id % 3 > 0 AS observed FROM (SELECT *, observation_id AS event_id FROM obs) WHERE modality = 'view')
-    SELECT unit_id, revision + 1 AS revision, count(*) AS results, CASE WHEN bool_or(observed) THEN 'enriched' ELSE 'no_observations' END AS status FROM m JOIN r ON r.stream_id = m.stream_id AND s < end_ms AND e > start_ms GROUP BY ALL""")
+    SELECT m.unit_id, m.revision + 1 AS revision, count(*) AS results, CASE WHEN m.unit_id % 2 = 0 THEN 'ocr' ELSE '' END AS pending, CASE WHEN m.unit_id % 2 = 0 THEN 'partial' WHEN bool_or(observed) THEN 'enriched' ELSE 'no_observations' END AS status FROM m JOIN r ON r.stream_id = m.stream_id AND s < end_ms AND e > start_ms GROUP BY m.unit_id, m.revision""")
 def t12_j10_late_enrichment(spark, d):
     from ..operators.materials import latest_revision
 
     late = view(spark, d, "obs").where("modality = 'view'").selectExpr("stream_id", "start_ms div 1000 AS start_ms", "start_ms div 1000 + 2500 AS end_ms", "modality", "observation_id % 3 > 0 AS observed")
-    return t.enriched(latest_revision(view(spark, d, "material")), late, 10_000)
+    units = latest_revision(view(spark, d, "material")).withColumn("pending", F.expr("CASE WHEN unit_id % 2 = 0 THEN array('view', 'ocr') ELSE array('view') END"))
+    return t.enriched(units, late, 10_000).withColumn("pending", F.array_join("pending", ","))
 
 
 @query("""WITH x AS (SELECT stream_id, pts_ms AS start_ms, coalesce(lead(pts_ms) OVER w, 2592000000) - pts_ms AS gap_ms, coalesce(lead(pts_ms * 2) OVER w - pts_ms * 2, -1) AS pts_jump_ms, CASE WHEN lead(pts_ms) OVER w IS NULL THEN 'stream_gap_at_window_end' ELSE 'recovered' END AS reason

@@ -82,3 +82,23 @@ def test_retention_accounts_for_every_offer():
     got = [r.offer(1, "a", 10), r.offer(1, "a", 10), r.offer(2, "a", 10), r.offer(3, "a", 10), r.offer(4, "b", 90), r.offer(5, "b", 10), r.release(1), r.release(1), r.offer(6, "a", 10)]
     assert got == ["retained", "duplicate_buffer", "retained", "kind_quota", "arena_full", "retained", "released", "unknown_buffer", "retained"]
     assert r.bytes == 30 and len(r.held) == 3
+
+
+def test_as_of_finds_a_long_interval_behind_a_short_one(spark):
+    from lumora.operators.timeline import as_of
+
+    obs = spark.createDataFrame([(1, 10, 0, 1000), (1, 11, 400, 410), (1, 12, 3000, 3010), (2, 13, 0, 5)], "stream_id long, observation_id long, start_ms long, end_ms long")
+    reads = spark.createDataFrame([(1, 1, 500), (1, 2, 405), (1, 3, 2500), (1, 4, 1700), (2, 5, 5), (3, 6, 1)], "stream_id long, read_id long, at_ms long")
+    got = {r["read_id"]: (r["observation_id"], r["covering"], r["offset_ms"]) for r in as_of(reads, obs, ["stream_id"], 300).collect()}
+    assert got == {1: (10, True, -500), 2: (11, True, -5), 3: (12, False, 500), 4: (11, False, -1300), 5: (13, False, -5), 6: (None, False, None)}
+
+
+def test_schedule_against_all_pairs(spark):
+    from lumora.operators.orchestration import schedule
+
+    nodes = [(k, k % 3, k % 2, (k * 37) % 50, (k * 7) % 100) for k in range(60)]
+    tasks = [(k, k % 4, k % 2, (k * 13) % 60) for k in range(80)]
+    got = {r["task_id"]: r["node_id"] for r in schedule(spark.createDataFrame(tasks, "task_id long, cell long, kind long, memory long"), spark.createDataFrame(nodes, "node_id long, node_cell long, kind long, free_memory long, heartbeat_age_s long")).collect()}
+    for i, cell, kind, memory in tasks:
+        fit = sorted((c != cell, n) for n, c, k, free, age in nodes if k == kind and free >= memory and age <= 90)
+        assert got[i] == (fit[0][1] if fit else None)
