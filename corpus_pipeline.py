@@ -46,7 +46,7 @@ STAGES = [
     ("packing", into_sequences),
 ]
 
-#: SQL has no form of these stages; tests/llm compares them with brute force.
+#: SQL has no form of these stages; tests/llm/test_pipeline*.py compares each with a plain version.
 ORACLE_SQL = None
 
 
