@@ -64,25 +64,47 @@ def admit(observation: DataFrame, ledger: DataFrame, window_ms: int) -> DataFram
 READY = ("accepted", "final")
 
 
-def fuse(observation: DataFrame, window_ms: int, required: list[str], enrichment: list[str]) -> DataFrame:
+def fuse(observation: DataFrame, window_ms: int, required: list[str], enrichment: list[str], most: int | None = None) -> DataFrame:
     """One material for each stream and window, with counters and pending modalities.
 
     Status, first that holds: conflict, low_confidence, failed (nothing usable), partial (a required modality is not
     ready), enriched (enrichment asked for and none missing), fast_ready. Order of arrival does not matter. Sets hold
-    modalities, which are few, so nothing in a group grows with its rows.
+    modalities, which are few, so nothing in a group grows with its rows. An id that came twice with one content counts
+    once (duplicates counts the rest); with different contents (columns beyond those used here are compared by a 64-bit hash) it refuses the window (reason_code), as do more than `most`
+    observations: the window's row stays, its status is null.
     """
+    first = ["start_ms", "end_ms", "modality", "confidence", "quality_state"]
+    payload = [c for c in observation.columns if c not in (*first, "stream_id", "observation_id")]
+    content = F.struct(*first, F.xxhash64(F.lit(0), *payload).alias("_payload"))
+    once = windowed(observation, window_ms).where("fits").groupBy("stream_id", "window_start", "observation_id").agg(F.min(content).alias("_o"), (~F.min(content).eqNullSafe(F.max(content))).alias("_differs"), F.count(F.lit(1)).alias("_n"))
+    rows = once.select("stream_id", "window_start", "_o.*", "_differs", "_n")
     q = F.col("quality_state")
-    rows = windowed(observation, window_ms).where("fits").dropDuplicates(["observation_id"])
     both = [*required, *enrichment]
     out = rows.groupBy("stream_id", F.col("window_start").alias("start_ms")).agg(
         F.count(F.lit(1)).alias("received"), F.count_if(q == "partial").alias("n_partial"), F.count_if(q == "rejected").alias("n_rejected"), F.count_if(q == "failed").alias("n_failed"),
         F.count_if(F.col("confidence").isNull()).alias("unknown_confidence"), F.bool_or(q == "conflict").alias("_conflict"), F.bool_or(q == "low_confidence").alias("_low"),
+        (F.sum("_n") - F.count(F.lit(1))).alias("duplicates"), F.bool_or("_differs").alias("_differs"),
         F.bool_or(~q.isin("failed", "rejected")).alias("_usable"), F.collect_set(F.when(q.isin(*READY), F.col("modality"))).alias("_ready"),
     )
     missing = lambda names: F.array_except(F.array(*map(F.lit, names)).cast("array<string>"), "_ready")
     status = F.when(F.col("_conflict"), "conflict").when(F.col("_low"), "low_confidence").when(~F.col("_usable"), "failed").when(F.size(missing(required)) > 0, "partial")
     status = status.when(F.lit(bool(enrichment)) & (F.size(missing(enrichment)) == 0), "enriched").otherwise("fast_ready")
-    return out.withColumn("status", status).withColumn("pending", F.array_join(F.array_sort(missing(both)), ",")).withColumn("end_ms", F.col("start_ms") + window_ms).drop("_conflict", "_low", "_usable", "_ready")
+    refused = first_failure([(F.col("_differs"), "immutable_observation_conflict"), (F.lit(most is not None) & (F.col("received") > (most or 0)), "fusion_observation_limit_exceeded")])
+    out = out.withColumn("reason_code", refused).withColumn("status", F.when(refused.isNull(), status)).withColumn("pending", F.array_join(F.array_sort(missing(both)), ",")).withColumn("end_ms", F.col("start_ms") + window_ms)
+    return out.drop("_conflict", "_low", "_usable", "_ready", "_differs")
+
+
+def fused_again(previous: DataFrame, fused: DataFrame, created_ms: int) -> DataFrame:
+    """The revision of each refused or changed material: an equal one keeps its own, a changed one gets the next.
+
+    A revision must be younger than the one before it (fusion_revision_time_not_increasing).
+    """
+    p = previous.select("stream_id", "start_ms", F.struct("received", "status", "pending").alias("_p"), F.col("revision").alias("_rev"), F.col("created_ms").alias("_at"))
+    at = fused.join(p, ["stream_id", "start_ms"], "left").withColumn("changed", ~F.col("_p").eqNullSafe(F.struct("received", "status", "pending")))
+    late = F.col("changed") & (F.col("_at") >= created_ms)
+    code = F.coalesce("reason_code", F.when(late, "fusion_revision_time_not_increasing"))
+    revision = F.when(code.isNotNull() | ~F.col("changed"), F.col("_rev")).otherwise(F.coalesce(F.col("_rev") + 1, F.lit(1)))
+    return at.withColumn("revision", revision).withColumn("reason_code", code).drop("_p", "_rev", "_at")
 
 
 def coverage(windows: DataFrame, observation: DataFrame, refresh: DataFrame, rejected: DataFrame, modality: str, applicable: Column, failed: Column, planned: Column, default: str, grid_ms: int) -> DataFrame:
@@ -222,3 +244,90 @@ def join_policy(left: DataFrame, right: DataFrame, policy: str, window_ms: int =
     if policy == "window_contains":
         return overlap_join(left, right, ["stream_id"], window_ms).where("start_ms <= other_start_ms AND other_end_ms <= end_ms")
     raise ValueError("join_policy_unknown")
+
+
+def observation_order(observation: DataFrame, window_ms: int) -> DataFrame:
+    """Each observation's place in its material: by start, end, modality, id."""
+    w = Window.partitionBy("stream_id", "window_start").orderBy("start_ms", "end_ms", "modality", "observation_id")
+    return windowed(observation, window_ms).where("fits").withColumn("place", F.row_number().over(w))
+
+
+def listed(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """The first rows of each key, and with each how many more were left out."""
+    w = Window.partitionBy(key)
+    at = rows.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("omitted", F.greatest(F.count(F.lit(1)).over(w) - most, F.lit(0)))
+    return at.where(F.col("place") <= most)
+
+
+def sampling_report(decided: DataFrame) -> DataFrame:
+    """Counters of a sampler's decisions per stream: kept and skipped by reason, the longest frame interval and kept gap."""
+    w = Window.partitionBy("stream_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, -1)
+    kept = F.when(F.col("keep"), F.col("pts_ms"))
+    at = decided.withColumn("_step", F.col("pts_ms") - F.max("pts_ms").over(w)).withColumn("_gap", kept - F.last(kept, True).over(w))
+    counts = {"kept_first_frame": "first_frame", "kept_content_change": "content_change", "kept_static_heartbeat": "static_heartbeat", "skipped_rate_limited": "rate_limited",
+              "skipped_no_change": "no_change_yet", "skipped_non_monotonic": "non_monotonic", "skipped_missing_signature": "missing_signature", "skipped_backpressure_throttled": "backpressure_throttled"}
+    return at.groupBy("stream_id").agg(
+        F.count(F.lit(1)).alias("observed"), F.count_if("keep").alias("kept"), *[F.count_if(F.col("reason") == r).alias(n) for n, r in counts.items()],
+        F.greatest(F.max("_step"), F.lit(0)).alias("max_frame_interval_ms"), F.greatest(F.max("_gap"), F.lit(0)).alias("max_gap_ms"),
+    )
+
+
+def handoff_report(events: DataFrame, capacity: int) -> DataFrame:
+    """Depth of each stream's retained table (now and at its peak), rejections, timeouts and residency.
+
+    Actions: retain, release (with residency_ms), expire, reject. No residency sample leaves an average of 0.
+    """
+    step = F.when(F.col("action") == "retain", 1).when(F.col("action").isin("release", "expire"), -1).otherwise(0)
+    w = Window.partitionBy("stream_id").orderBy("event_id")
+    at = events.withColumn("_step", step).withColumn("_depth", F.sum(step).over(w)).withColumn("_stay", F.when(F.col("action") == "release", F.col("residency_ms")))
+    return at.groupBy("stream_id").agg(
+        F.lit(capacity).alias("capacity"), F.sum("_step").alias("current"), F.greatest(F.max("_depth"), F.lit(0)).alias("peak"), F.count_if(F.col("action") == "reject").alias("dropped_total"),
+        F.count_if(F.col("action") == "expire").alias("timeouts_total"), F.count("_stay").alias("residency_samples"), F.coalesce(F.max("_stay"), F.lit(0)).alias("residency_max_ms"),
+        F.coalesce(F.floor(F.try_divide(F.sum("_stay"), F.count("_stay"))), F.lit(0)).alias("residency_avg_ms"),
+    )
+
+
+def handoff_drops(events: DataFrame) -> DataFrame:
+    return events.where("action = 'reject'").groupBy("stream_id", "kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def segment_report(segments: DataFrame) -> DataFrame:
+    """Segments per stream: count, partial ones, bytes, and the ids of the first and the last."""
+    name = lambda n: F.concat_ws("-", F.lit("seg"), "stream_id", F.lpad(n.cast("string"), 8, "0"))
+    out = segments.groupBy("stream_id").agg(F.count(F.lit(1)).alias("segments"), F.count_if("partial").alias("partial"), F.sum("n_bytes").alias("n_bytes"))
+    return out.withColumn("first_id", name(F.lit(1))).withColumn("last_id", name(F.col("segments")))
+
+
+def accepted_samples(samples: DataFrame) -> DataFrame:
+    """Each decoded sample with the first reason to drop it, and whether its track's origin changes among accepted ones."""
+    video, audio = F.col("kind") == "video", F.col("kind") == "audio"
+    reason = first_failure([
+        (F.coalesce(F.col("pts_ms") < 0, F.lit(True)), "pts_unavailable"), (F.coalesce(F.col("duration_ms") <= 0, F.lit(True)), "duration_unavailable"), (F.coalesce(F.col("n_bytes") == 0, F.lit(True)), "empty_payload"),
+        (video & ((F.col("width") == 0) | (F.col("height") == 0)), "missing_frame_size"), (video & (F.coalesce("pixel_format", F.lit("")) == ""), "missing_pixel_format"),
+        (audio & ((F.col("sample_rate") == 0) | (F.col("channels") == 0)), "missing_audio_layout"),
+    ])
+    track = Window.partitionBy("stream_id", "kind")
+    origin = F.when(reason.isNull(), F.col("origin_ms"))
+    return samples.withColumn("reason_code", reason).withColumn("origin_changed", F.coalesce(F.min(origin).over(track) != F.max(origin).over(track), F.lit(False)))
+
+
+def combined_keep(sampled: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What becomes of each frame: sampler, evidence_only, or dropped with the sampler's reason."""
+    e = evidence.select("stream_id", "frame_index", F.col("retain").alias("_retain"))
+    at = sampled.join(e, ["stream_id", "frame_index"], "left")
+    return at.withColumn("outcome", F.when(F.col("keep"), "sampler").when(F.col("_retain"), "evidence_only").otherwise(F.coalesce("reason", F.lit("no_change_yet")))).drop("_retain")
+
+
+def input_units(frames: DataFrame) -> DataFrame:
+    """Units that executors take from the evidence ledger: anchors one by one and windows whole.
+
+    Frames have stream_id, frame_index, selection, window_id and buffer_id (null: refused by the data plane). An anchor without
+    a buffer is refused; so is a window whose event anchor has none, its other buffers going back. A vision-language
+    model takes the windows and the baseline anchors, text recognition takes the anchors.
+    """
+    baseline, event, held = F.col("selection") == "baseline_anchor", F.col("selection") == "event_anchor", F.col("buffer_id").isNotNull()
+    a = frames.where(baseline | event)
+    label = F.when(held, F.col("buffer_id").cast("string")).otherwise(F.concat(F.lit("anchor-"), F.lpad(F.col("frame_index").cast("string"), 8, "0")))
+    anchors = a.select("stream_id", F.lit("anchor").alias("kind"), label.alias("label"), held.alias("admitted"), F.when(held, 1).otherwise(0).cast("long").alias("n_buffers"), (held & baseline).alias("for_vlm"), held.alias("for_ocr"))
+    whole = frames.where(F.col("window_id").isNotNull()).groupBy("stream_id", "window_id").agg(F.count("buffer_id").alias("n_buffers"), F.bool_or(event & held).alias("admitted"))
+    return anchors.unionAll(whole.select("stream_id", F.lit("window").alias("kind"), F.col("window_id").alias("label"), "admitted", "n_buffers", F.col("admitted").alias("for_vlm"), F.lit(False).alias("for_ocr")))

@@ -35,6 +35,10 @@ VIEWS = {
         s_nationkey % 4 AS attempt, 3 AS max_attempts, s_acctbal AS memory, s_nationkey AS cell FROM supplier""",
     "edge": """SELECT p.run_id, p.task_id AS parent_id, c.task_id AS child_id, (p.node_id + c.node_id) % 3 <> 0 AS required
         FROM task p JOIN task c ON p.run_id = c.run_id AND (c.node_id = p.node_id + 1 OR c.node_id = p.node_id + 3)""",
+    "execution": "SELECT o_orderkey AS execution_id, o_custkey AS job_id, MILLIS(o_orderdate) AS created_ms, o_orderkey % 10 AS run_id, o_orderstatus AS status FROM orders",
+    "receipt": """SELECT l_suppkey AS task_id, CAST(l_linenumber % 4 AS INT) AS attempt, MILLIS(l_shipdate) AS completed_ms, l_orderkey AS receipt_id, l_linenumber AS part, l_partkey AS input_count FROM lineitem""",
+    "window_state": """SELECT user_id % 40 AS execution_id, user_id AS stream_id, DIV(MILLIS(ts) - 1704067200000, 86400000) * 86400000 AS start_ms, DIV(MILLIS(ts) - 1704067200000, 86400000) * 86400000 + 86400000 AS end_ms,
+        event_id AS state_revision, CASE event_id % 6 WHEN 0 THEN 'observed' WHEN 1 THEN 'queued' WHEN 2 THEN 'running' WHEN 3 THEN 'failed' WHEN 4 THEN 'observed' ELSE 'not_observed' END AS state FROM events""",
     "point": "SELECT user_id AS stream_id, event_id AS decode_index, MILLIS(ts) - 1704067200000 AS pts_ms, CAST(floor(value) AS BIGINT) % 256 AS luma, value FROM events",
 }
 
