@@ -14,25 +14,32 @@ from pyspark.sql import DataFrame
 
 
 def fold(df: DataFrame, key: str, order: list[str], make: Callable[[], object], schema: str) -> DataFrame:
-    """Runs make().push(row) over each key's rows in order, and make().finish() after the last; both give lists of rows."""
+    """Runs make().push(row) over each key's rows in order, and make().finish() after the last; both give lists of rows.
+
+    Rows without a key are one group. Keys go to Python as text, so that a null among them costs no digits.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
 
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).assign(**{names[0]: pd.array([r[0] for r in rows], "Int64")})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state, rows = object(), None, []
         for batch in batches:
             for row in batch.itertuples(index=False):
                 k = getattr(row, key)
+                k = None if k is None else int(k)
                 if k != now:
                     if state is not None:
                         rows += [(now, *r) for r in state.finish()]
                     now, state = k, make()
                 rows += [(now, *r) for r in state.push(row)]
-            yield pd.DataFrame(rows, columns=names)
+            yield table(rows)
             rows = []
         if state is not None:
-            yield pd.DataFrame([(now, *r) for r in state.finish()], columns=names)
+            yield table([(now, *r) for r in state.finish()])
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return df.withColumn(key, df[key].cast("string")).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def mean_delta(a, b) -> int:

@@ -45,3 +45,29 @@ def test_sources(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)malformed"):
         readers.report(spark, f"{tmp_path}/c.json").collect()
     assert readers.probed(spark, f"{tmp_path}/a.jsonl").first()["digest"].startswith("sha256:")
+
+
+def test_an_idle_stream_gives_its_last_segment(spark, tmp_path):
+    import time
+
+    chunk = "stream_id long, pts_ms long, duration_ms long, sample_rate long, channels long, sample_format string, n_bytes long"
+    rows = spark.createDataFrame([(s, 100 * k, 100, 1000, 1, "F32LE", 400) for s in (1, 2) for k in range(13)], chunk)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(chunk).parquet(f"{tmp_path}/in")
+    q = jobs.segmented(stream, idle_ms=500, segment_ms=1000).writeStream.format("memory").queryName("idle_segments").option("checkpointLocation", f"{tmp_path}/ck").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and spark.table("idle_segments").count() < 4:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    want = k.segment_audio(rows, segment_ms=1000)
+    assert sorted(spark.table("idle_segments").collect()) == sorted(want.collect()) and want.count() == 4
+
+
+def test_rows_without_a_stream_are_one_group(spark):
+    big = 2**60 + 1
+    rows = spark.createDataFrame([(s, n, n * 10_000, [n]) for s in (None, big) for n in range(3)], FRAME)
+    got = k.sample(rows, min_interval=1, static_hold=10**9, threshold=10**6).collect()
+    assert sorted(r["reason"] for r in got if r["stream_id"] is None) == ["first_frame", "no_change_yet", "no_change_yet"]
+    assert {r["stream_id"] for r in got} == {None, big}
