@@ -1,6 +1,6 @@
 """The kernels and ledgers as Structured Streaming jobs.
 
-Per-stream kernels keep their object in state; late rows get the kernel's own reason and are never dropped in silence.
+Per-stream kernels keep their object in state; late rows get the kernel's own reason.
 Sinks are idempotent: a micro-batch that runs twice adds nothing the second time.
 """
 
@@ -10,6 +10,7 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -58,7 +59,7 @@ def segmented(chunks: DataFrame, idle_ms: int | None = None, **policy) -> DataFr
 
 
 def fused_windows(observation: DataFrame, window: str, late: str) -> DataFrame:
-    """Counts per stream, window and modality on event time. The watermark bounds state only; see late_rows."""
+    """Counts per stream, window and modality on event time. Rows later than the watermark are not counted: Spark reports how many in each query's progress (numRowsDroppedByWatermark, after partial sums)."""
     return observation.withWatermark("at", late).groupBy("stream_id", F.window("at", window), "modality").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -70,8 +71,8 @@ def append_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str)
         new = batch.dropDuplicates(keys)
         try:
             there = spark.read.parquet(path).select(*keys)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
         else:
             new = new.join(there, keys, "left_anti")
