@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ class SourceUnavailable(RuntimeError):
 def table(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             raise SourceUnavailable("source_unavailable") from e
         raise
 
