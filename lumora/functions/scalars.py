@@ -56,10 +56,14 @@ def index_key(key: Column) -> dict[str, Column]:
 
 
 def memory_bytes(text: Column) -> Column:
-    """Bytes of 1Gi, 512Mi, 1g, 64k or a plain number; 0 if it is none of these."""
-    n, unit = F.regexp_extract(text, r"^([0-9]+)", 1).cast("long"), F.lower(F.regexp_extract(text, r"^[0-9]+([A-Za-z]*)$", 1))
-    scale = F.when(unit.isin("k", "ki"), 1 << 10).when(unit.isin("m", "mi"), 1 << 20).when(unit.isin("g", "gi"), 1 << 30).when(unit == "", 1)
-    return F.coalesce(F.when(text.rlike(r"^[0-9]+([A-Za-z]*)$"), n * scale), F.lit(0).cast("long"))
+    """Bytes of 1Gi, 1.5Gi, 512Mi (powers of 1024), 1g, 64k (powers of 1000) or a whole number; 0 if it is none of these."""
+    low = F.lower(F.trim(text))
+    n = F.trim(F.regexp_extract(low, r"^(.*?)([kmg]i?)?$", 1))
+    unit = F.regexp_extract(low, r"([kmg]i?)$", 1)
+    power = F.when(unit.startswith("k"), 1).when(unit.startswith("m"), 2).otherwise(3)
+    scaled = F.when(n.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), n.cast("double") * F.pow(F.when(unit.endswith("i"), 1024).otherwise(1000), power)).cast("long")
+    whole = F.when(n.rlike(r"^[+-]?[0-9]{1,18}$"), n.cast("long"))
+    return F.coalesce(F.when(unit != "", scaled).otherwise(whole), F.lit(0).cast("long"))
 
 
 def block_text(blocks: Column, most_blocks: int = 256, most_chars: int = 4096) -> Column:

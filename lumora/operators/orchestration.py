@@ -125,15 +125,6 @@ def reconciled(tasks: DataFrame, results: DataFrame) -> DataFrame:
     return both.withColumn("next_state", F.when(F.col("reported_attempt") != F.col("attempt"), "stale_attempt").when(F.col("state") == "cancelled", "cancelled").when(F.col("ok"), "succeeded").when(F.col("attempt") < F.col("max_attempts"), "ready").otherwise("failed"))
 
 
-def preflight(nodes: DataFrame) -> DataFrame:
-    """The first check that a node fails."""
-    rules = [
-        (F.col("heartbeat_age_s") > 60, "heartbeat_stale"), (F.col("node_cell") % 7 == 0, "locality_mismatch"), (F.col("form") == "none", "artifact_form_unsupported"),
-        (F.col("platform") == "other", "platform_mismatch"), (F.col("free_memory") < 1000, "memory_insufficient"), (F.col("digest_ok") == F.lit(False), "digest_mismatch"),
-    ]
-    return nodes.withColumn("reason_code", first_failure(rules))
-
-
 def report_fence(reports: DataFrame) -> DataFrame:
     """The fixed order of checks on a deployment report."""
     rules = [("duplicate", "duplicate_report"), ("closed", "operation_closed"), ("wrong_node", "node_mismatch"), ("stale", "stale_operation"), ("old_generation", "generation_mismatch"), ("late", "deadline_passed")]

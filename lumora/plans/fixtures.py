@@ -40,6 +40,32 @@ VIEWS = {
     "window_state": """SELECT user_id % 40 AS execution_id, user_id AS stream_id, DIV(MILLIS(ts) - 1704067200000, 86400000) * 86400000 AS start_ms, DIV(MILLIS(ts) - 1704067200000, 86400000) * 86400000 + 86400000 AS end_ms,
         event_id AS state_revision, CASE event_id % 6 WHEN 0 THEN 'observed' WHEN 1 THEN 'queued' WHEN 2 THEN 'running' WHEN 3 THEN 'failed' WHEN 4 THEN 'observed' ELSE 'not_observed' END AS state FROM events""",
     "point": "SELECT user_id AS stream_id, event_id AS decode_index, MILLIS(ts) - 1704067200000 AS pts_ms, CAST(floor(value) AS BIGINT) % 256 AS luma, value FROM events",
+    "track": """SELECT event_id AS track_id, CASE WHEN event_id % 2 = 0 THEN 'video' ELSE 'audio' END AS kind,
+        CASE DIV(event_id, 2) % 29 WHEN 0 THEN NULL WHEN 1 THEN 'video/x-h264' WHEN 2 THEN 'video/x-flv' WHEN 3 THEN 'video/Odd--Thing.' WHEN 4 THEN '//' WHEN 5 THEN 'video/webm' WHEN 6 THEN 'video/x-mpeg' ELSE 'video/quicktime' END AS container,
+        CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 2 = 0 THEN CASE DIV(event_id, 2) % 7 WHEN 0 THEN 'video/x-vp8' WHEN 1 THEN 'video/x-vp9' WHEN 2 THEN 'video/x-prores' WHEN 3 THEN 'video/x-h264' WHEN 4 THEN 'video/X-New' ELSE 'video/x-h265' END
+            ELSE CASE DIV(event_id, 2) % 7 WHEN 0 THEN 'audio/x-opus' WHEN 1 THEN 'audio/x-raw' WHEN 2 THEN 'audio/x-ac3' ELSE 'audio/mpeg' END END AS codec,
+        CASE WHEN event_id % 2 = 1 THEN CASE DIV(event_id, 2) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'HE-AAC v2' ELSE 'LC' END
+            ELSE CASE DIV(event_id, 2) % 11 WHEN 0 THEN NULL WHEN 1 THEN 'main-10' WHEN 2 THEN 'high-4:2:2-12' WHEN 3 THEN 'main-4:4:4' WHEN 4 THEN 'high' WHEN 5 THEN '1' WHEN 6 THEN '2' ELSE 'Main' END END AS profile,
+        CASE DIV(event_id, 2) % 3 WHEN 0 THEN 8 WHEN 1 THEN NULL ELSE 8 + 2 * DIV(event_id % 13, 12) END AS bit_depth,
+        CASE DIV(event_id, 2) % 13 WHEN 0 THEN NULL WHEN 1 THEN '4:2:2' ELSE '4:2:0' END AS chroma,
+        CASE DIV(event_id, 2) % 17 WHEN 0 THEN NULL WHEN 1 THEN ' BT2020 ' WHEN 2 THEN '2:6:14:1' WHEN 3 THEN '2:6:15:7' WHEN 4 THEN '1:4:0:7' WHEN 5 THEN 'bt2100-pq' WHEN 6 THEN 'arib-std-b67' WHEN 7 THEN '2:3:5' WHEN 8 THEN '2:3: 5 :1' WHEN 9 THEN 'bt2020-10' WHEN 10 THEN '2:3:x:7' ELSE 'bt709' END AS colorimetry,
+        CASE DIV(event_id, 2) % 9 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 4 END AS mpegversion, CASE DIV(event_id, 2) % 19 WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN NULL ELSE 2 END AS channels FROM events""",
+    "deployment": """SELECT event_id AS deployment_id, CASE WHEN event_id % 53 = 0 THEN NULL ELSE event_id % 97 END AS node_id,
+        CASE event_id % 41 WHEN 0 THEN 'revoked' WHEN 1 THEN 'offline' WHEN 2 THEN 'draining' WHEN 3 THEN 'lost' WHEN 4 THEN NULL WHEN 5 THEN 'enrolling' ELSE 'ready' END AS status,
+        event_id % 64 AS heartbeat_age_s, event_id % 3 > 0 AS co_located, event_id % 89 AS data_plane_node_id,
+        CASE event_id % 11 WHEN 0 THEN 'container' WHEN 1 THEN '' ELSE 'local_native,container' END AS artifacts,
+        CASE WHEN event_id % 7 = 0 THEN 'linux' ELSE 'macOS' END AS platform, 'aarch64' AS arch, CASE event_id % 5 WHEN 0 THEN '' ELSE 'metal,coreml' END AS accelerators,
+        1 + event_id % 8 AS cpu_cores, (event_id % 9) * 300000000 AS memory_bytes, CASE event_id % 6 WHEN 0 THEN 'org.demo.whisper-MLX' ELSE 'org.demo.ocr' END AS plugin_id,
+        CASE event_id % 4 WHEN 0 THEN 'container' WHEN 1 THEN NULL ELSE 'local_native' END AS form, CASE event_id % 10 WHEN 0 THEN 'cpu,cuda_ipc' ELSE 'cpu' END AS memory_kinds,
+        CASE event_id % 12 WHEN 0 THEN 'CoreML' WHEN 1 THEN 'cuda' WHEN 2 THEN 'cpu' END AS provider, CASE event_id % 14 WHEN 0 THEN '4' WHEN 1 THEN 'many' END AS cpu,
+        CASE event_id % 15 WHEN 0 THEN '1Gi' WHEN 1 THEN '1.5g' WHEN 2 THEN '400M' END AS memory, event_id % 43 AS digest_kind FROM events""",
+    "graph_node": """SELECT unit_id AS run_id, revision AS position, CASE WHEN part_id % 41 = 0 THEN ' ' WHEN part_id % 43 = 0 THEN ' n1' ELSE 'n' || revision END AS node_id, CASE WHEN supplier_id % 47 = 0 THEN NULL ELSE 'p' END AS plugin_id,
+        CASE WHEN part_id % 53 = 0 THEN 0 ELSE 1000 END AS deadline_ms, CASE WHEN supplier_id % 59 = 0 THEN 17 ELSE 3 END AS max_attempts,
+        CASE WHEN part_id % 61 = 0 THEN 'anywhere' WHEN part_id % 5 = 0 THEN 'OBJECT_ref_allowed' WHEN part_id % 3 = 0 THEN NULL ELSE 'data_plane_local' END AS placement,
+        CASE WHEN part_id % 67 = 0 THEN 'frame' ELSE 'text' END AS second_input FROM material""",
+    "graph_edge": """SELECT unit_id AS run_id, revision AS position, 'n' || CASE WHEN part_id % 17 = 0 THEN revision WHEN part_id % 19 = 0 THEN 1 ELSE revision - 1 END AS from_id, 'n' || CASE WHEN part_id % 19 = 0 THEN 2 WHEN part_id % 23 = 0 THEN 90 ELSE revision END AS to_id,
+        CASE WHEN supplier_id % 11 = 0 THEN '' WHEN supplier_id % 13 = 0 THEN 'sound' WHEN supplier_id % 7 = 0 THEN 'vector' ELSE 'frame' END AS modality,
+        CASE WHEN part_id % 29 = 0 THEN 'any' WHEN part_id % 2 = 0 THEN 'window_contains' WHEN part_id % 7 = 0 THEN NULL ELSE 'same_item' END AS join_policy FROM material""",
 }
 
 

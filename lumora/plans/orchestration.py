@@ -87,13 +87,6 @@ def o10_o12_reconcile(spark, d):
     return o.reconciled(tasks, results).select("task_id", "next_state")
 
 
-@query("""SELECT c_custkey AS node_id, CASE WHEN c_custkey % 120 > 60 THEN 'heartbeat_stale' WHEN c_nationkey % 7 = 0 THEN 'locality_mismatch' WHEN c_mktsegment = 'MACHINERY' THEN 'artifact_form_unsupported'
-    WHEN c_custkey % 11 = 0 THEN 'platform_mismatch' WHEN c_acctbal < 1000 THEN 'memory_insufficient' WHEN c_custkey % 13 = 0 THEN 'digest_mismatch' END AS reason_code FROM customer""")
-def o16_preflight(spark, d):
-    node = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS node_id", "c_custkey % 120 AS heartbeat_age_s", "c_nationkey AS node_cell", "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'none' ELSE 'image' END AS form", "CASE WHEN c_custkey % 11 = 0 THEN 'other' ELSE 'linux' END AS platform", "c_acctbal AS free_memory", "c_custkey % 13 <> 0 AS digest_ok")
-    return o.preflight(node).select("node_id", "reason_code")
-
-
 @query("""SELECT task_id, CASE WHEN task_id % 19 = 0 THEN 'duplicate_report' WHEN state = 'succeeded' THEN 'operation_closed' WHEN task_id % 5 = 0 THEN 'node_mismatch' WHEN task_id % 7 = 0 THEN 'stale_operation'
     WHEN attempt = 2 THEN 'generation_mismatch' WHEN memory < 0 THEN 'deadline_passed' ELSE 'accepted' END AS reason_code FROM task""")
 def o20_report_fence(spark, d):

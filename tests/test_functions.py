@@ -27,7 +27,7 @@ def test_text_functions(spark):
     assert one(spark, s.comma_list(F.lit(" a，b, ,a,c "))) == ["a", "b", "c"]
     unit, revision = s.payload_ref(F.lit("material:a:b:12"))
     assert (one(spark, unit), one(spark, revision)) == ("a:b", 12) and one(spark, s.payload_ref(F.lit("material:a:0"))[1]) is None
-    assert [one(spark, s.memory_bytes(F.lit(x))) for x in ("1Gi", "512Mi", "1g", "7", "x", "2q")] == [1 << 30, 512 << 20, 1 << 30, 7, 0, 0]
+    assert [one(spark, s.memory_bytes(F.lit(x))) for x in ("1Gi", "1.5Gi", "512 Mi", "1g", "64k", "7", "1.5", "x", "2q", "gi")] == [1 << 30, 3 << 29, 512 << 20, 10**9, 64_000, 7, 0, 0, 0, 0]
     assert one(spark, s.block_text(F.array(F.lit(" a "), F.lit(" "), F.lit("b")))) == "a\nb"
     key = s.index_key(F.lit("material_text_bge_small_zh_v1_5_d512_v1"))
     assert (one(spark, key["dimension"]), one(spark, key["version"])) == (512, 1)
