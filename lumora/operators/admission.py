@@ -1,4 +1,4 @@
-"""Admission decisions: media formats, target nodes and task graphs, each by the first rule that fails."""
+"""Admission decisions: media formats, target nodes, task graphs and enrichment tasks, each by the first rule that fails."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import memory_bytes
-from .helpers import first_failure
+from ..functions.scalars import derived_id, memory_bytes
+from .helpers import first_failure, overlap_join
 
 # Container and codec names, colour numbers, limits and reason codes that results must equal.
 CONTAINERS = {
@@ -45,7 +45,7 @@ ACCELERATORS = ["metal", "coreml", "cuda", "tensorrt"]
 HEARTBEAT_S = 60
 PLACEMENTS = ["data_plane_local", "object_ref_allowed"]
 JOINS = ["same_item", "same_stream_window", "window_contains"]
-MOST_NODES, MOST_EDGES, MOST_ATTEMPTS = 128, 1024, 16
+MOST_NODES, MOST_EDGES, MOST_ATTEMPTS, MOST_TASKS = 128, 1024, 16, 16384
 
 
 def sanitised(text: Column) -> Column:
@@ -195,3 +195,27 @@ def graph_rule_failures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     broken = both.withColumn("own", broken).withColumn("again", again).select("run_id", F.coalesce("own", F.when(c("again"), "duplicate_orchestration_edge")).alias("reason")).where("reason IS NOT NULL")
     found = sizes.where("reason IS NOT NULL").unionAll(bad).unionAll(broken)
     return found.groupBy("run_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def enqueued_enrichments(inputs: DataFrame, units: DataFrame, existing: DataFrame, grid_ms: int, most: int = MOST_TASKS) -> DataFrame:
+    """A task for each input (execution_id, node_id, ref, start_ms, end_ms): task_id, unit_id, outcome, and whether its execution is refused.
+
+    An input belongs to the first unit (execution_id, unit_id, start_ms, end_ms) that its start is in. Ids are derived from the input, so
+    repeats give one task. outcome: created, existing (in existing: task_id, unit_id), or a reason; a reason refuses the whole execution.
+    """
+    at = units.select("execution_id", "unit_id", F.col("start_ms").alias("other_start_ms"), F.col("end_ms").alias("other_end_ms"))
+    keys = ["execution_id", "node_id", "ref", "start_ms", "end_ms"]
+    tasks = inputs.select(*keys).distinct().withColumn("task_id", derived_id("enr_", *map(F.col, keys)))
+    points = tasks.select("execution_id", "task_id", "start_ms", (F.col("start_ms") + 1).alias("point_end"))
+    first = F.min_by("unit_id", F.struct("other_start_ms", "unit_id"))
+    mapped = overlap_join(points, at, ["execution_id"], grid_ms, ("start_ms", "point_end")).groupBy("task_id").agg(first.alias("unit_id"))
+    counts = tasks.groupBy("execution_id").agg(F.count(F.lit(1)).alias("_n"))
+    both = tasks.join(mapped, "task_id", "left").join(existing.select("task_id", F.col("unit_id").alias("_unit")), "task_id", "left").join(counts, "execution_id")
+    reason = first_failure([
+        (F.col("_n") > most, "enrichment_task_budget_exceeded"), (F.col("unit_id").isNull(), "enrichment_input_range_unmapped"),
+        (F.col("_unit") != F.col("unit_id"), "enrichment_task_identity_conflict"),
+    ])
+    judged = both.withColumn("reason", reason)
+    refused = judged.where("reason IS NOT NULL").select("execution_id", F.lit(True).alias("refused")).distinct()
+    outcome = F.coalesce("reason", F.when(F.col("_unit").isNotNull(), "existing"), F.lit("created"))
+    return judged.join(refused, "execution_id", "left").select("task_id", "execution_id", "unit_id", outcome.alias("outcome"), F.coalesce("refused", F.lit(False)).alias("refused"))

@@ -1,13 +1,16 @@
-"""Queries over admission: media formats, target nodes, submitted graphs."""
+"""Queries over admission: media formats, target nodes, submitted graphs, enrichment tasks; texts of numbers and references."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as s
 from ..operators import admission as a
 from .fixtures import view
 from .registry import query
 
+DAY = 86_400_000
+
 COLOURS = r"""named(name, p, t, m) AS (VALUES ('bt601', 4, 16, 4), ('bt709', 1, 5, 3), ('smpte240m', 5, 6, 5), ('bt2020', 7, 11, 6), ('bt2020-10', 7, 13, 6), ('bt2100-pq', 7, 14, 6), ('bt2100-hlg', 7, 15, 6)),
     low AS (SELECT *, lower(trim(colorimetry)) AS low, regexp_full_match(lower(trim(colorimetry)), '( *\+?\d+ *)(: *\+?\d+ *){3}') AS four FROM track),
     colour AS (SELECT low.*, coalesce(p, CASE WHEN four THEN CAST(trim(split_part(low, ':', 4)) AS BIGINT) END) AS primaries, coalesce(t, CASE WHEN four THEN CAST(trim(split_part(low, ':', 3)) AS BIGINT) END) AS transfer,
@@ -64,3 +67,32 @@ def o16_preflight(spark, d):
 def o1_graph_rules(spark, d):
     nodes = view(spark, d, "graph_node").withColumn("consumes", F.array(F.lit("frame"), "second_input")).withColumn("produces", F.array(F.lit("frame"), F.lit("vector")))
     return a.graph_rule_failures(nodes, view(spark, d, "graph_edge"))
+
+
+@query("""WITH unit AS (SELECT stream_id, min(state_revision) AS unit_id, start_ms, end_ms FROM window_state WHERE stream_id % 10 = 1 OR state_revision % 3 <> 0 GROUP BY stream_id, start_ms, end_ms),
+    wanted AS (SELECT 'enr_' || substr(sha256(concat_ws('|', stream_id, modality, observation_id, o.start_ms, o.end_ms)), 1, 32) AS task_id, stream_id AS execution_id, observation_id,
+        (SELECT unit_id FROM unit u WHERE u.stream_id = o.stream_id AND u.start_ms <= o.start_ms AND o.start_ms < u.end_ms) AS unit_id FROM obs o),
+    j AS (SELECT *, CASE WHEN unit_id IS NULL THEN 'enrichment_input_range_unmapped' WHEN observation_id % 640 = 0 THEN 'enrichment_task_identity_conflict' END AS reason FROM wanted)
+    SELECT task_id, execution_id, unit_id, coalesce(reason, CASE WHEN observation_id % 4 = 0 THEN 'existing' ELSE 'created' END) AS outcome, count(reason) OVER (PARTITION BY execution_id) > 0 AS refused FROM j""")
+def t27_enqueue_enrichments(spark, d):
+    units = view(spark, d, "window_state").where("stream_id % 10 = 1 OR state_revision % 3 <> 0").groupBy("stream_id", "start_ms", "end_ms").agg(F.min("state_revision").alias("unit_id")).withColumnRenamed("stream_id", "execution_id")
+    inputs = view(spark, d, "obs").selectExpr("stream_id AS execution_id", "modality AS node_id", "observation_id AS ref", "start_ms", "end_ms")
+    none = units.limit(0)
+    first = a.enqueued_enrichments(inputs.where("ref % 4 = 0"), units, none.selectExpr("'' AS task_id", "unit_id"), DAY)
+    # tasks of an earlier call; of some the unit has changed since
+    ids = inputs.select("ref", a.derived_id("enr_", *map(F.col, ("execution_id", "node_id", "ref", "start_ms", "end_ms"))).alias("task_id"))
+    existing = first.join(ids, "task_id").select("task_id", F.when(F.col("ref") % 640 == 0, -1).otherwise(F.col("unit_id")).alias("unit_id"))
+    return a.enqueued_enrichments(inputs, units, existing, DAY)
+
+
+@query("""SELECT event_id, printf('%02d:%02d:%02d.%03d', DIV(ms, 3600000), DIV(ms, 60000) % 60, DIV(ms, 1000) % 60, ms % 1000) AS clock, CASE WHEN event_id % 3 = 0 THEN CAST(s AS BIGINT) * 1000 + 250 WHEN event_id % 3 = 1 THEN CAST(s AS BIGINT) * 1000 END AS parsed_ms,
+    CASE event_id % 6 WHEN 0 THEN 1024 * (event_id % 100) WHEN 1 THEN 1000 * (event_id % 100) WHEN 2 THEN 1048576 * (event_id % 100) + 524288 WHEN 3 THEN event_id % 100 ELSE 0 END AS memory_bytes,
+    CASE WHEN event_id % 5 > 0 THEN 'u:' || user_id END AS unit, CASE WHEN event_id % 5 > 0 THEN event_id % 5 END AS revision, list_aggregate(list_distinct([event_type, CAST(event_id % 2 AS VARCHAR), '0']), 'count') AS n_tags
+    FROM (SELECT *, MILLIS(ts) % 400000000 AS ms, CAST(user_id AS VARCHAR) AS s FROM events)""")
+def scalar_texts(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("ms", F.expr("unix_millis(CAST(ts AS TIMESTAMP)) % 400000000")).withColumn("s", F.col("user_id").cast("string"))
+    seconds = F.expr("s || CASE event_id % 3 WHEN 0 THEN '.25' WHEN 1 THEN '' ELSE '.1234' END")
+    size = F.expr("(event_id % 100) || CASE event_id % 6 WHEN 0 THEN 'Ki' WHEN 1 THEN 'k' WHEN 2 THEN '.5Mi' WHEN 3 THEN '' ELSE 'q' END")
+    unit, revision = s.payload_ref(F.expr("'material:u:' || user_id || ':' || (event_id % 5)"))
+    tags = F.expr("event_type || ' ,， 0,' || (event_id % 2)")
+    return e.select("event_id", s.ms_to_clock(F.col("ms")).alias("clock"), s.seconds_to_ms(seconds).alias("parsed_ms"), s.memory_bytes(size).alias("memory_bytes"), F.when(revision > 0, unit).alias("unit"), revision.alias("revision"), F.size(s.comma_list(tags)).alias("n_tags"))
