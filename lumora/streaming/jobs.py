@@ -10,13 +10,13 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.kernels import EVIDENCE_SCHEMA, SAMPLER_SCHEMA, SEGMENT_SCHEMA, Evidence, Sampler, Segmenter
+from .consumer import Consumer, consume, taken
 
 
 def keyed_fold(frames: DataFrame, make: Callable[[], object], schema: str, order: str, idle_ms: int | None = None) -> DataFrame:
@@ -59,23 +59,10 @@ def segmented(chunks: DataFrame, idle_ms: int | None = None, **policy) -> DataFr
 
 
 def fused_windows(observation: DataFrame, window: str, late: str) -> DataFrame:
-    """Counts per stream, window and modality on event time. Rows later than the watermark are not counted: Spark reports how many in each query's progress (numRowsDroppedByWatermark, after partial sums)."""
+    """Counts per stream, window and modality on event time. Rows later than the watermark are not counted; a consumer with an event time keeps them in a table of its own."""
     return observation.withWatermark("at", late).groupBy("stream_id", F.window("at", window), "modality").agg(F.count(F.lit(1)).alias("n"))
 
 
 def append_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> DataStreamWriter:
-    """A sink that adds the rows whose keys are not there yet: at-least-once delivery becomes once."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        try:
-            there = spark.read.parquet(path).select(*keys)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-        else:
-            new = new.join(there, keys, "left_anti")
-        new.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    """A sink that adds the rows whose keys are not there yet: at-least-once delivery becomes once. The ledger is read, of the sink only what meets a batch's range of keys."""
+    return consume(stream, Consumer(path, tuple(keys)), taken, checkpoint)
