@@ -73,6 +73,28 @@ def block_text(blocks: Column, most_blocks: int = 256, most_chars: int = 4096) -
     return F.when((F.size(blocks) <= most_blocks) & (F.length(text) <= most_chars), text)
 
 
+def model_text(text: Column, most_chars: int = 4096) -> Column:
+    """A model's one text, stripped; null where it is blank or too long."""
+    text = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.when((text != "") & (F.length(text) <= most_chars), text)
+
+
+def model_text_reason(text: Column, most_chars: int = 4096) -> Column:
+    """Why a model's text is refused, or null."""
+    stripped = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.when(text.isNull(), "input_payload_missing_text").when(stripped == "", "input_text_empty").when(F.length(stripped) > most_chars, "input_text_exceeds_bound")
+
+
+def hours_before(at_ms: Column, hours: Column) -> Column:
+    """A stated time less some hours, in milliseconds."""
+    return at_ms - hours * 3_600_000
+
+
+def most_keeps(duration_ms: Column, interval_ms: Column) -> Column:
+    """How many frames or windows an interval between them allows at most."""
+    return F.when(duration_ms <= 0, F.lit(1).cast("long")).otherwise(F.floor(duration_ms / interval_ms) + 1)
+
+
 def normalised_box(box: Column, width: Column, height: Column) -> Column:
     return F.transform(box, lambda p: F.struct(F.round(p["x"] / width, 6).alias("x"), F.round(p["y"] / height, 6).alias("y")))
 

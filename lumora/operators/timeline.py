@@ -52,15 +52,6 @@ def windowed(observation: DataFrame, window_ms: int) -> DataFrame:
     return observation.withColumn("window_start", start).withColumn("fits", F.col("end_ms") <= start + window_ms)
 
 
-def admit(observation: DataFrame, ledger: DataFrame, window_ms: int) -> DataFrame:
-    """Each observation with the first reason to reject it, or null: no ledger item, outside it, over a window's edge."""
-    at = windowed(observation.join(ledger, ["stream_id", "item_id"], "left"), window_ms)
-    return at.withColumn("reason_code", first_failure([
-        (F.col("item_start").isNull(), "ledger_item_missing"), (F.col("end_ms") <= F.col("start_ms"), "range_invalid"),
-        ((F.col("start_ms") < F.col("item_start")) | (F.col("end_ms") > F.col("item_end")), "outside_ledger_range"), (~F.col("fits"), "crosses_window"),
-    ]))
-
-
 READY = ("accepted", "final")
 
 

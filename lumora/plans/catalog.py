@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import admission, executions, ledger, materials, orchestration, timeline
+from . import admission, executions, intake, ledger, materials, orchestration, timeline
 from .registry import FOUND
 
 
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
     return {k: sql for k, (_, sql) in FOUND.items() if sql}
 
 
-__all__ = ["admission", "executions", "ledger", "materials", "oracle_sql", "orchestration", "queries", "timeline"]
+__all__ = ["admission", "executions", "intake", "ledger", "materials", "oracle_sql", "orchestration", "queries", "timeline"]

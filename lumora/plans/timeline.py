@@ -76,17 +76,6 @@ def j7_window_assignment(spark, d):
     return t.windowed(view(spark, d, "obs"), 300_000).select("observation_id", "window_start", "fits")
 
 
-LEDGER = "led AS (SELECT stream_id, observation_id AS item_id, start_ms - 1 AS item_start, end_ms + 5 - (observation_id % 4) * 3 AS item_end FROM obs WHERE observation_id % 6 > 0)"
-
-
-@query(f"""WITH {LEDGER} SELECT coalesce(CASE WHEN item_start IS NULL THEN 'ledger_item_missing' WHEN end_ms <= start_ms THEN 'range_invalid' WHEN start_ms < item_start OR end_ms > item_end THEN 'outside_ledger_range'
-    WHEN end_ms > start_ms // 300000 * 300000 + 300000 THEN 'crosses_window' END, 'accepted') AS reason, count(*) AS n FROM obs LEFT JOIN led ON led.stream_id = obs.stream_id AND item_id = observation_id GROUP BY 1""")
-def f13_a27_admission(spark, d):
-    obs = view(spark, d, "obs").withColumn("item_id", F.col("observation_id"))
-    ledger = obs.where("observation_id % 6 > 0").selectExpr("stream_id", "item_id", "start_ms - 1 AS item_start", "end_ms + 5 - (observation_id % 4) * 3 AS item_end")
-    return t.admit(obs, ledger, 300_000).groupBy(F.coalesce("reason_code", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("""WITH x AS (SELECT *, start_ms // 300000 * 300000 AS ws FROM obs WHERE end_ms <= start_ms // 300000 * 300000 + 300000),
     g AS (SELECT stream_id, ws AS start_ms, ws + 300000 AS end_ms, count(*) AS received, count_if(quality_state = 'partial') AS n_partial, count_if(quality_state = 'rejected') AS n_rejected, count_if(quality_state = 'failed') AS n_failed, count_if(confidence IS NULL) AS unknown_confidence,
     bool_or(quality_state = 'conflict') AS c, bool_or(quality_state = 'low_confidence') AS l, bool_or(quality_state NOT IN ('failed', 'rejected')) AS u, bool_or(modality = 'view' AND quality_state IN ('accepted', 'final')) AS v, bool_or(modality = 'click' AND quality_state IN ('accepted', 'final')) AS k FROM x GROUP BY stream_id, ws)
