@@ -20,8 +20,10 @@ def fold(df: DataFrame, key: str, order: list[str], make: Callable[[], object],
     """
     names = [c.split()[0] for c in schema.split(", ")]
 
+    whole = {c.split()[0] for c in schema.split(", ") if c.split()[1] in ("long", "int")}
+
     def table(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).assign(**{names[0]: pd.array([r[0] for r in rows], "Int64")})
+        return pd.DataFrame({n: pd.array([r[k] for r in rows], "Int64") if n in whole else pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(names)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state, rows = object(), None, []
@@ -266,10 +268,162 @@ class Retention:
         return []
 
 
+class Handoff:
+    """Retained buffers and their leases: one lease a buffer, a window inside the buffer, a bounded time; what is released or expired is gone.
+
+    Retaining asks the table's limit, then a kind's quota (half of it), then the id, then the bytes in all. A lease is over
+    when it is released, or when it has expired and the next acquire or expire finds it so.
+    """
+
+    MOST_LEASES = 4096
+    TTL_MS = (50, 60_000)
+
+    def __init__(self, limit: int = 64, arena_bytes: int = 64 << 20):
+        self.limit, self.quota, self.arena = limit, max(1, limit // 2), arena_bytes
+        self.held: dict[object, tuple[str, int, str | None]] = {}  # kind, bytes, lease
+        self.leases: dict[str, tuple[int, object]] = {}  # expiry, buffer
+        self.issued = self.bytes = 0
+
+    def retain(self, buffer_id, kind: str, n_bytes: int) -> str:
+        if n_bytes <= 0:
+            return "empty_buffer_payload"
+        if buffer_id is None or not kind:
+            return "missing_buffer_identity"
+        if len(self.held) >= self.limit:
+            return "handoff_backlog_full"
+        if sum(k == kind for k, _, _ in self.held.values()) >= self.quota:
+            return "handoff_kind_quota_full"
+        if buffer_id in self.held:
+            return "duplicate_buffer_id"
+        if self.bytes + n_bytes > self.arena:
+            return "arena_capacity_exceeded"
+        self.held[buffer_id] = (kind, n_bytes, None)
+        self.bytes += n_bytes
+        return "retained"
+
+    def _drop(self, buffer_id) -> None:
+        self.bytes -= self.held.pop(buffer_id)[1]
+
+    def expire(self, now_ms: int) -> int:
+        over = [lease for lease, (until, _) in self.leases.items() if until <= now_ms]
+        for lease in over:
+            self._drop(self.leases.pop(lease)[1])
+        return len(over)
+
+    def acquire(self, buffer_id, offset: int | None, length: int | None, ttl_ms: int, now_ms: int) -> tuple[str, tuple[str, int, int, int] | None]:
+        """The outcome and, if granted, lease, offset, length and expiry; without a window the buffer is taken whole."""
+        if not self.TTL_MS[0] <= ttl_ms <= self.TTL_MS[1]:
+            return "invalid_lease_ttl", None
+        self.expire(now_ms)
+        if buffer_id not in self.held:
+            return "unknown_buffer", None
+        kind, n, lease = self.held[buffer_id]
+        offset, length = (0, n) if length is None else (offset or 0, length)
+        if length <= 0 or offset < 0 or offset + length > n:
+            return "mapping_out_of_range", None
+        if lease is not None:
+            return "buffer_already_leased", None
+        if len(self.leases) >= self.MOST_LEASES:
+            return "lease_capacity_exhausted", None
+        self.issued += 1
+        lease = f"lease-{self.issued:016x}"
+        self.leases[lease] = (now_ms + ttl_ms, buffer_id)
+        self.held[buffer_id] = (kind, n, lease)
+        return "granted", (lease, offset, length, now_ms + ttl_ms)
+
+    def validate(self, lease: str, claimed_ms: int | None, read_only: bool, now_ms: int) -> str:
+        if lease not in self.leases:
+            return "unknown_or_released_lease"
+        until = self.leases[lease][0]
+        if claimed_ms is not None and claimed_ms != until:
+            return "lease_expiry_mismatch"
+        if not read_only:
+            return "lease_is_read_only"
+        return "invalid_or_expired_lease" if until <= now_ms else "valid"
+
+    def release(self, lease: str) -> str:
+        if lease not in self.leases:
+            return "unknown_or_released_lease"
+        self._drop(self.leases.pop(lease)[1])
+        return "released"
+
+    def push(self, row) -> list[tuple]:
+        """Rows have event_id, at_ms, action (retain, acquire, validate, release, expire) and what the action reads; absent numbers are null."""
+        number = lambda x: None if x is None or x != x else int(x)
+        grant, now, before = None, int(row.at_ms), len(self.leases)
+        if row.action == "retain":
+            outcome = self.retain(row.buffer_id, row.kind, number(row.n_bytes) or 0)
+        elif row.action == "acquire":
+            outcome, grant = self.acquire(row.buffer_id, number(row.offset), number(row.length), number(row.ttl_ms) or 0, now)
+        elif row.action == "validate":
+            outcome = self.validate(row.lease_id, number(row.claimed_ms), bool(row.read_only), now)
+        elif row.action == "release":
+            outcome = self.release(row.lease_id)
+        else:
+            self.expire(now)
+            outcome = "expired"
+        gone = before + (grant is not None) - len(self.leases) - (outcome == "released")
+        return [(int(row.event_id), outcome, *(grant or (None,) * 4), gone, len(self.held), len(self.leases), self.bytes)]
+
+    def finish(self) -> list[tuple]:
+        return []
+
+
+class EvidenceLedger:
+    """The evidence selector's ledger as it may be read while it grows: frames in their order once they are settled, a window once its last frame is written.
+
+    Frames are numbered as they come. A frame's row waits until all before it are settled; a window, closed by its last
+    context frame, the next event or the end, waits until its greatest frame is among those written.
+    """
+
+    def __init__(self, **policy):
+        self.select = Evidence(**policy)
+        self.seen = self.written = 0
+        self.frames: dict[int, int] = {}  # of frames that are not settled: the index of each number
+        self.ready: dict[int, tuple] = {}
+        self.windows: dict[str, list] = {}  # first and last number, first and last index, frames; in the order of their events
+        self.closed: set[str] = set()
+
+    def _settle(self, rows) -> None:
+        for number, pts, decision, selection, window, skip in rows:
+            index = self.frames.pop(number)
+            self.ready[number] = (index, pts, decision, selection, window, skip)
+            if window:
+                w = self.windows.setdefault(window, [number, number, index, index, 0])
+                self.windows[window] = [min(w[0], number), max(w[1], number), min(w[2], index), max(w[3], index), w[4] + 1]
+        self.closed |= {w for w in self.windows if w != self.select.window}
+
+    def _drain(self) -> list[tuple]:
+        out = []
+        while self.written in self.ready:
+            out.append(("frame", *self.ready.pop(self.written), None, None, None))
+            self.written += 1
+        for name, (_, last, first_index, last_index, n) in list(self.windows.items()):
+            if name not in self.closed or last >= self.written:
+                break
+            out.append(("window", None, None, None, None, name, None, first_index, last_index, n))
+            del self.windows[name]
+            self.closed.discard(name)
+        return out
+
+    def push(self, row) -> list[tuple]:
+        number, self.seen = self.seen, self.seen + 1
+        self.frames[number] = int(row.frame_index)
+        self._settle(self.select.observe(number, int(row.pts_ms), row.signature, getattr(row, "text_signature", None), bool(getattr(row, "sampler_keeps", False))))
+        return self._drain()
+
+    def finish(self) -> list[tuple]:
+        self._settle(self.select.finish())
+        self.closed |= set(self.windows)
+        return self._drain()
+
+
 SAMPLER_SCHEMA = "stream_id long, frame_index long, pts_ms long, keep boolean, reason string, delta int"
 EVIDENCE_SCHEMA = "stream_id long, frame_index long, pts_ms long, decision string, selection string, window_id string, skip_reason string"
 SEGMENT_SCHEMA = "stream_id long, start_ms long, end_ms long, partial boolean, n_bytes long"
 RETENTION_SCHEMA = "stream_id long, event_id long, outcome string, held int, held_bytes long"
+HANDOFF_SCHEMA = "stream_id long, event_id long, outcome string, lease_id string, offset long, length long, expires_ms long, reclaimed int, held int, leased int, held_bytes long"
+LEDGER_SCHEMA = "stream_id long, record string, frame_index long, pts_ms long, decision string, selection string, window_id string, skip_reason string, first_frame long, last_frame long, frames long"
 
 
 def sample(frames: DataFrame, **policy) -> DataFrame:
@@ -286,3 +440,11 @@ def segment_audio(chunks: DataFrame, **policy) -> DataFrame:
 
 def retain(events: DataFrame, **policy) -> DataFrame:
     return fold(events, "stream_id", ["event_id"], lambda: Retention(**policy), RETENTION_SCHEMA)
+
+
+def hand_off(events: DataFrame, **policy) -> DataFrame:
+    return fold(events, "stream_id", ["event_id"], lambda: Handoff(**policy), HANDOFF_SCHEMA)
+
+
+def evidence_ledger(frames: DataFrame, **policy) -> DataFrame:
+    return fold(frames, "stream_id", ["frame_index"], lambda: EvidenceLedger(**policy), LEDGER_SCHEMA)
