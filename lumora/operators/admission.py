@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.payloads import kind
 from ..functions.scalars import derived_id, memory_bytes
 from .helpers import first_failure, overlap_join
 
@@ -46,6 +47,10 @@ HEARTBEAT_S = 60
 PLACEMENTS = ["data_plane_local", "object_ref_allowed"]
 JOINS = ["same_item", "same_stream_window", "window_contains"]
 MOST_NODES, MOST_EDGES, MOST_ATTEMPTS, MOST_TASKS = 128, 1024, 16, 16384
+MOST_LISTED = 32
+FUSION_NODE = "timeline_fusion"
+IDENTITY_FIELDS = ("plugin_version", "artifact_digest", "config_hash", "config_id", "release_id", "execution_mode", "input_selector")
+DELAYED_FIELDS = ("id", "plugin_id", "plugin_version", "artifact_digest", "config_id", "config_hash", "consumes", "produces", "deadline_ms", "max_attempts")
 
 
 def sanitised(text: Column) -> Column:
@@ -153,11 +158,66 @@ def node_admission(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("reason_code", first_failure(rules))
 
 
-def graph_rule_failures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(run_id, reason, n) of the rules that a submitted graph breaks; sizes first, then nodes, then edges, each only if what is before holds.
-
-    nodes: run_id, position, node_id, plugin_id, deadline_ms, max_attempts, placement, consumes, produces. edges: run_id, position, from_id, to_id,
-    modality, join_policy. A node or an edge counts for its first rule; a repeated one is an error where an earlier one was valid.
+def _truthy(value: Column) -> Column:
+    """Whether a VARIANT is given and neither null, false, zero nor empty."""
+    of = kind(value)
+    size = F.when(of == "ARRAY", F.size(value.try_cast("array<variant>"))).when(of == "OBJECT", F.size(value.try_cast("map<string,variant>")))
+    return F.coalesce(F.when(of == "STRING", value.try_cast("string") != "").when(of == "BOOLEAN", value.try_cast("boolean")).when(size.isNotNull(), size > 0).when(of == "VOID", F.lit(False)).otherwise(value.try_cast("double") != 0), F.lit(False))
+
+
+def _delayed_breaks(entry: Column, own: dict | None) -> Column:
+    """Whether a delayed enrichment breaks its rules. One with a release is free in its kind; one without must be the one that is built in, if any is."""
+    at = lambda name, as_type: F.try_variant_get(entry, f"$.{name}", as_type)
+    given = lambda name: _truthy(at(name, "variant"))
+    lacks = kind(entry) != "OBJECT"
+    for name in DELAYED_FIELDS:
+        lacks = lacks | ~given(name)
+    number = lambda name, most: F.coalesce(at(name, "long").between(1, most), F.lit(False))
+    released = (F.coalesce(at("execution_mode", "string"), F.lit("")) == "async_enrichment") & ~given("required") & number("max_attempts", MOST_ATTEMPTS) & number("deadline_ms", 300_000)
+    built_in = F.lit(False)
+    if own:
+        lists = lambda name: F.array_join(F.array_sort(at(name, "array<string>")), ",")
+        built_in = F.coalesce((at("id", "string") == own["id"]) & (at("plugin_id", "string") == own["plugin_id"]) & (lists("consumes") == ",".join(sorted(own["consumes"]))) & (lists("produces") == ",".join(sorted(own["produces"]))), F.lit(False)) & ~given("required")
+    return lacks | F.when(given("release_id"), ~released).otherwise(~built_in)
+
+
+def _extension_errors(columns: list[str], own: dict | None) -> Column:
+    """An entry for each optional part of a node that breaks its rule; parts that the table lacks are not given."""
+    c, none = F.col, F.lit(None).cast("string")
+    blank = F.lit(False)
+    for name in IDENTITY_FIELDS:
+        if name in columns:
+            blank = blank | F.coalesce(F.trim(name) == "", F.lit(False))
+    found = [F.when(blank, "invalid_orchestration_plugin_identity")]
+    for name in ("input_contracts", "output_contracts"):
+        if name in columns:
+            wrong = (kind(c(name)) != "ARRAY") | (F.size(c(name).try_cast("array<variant>")) > MOST_LISTED)
+            found.append(F.when(c(name).isNotNull() & wrong, "invalid_orchestration_payload_contract"))
+    policy = F.lit(False)
+    if "execution_policy" in columns:
+        policy = F.coalesce(kind(c("execution_policy")) != "OBJECT", F.lit(False))
+        found.append(F.when(policy, "invalid_orchestration_execution_policy"))
+    if "delayed_enrichments" in columns:
+        entries = c("delayed_enrichments").try_cast("array<variant>")
+        wrong = (c("node_id") != FUSION_NODE) | (kind(c("delayed_enrichments")) != "ARRAY") | (F.size(entries) > MOST_LISTED) | F.coalesce(F.exists(entries, lambda e: _delayed_breaks(e, own)), F.lit(False))
+        found.append(F.when(c("delayed_enrichments").isNotNull() & ~policy & wrong, "invalid_orchestration_delayed_enrichment"))
+    return F.array_compact(F.array(*found, none))
+
+
+def _cyclic(edges: DataFrame) -> DataFrame:
+    """The runs whose edges (run_id, from_id, to_id) hold a cycle. A valid graph has MOST_EDGES edges at most, so they are one array, from which edges without an edge before them are taken until none is left that goes."""
+    arrays = edges.groupBy("run_id").agg(F.collect_list(F.struct("from_id", "to_id")).alias("_e"))
+    left = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_NODES)), F.col("_e"), lambda s, _: F.filter(s, lambda e: F.array_contains(F.transform(s, lambda x: x["to_id"]), e["from_id"])))
+    return arrays.where(F.size(left) > 0).select("run_id", F.lit("orchestration_cycle_detected").alias("reason"))
+
+
+def graph_rule_failures(nodes: DataFrame, edges: DataFrame, built_in: dict | None = None) -> DataFrame:
+    """(run_id, reason, n) of the rules that a submitted graph breaks; sizes first, then nodes, then edges, then cycles, each only if what is before holds.
+
+    nodes: run_id, position, node_id, plugin_id, deadline_ms, max_attempts, placement, consumes, produces; optional are the identity's texts and, as
+    VARIANT, input_contracts, output_contracts, execution_policy and delayed_enrichments. edges: run_id, position, from_id, to_id,
+    modality, join_policy. A node or an edge counts for its first rule, a node that breaks none for each of its optional parts that does; a repeated one is
+    an error where an earlier one was valid. built_in: the one delayed enrichment (id, plugin_id, consumes, produces) that needs no release.
     """
     c = F.col
     blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
@@ -177,7 +237,8 @@ def graph_rule_failures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     first = F.min(F.when(c("own").isNull(), c("position"))).over(Window.partitionBy("run_id", "node_id"))
     judged = nodes.withColumn("own", own).withColumn("first", first)
     judged = judged.withColumn("reason", F.when(c("own").eqNullSafe(F.lit("invalid_orchestration_node")), c("own")).when(c("position") > c("first"), "duplicate_orchestration_node_id").otherwise(c("own")))
-    bad = judged.where("reason IS NOT NULL").select("run_id", "reason")
+    judged = judged.withColumn("extra", F.when(c("reason").isNull(), _extension_errors(nodes.columns, built_in)))
+    bad = judged.where("reason IS NOT NULL").select("run_id", "reason").unionAll(judged.select("run_id", F.explode("extra").alias("reason")))
 
     known = judged.where("reason IS NULL").join(bad.select("run_id").distinct(), "run_id", "left_anti")
     runs = fits.join(bad.select("run_id").distinct(), "run_id", "left_anti")
@@ -193,7 +254,8 @@ def graph_rule_failures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # edges of one key have one verdict, so any but the first of them repeats a valid one
     again = F.row_number().over(Window.partitionBy("run_id", "from_id", "to_id", F.trim("modality"), "join_policy").orderBy("position")) > 1
     broken = both.withColumn("own", broken).withColumn("again", again).select("run_id", F.coalesce("own", F.when(c("again"), "duplicate_orchestration_edge")).alias("reason")).where("reason IS NOT NULL")
-    found = sizes.where("reason IS NOT NULL").unionAll(bad).unionAll(broken)
+    sound = edges.join(broken.select("run_id").distinct(), "run_id", "left_anti")
+    found = sizes.where("reason IS NOT NULL").unionAll(bad).unionAll(broken).unionAll(_cyclic(sound))
     return found.groupBy("run_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 

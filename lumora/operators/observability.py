@@ -51,3 +51,30 @@ def failure_windows(events: DataFrame, keys: list[str], window_ms: int, limit: i
     """Each event with how many its key had in the window that ends with it, and whether that is over the limit."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy("at_ms").rangeBetween(-window_ms + 1, 0))
     return events.withColumn("in_window", n).withColumn("blocked", F.col("in_window") > limit)
+
+
+def in_flight_report(attempts: DataFrame, keys: list[str], max_attempts: int) -> DataFrame:
+    """The account of each executor's calls: submitted, attempts, retries, completed, failed, exhausted, the most in flight, and retries by reason.
+
+    attempts: the keys, operation_id, start_ms, end_ms, ok, retryable, reason_code. Attempts of an operation follow each other in order of
+    starts; a chain ends with one that is ok, cannot be retried, or is the last that max_attempts allows, and a later one begins a
+    new submission. A retry is an attempt that another of its chain follows; a chain whose last attempt is not ok has
+    failed, and is exhausted if that could have been retried. In-flight counts come from a sweep over starts and ends.
+    """
+    w = Window.partitionBy(*keys, "operation_id").orderBy("start_ms", "end_ms")
+    final = F.col("ok") | ~F.coalesce("retryable", F.lit(False))
+    # chains end at final attempts, and within a run of others at every max_attempts-th
+    at = attempts.withColumn("_final", final).withColumn("_run", F.coalesce(F.sum(F.col("_final").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = at.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "operation_id", "_run").orderBy("start_ms", "end_ms")))
+    limit = F.col("_n") % max_attempts == 0
+    followed = F.lead("_run").over(w).isNotNull()
+    at = at.withColumn("_last", F.col("_final") | limit | ~followed).withColumn("_exhausted", ~F.col("_final") & limit)
+    retried = ~F.col("_last")
+    sums = at.groupBy(*keys).agg(
+        F.count_if("_last").alias("submitted"), F.count(F.lit(1)).alias("attempts"), F.count_if(retried).alias("retries"), F.count_if(F.col("_last") & F.col("ok")).alias("completed"),
+        F.count_if(F.col("_last") & ~F.col("ok")).alias("failed"), F.count_if(F.col("_exhausted")).alias("exhausted"),
+    )
+    reasons = at.where(retried).groupBy(*keys, "reason_code").agg(F.count(F.lit(1)).alias("_n"))
+    told = reasons.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "reason_code", F.col("_n").cast("string")))), ",").alias("throttle_events"))
+    peak = peak_concurrency(attempts, keys).withColumnRenamed("peak", "peak_in_flight")
+    return sums.join(told, keys, "left").join(peak, keys, "left").na.fill({"throttle_events": ""})

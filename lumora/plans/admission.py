@@ -69,6 +69,30 @@ def o1_graph_rules(spark, d):
     return a.graph_rule_failures(nodes, view(spark, d, "graph_edge"))
 
 
+@query("""WITH k AS (SELECT unit_id, count(*) AS k FROM material GROUP BY 1), n AS (SELECT unit_id AS run_id, revision FROM material),
+    x AS (SELECT run_id, 'invalid_orchestration_plugin_identity' AS reason FROM n WHERE run_id % 11 = 0 AND revision = 2 UNION ALL SELECT run_id, 'invalid_orchestration_payload_contract' FROM n WHERE run_id % 13 = 0 AND revision = 1
+        UNION ALL SELECT run_id, 'invalid_orchestration_payload_contract' FROM n WHERE run_id % 17 = 0 AND revision = 1 UNION ALL SELECT run_id, 'invalid_orchestration_execution_policy' FROM n WHERE run_id % 19 = 0 AND revision = 1
+        UNION ALL SELECT run_id, 'invalid_orchestration_delayed_enrichment' FROM n WHERE run_id % 19 > 0 AND revision = 1 AND (run_id % 25 = 0 OR run_id % 35 = 0 OR (run_id % 5 > 0 AND run_id % 46 = 0)) UNION ALL SELECT run_id, 'invalid_orchestration_delayed_enrichment' FROM n WHERE run_id % 29 = 0 AND revision = 2),
+    c AS (SELECT unit_id AS run_id, 'orchestration_cycle_detected' AS reason FROM k WHERE unit_id % 7 = 0 AND k > 1 AND unit_id NOT IN (SELECT run_id FROM x))
+    SELECT run_id, reason, count(*) AS n FROM (SELECT * FROM x UNION ALL SELECT * FROM c) GROUP BY ALL""")
+def o1_graph_extensions(spark, d):
+    m = view(spark, d, "material").select("unit_id", "revision")
+    released = """'[{"id": "x", "plugin_id": "p", "plugin_version": "1", "artifact_digest": "d", "config_id": "c", "config_hash": "h", "consumes": ["frame"], "produces": ["text"], "release_id": "r", "execution_mode": "async_enrichment", "max_attempts": 3, "deadline_ms": ' || (CASE WHEN unit_id % 25 = 0 THEN 0 ELSE 5000 END) || ', "required": ' || (CASE WHEN unit_id % 35 = 0 THEN 'true' ELSE 'false' END) || '}]'"""
+    own = """'[{"id": "describe", "plugin_id": "' || (CASE WHEN unit_id % 46 = 0 THEN 'other' ELSE 'p' END) || '", "plugin_version": "1", "artifact_digest": "d", "config_id": "c", "config_hash": "h", "consumes": ["frame"], "produces": ["text"], "max_attempts": 3, "deadline_ms": 5000}]'"""
+    delayed = f"CASE WHEN revision = 1 AND unit_id % 5 = 0 THEN {released} WHEN revision = 1 AND unit_id % 23 = 0 THEN {own} WHEN revision = 2 AND unit_id % 29 = 0 THEN '[]' END"
+    nodes = m.selectExpr(
+        "unit_id AS run_id", "revision AS position", "CASE WHEN revision = 1 THEN 'timeline_fusion' ELSE 'n' || revision END AS node_id", "'p' AS plugin_id", "1000 AS deadline_ms", "2 AS max_attempts", "'data_plane_local' AS placement", "array('frame') AS consumes", "array('frame') AS produces",
+        "CASE WHEN unit_id % 11 = 0 AND revision = 2 THEN ' ' WHEN revision % 2 = 0 THEN '1.0' END AS plugin_version", "parse_json(CASE WHEN unit_id % 13 = 0 AND revision = 1 THEN '{}' WHEN revision = 3 THEN '[]' END) AS input_contracts",
+        "parse_json(CASE WHEN unit_id % 17 = 0 AND revision = 1 THEN '[' || repeat('1,', 32) || '1]' ELSE '[' || repeat('1,', 31) || '1]' END) AS output_contracts",
+        "parse_json(CASE WHEN unit_id % 19 = 0 AND revision = 1 THEN 'null' WHEN revision < 3 THEN '{}' END) AS execution_policy", f"parse_json({delayed}) AS delayed_enrichments",
+    )
+    name = "CASE WHEN {0} = 1 THEN 'timeline_fusion' ELSE 'n' || ({0}) END"
+    chain = m.where("revision > 1").selectExpr("unit_id AS run_id", "revision AS position", name.format("revision - 1") + " AS from_id", name.format("revision") + " AS to_id")
+    back = m.where("unit_id % 7 = 0").groupBy("unit_id").agg(F.max("revision").alias("k")).where("k > 1").selectExpr("unit_id AS run_id", "1 AS position", name.format("k") + " AS from_id", "'timeline_fusion' AS to_id")
+    edges = chain.unionByName(back).withColumn("modality", F.lit("frame")).withColumn("join_policy", F.lit("same_stream_window"))
+    return a.graph_rule_failures(nodes, edges, {"id": "describe", "plugin_id": "p", "consumes": ["frame"], "produces": ["text"]})
+
+
 @query("""WITH unit AS (SELECT stream_id, min(state_revision) AS unit_id, start_ms, end_ms FROM window_state WHERE stream_id % 10 = 1 OR state_revision % 3 <> 0 GROUP BY stream_id, start_ms, end_ms),
     wanted AS (SELECT 'enr_' || substr(sha256(concat_ws('|', stream_id, modality, observation_id, o.start_ms, o.end_ms)), 1, 32) AS task_id, stream_id AS execution_id, observation_id,
         (SELECT unit_id FROM unit u WHERE u.stream_id = o.stream_id AND u.start_ms <= o.start_ms AND o.start_ms < u.end_ms) AS unit_id FROM obs o),

@@ -87,11 +87,29 @@ def o10_o12_reconcile(spark, d):
     return o.reconciled(tasks, results).select("task_id", "next_state")
 
 
-@query("""SELECT task_id, CASE WHEN task_id % 19 = 0 THEN 'duplicate_report' WHEN state = 'succeeded' THEN 'operation_closed' WHEN task_id % 5 = 0 THEN 'node_mismatch' WHEN task_id % 7 = 0 THEN 'stale_operation'
-    WHEN attempt = 2 THEN 'generation_mismatch' WHEN memory < 0 THEN 'deadline_passed' ELSE 'accepted' END AS reason_code FROM task""")
+REPORT = """rep AS (SELECT unit_id * 100 + revision AS report_id, created_ms AS at_ms, unit_id AS intent_id, CASE WHEN part_id % 31 = 0 THEN -1 ELSE unit_id % 7 END AS node_id, CASE WHEN part_id % 37 = 0 THEN -1 ELSE unit_id END AS operation_id,
+        CASE WHEN supplier_id % 29 = 0 THEN 0 ELSE 3 END AS generation, CASE WHEN part_id % 41 = 0 THEN 'old' ELSE '' END AS release_id, CASE WHEN part_id % 43 = 0 THEN 'r0' ELSE 'r1' END AS runtime_id FROM material),
+    op AS (SELECT o_orderkey AS operation_id, o_orderkey % 7 AS node_id, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE MILLIS(o_orderdate) + 5184000000 END AS deadline_ms, CASE WHEN o_orderkey % 13 = 0 THEN 'stop' ELSE 'stage_release' END AS action,
+        MILLIS(o_orderdate) + (o_orderkey % 90) * 86400000::BIGINT AS closes_ms, CASE o_orderkey % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'cancelled' ELSE 'staging' END AS last_stage FROM orders WHERE o_orderkey % 17 > 0)"""
+
+
+@query(f"""WITH {REPORT}, j AS (SELECT r.*, o.operation_id AS op_id, CASE WHEN o.operation_id IS NULL THEN 'deployment_operation_missing' END AS first_code,
+        CASE WHEN last_stage <> 'staging' AND closes_ms <= at_ms AND NOT (action = 'stop' AND last_stage = 'cancelled') THEN 'plugin_deployment_operation_already_closed' WHEN r.node_id <> o.node_id THEN 'deployment_report_node_mismatch'
+        WHEN r.operation_id <> r.intent_id THEN 'stale_deployment_report' WHEN generation <> 3 THEN 'fencing_token_mismatch' WHEN release_id <> '' OR runtime_id <> 'r1' THEN 'stale_deployment_report' WHEN at_ms > deadline_ms THEN 'operation_deadline_exceeded' ELSE 'accepted' END AS own
+        FROM rep r LEFT JOIN op o ON o.operation_id = r.intent_id)
+    SELECT report_id, coalesce(first_code, CASE WHEN EXISTS (SELECT 1 FROM j b WHERE b.intent_id = j.intent_id AND b.own IN ('accepted', 'operation_deadline_exceeded') AND (b.at_ms < j.at_ms OR (b.at_ms = j.at_ms AND b.report_id < j.report_id))) THEN 'duplicate_deployment_report' END, own) AS reason_code FROM j""")
 def o20_report_fence(spark, d):
-    reports = view(spark, d, "task").selectExpr("task_id", "task_id % 19 = 0 AS duplicate", "state = 'succeeded' AS closed", "task_id % 5 = 0 AS wrong_node", "task_id % 7 = 0 AS stale", "attempt = 2 AS old_generation", "memory < 0 AS late")
-    return o.report_fence(reports).select("task_id", "reason_code")
+    reports = view(spark, d, "material").selectExpr(
+        "unit_id * 100 + revision AS report_id", "created_ms AS at_ms", "unit_id AS intent_id", "CASE WHEN part_id % 31 = 0 THEN -1 ELSE unit_id % 7 END AS node_id", "CASE WHEN part_id % 37 = 0 THEN -1 ELSE unit_id END AS operation_id",
+        "CASE WHEN supplier_id % 29 = 0 THEN 0 ELSE 3 END AS generation", "CASE WHEN part_id % 41 = 0 THEN 'old' ELSE NULL END AS release_id", "CASE WHEN part_id % 43 = 0 THEN 'r0' ELSE 'r1' END AS runtime_id",
+    )
+    orders = spark.read.parquet(f"{d}/orders.parquet").withColumn("ms", F.expr("unix_millis(CAST(o_orderdate AS TIMESTAMP))"))
+    intents = orders.selectExpr("o_orderkey AS intent_id", "o_orderkey AS operation_id", "3 AS generation", "CAST(NULL AS STRING) AS release_id", "'r1' AS runtime_id", "CASE WHEN o_orderkey % 13 = 0 THEN 'stop' ELSE 'stage_release' END AS action")
+    kept = orders.where("o_orderkey % 17 > 0")
+    operations = kept.selectExpr("o_orderkey AS operation_id", "o_orderkey % 7 AS node_id", "CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE ms + 60 * 86400000L END AS deadline_ms")
+    begun = kept.selectExpr("o_orderkey AS operation_id", "ms - 1 AS at_ms", "'staging' AS stage")
+    ended = kept.where("o_orderkey % 3 < 2").selectExpr("o_orderkey AS operation_id", "ms + (o_orderkey % 90) * 86400000L AS at_ms", "CASE o_orderkey % 3 WHEN 0 THEN 'succeeded' ELSE 'cancelled' END AS stage")
+    return o.report_fence(reports, intents, operations, begun.unionByName(ended)).select("report_id", "reason_code")
 
 
 @query("""SELECT task_id, attempt = 1 AND cell IS DISTINCT FROM node_id AS swapped, CASE WHEN NOT (attempt = 1 AND cell IS DISTINCT FROM node_id) THEN 'unchanged' WHEN cell % 4 = 0 THEN 'active' ELSE 'draining' END AS old_state FROM task""")
@@ -127,6 +145,64 @@ def a23_w13_waterfall(spark, d):
     return b.waterfall(view(spark, d, "obs").selectExpr("stream_id AS trace_id", "observation_id AS span_id", "start_ms", "end_ms")).withColumn("percent", F.round("percent", 6))
 
 
+RUNS = """r AS (SELECT o_orderkey AS run_id, CASE o_orderkey % 10 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'failed' WHEN 2 THEN 'expired' WHEN 3 THEN 'succeeded' ELSE 'running' END AS state FROM orders),
+    t AS (SELECT unit_id AS run_id, revision AS task_id, CASE WHEN unit_id % 4 = 0 THEN 'succeeded' WHEN part_id % 7 = 0 THEN 'running' WHEN part_id % 11 = 0 THEN 'failed' WHEN part_id % 13 = 0 THEN 'blocked' ELSE 'succeeded' END AS state, revision % 3 > 0 AS required FROM material),
+    e AS (SELECT unit_id AS run_id, revision AS n, CASE WHEN revision % 2 = 0 THEN 'vision' ELSE 'generic' END AS kind, CASE part_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' ELSE 'succeeded' END AS state FROM material WHERE supplier_id % 3 = 0)"""
+
+
+def _runs(spark, d):
+    m = view(spark, d, "material")
+    runs = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey AS run_id", "CASE o_orderkey % 10 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'failed' WHEN 2 THEN 'expired' WHEN 3 THEN 'succeeded' ELSE 'running' END AS state")
+    state = "CASE WHEN unit_id % 4 = 0 THEN 'succeeded' WHEN part_id % 7 = 0 THEN 'running' WHEN part_id % 11 = 0 THEN 'failed' WHEN part_id % 13 = 0 THEN 'blocked' ELSE 'succeeded' END AS state"
+    tasks = m.selectExpr("unit_id AS run_id", "revision AS task_id", state, "revision % 3 > 0 AS required")
+    enrichments = m.where("supplier_id % 3 = 0").selectExpr("unit_id AS run_id", "revision AS enrichment_id", "CASE WHEN revision % 2 = 0 THEN 'vision' ELSE 'generic' END AS kind", "CASE part_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' ELSE 'succeeded' END AS state")
+    return runs, tasks, enrichments
+
+
+@query(f"""WITH {RUNS}, f AS (SELECT r.run_id, r.state, NOT EXISTS (SELECT 1 FROM t WHERE t.run_id = r.run_id AND t.state = 'running') AND NOT EXISTS (SELECT 1 FROM t WHERE t.run_id = r.run_id AND required AND t.state <> 'succeeded') AS done,
+        EXISTS (SELECT 1 FROM t WHERE t.run_id = r.run_id AND NOT required AND t.state <> 'succeeded') OR EXISTS (SELECT 1 FROM e WHERE e.run_id = r.run_id AND e.state = 'failed') AS partly,
+        EXISTS (SELECT 1 FROM e WHERE e.run_id = r.run_id AND (e.state = 'queued' OR (kind = 'vision' AND e.state = 'running'))) AS waits, (SELECT count(*) FROM t WHERE t.run_id = r.run_id) AS tasks, (SELECT count(*) FROM t WHERE t.run_id = r.run_id AND t.state = 'succeeded') AS succeeded,
+        (SELECT count(*) FROM e WHERE e.run_id = r.run_id) AS enrichments FROM r),
+    s AS (SELECT *, CASE WHEN state = 'cancelled' THEN 'cancelled' WHEN state IN ('failed', 'expired') THEN 'failed' WHEN done AND waits THEN 'ready_for_review' WHEN done AND partly THEN 'succeeded_with_partial_enrichment' WHEN done THEN 'succeeded' ELSE 'running' END AS execution_state FROM f)
+    SELECT run_id, execution_state, execution_state NOT IN ('ready_for_review', 'running') AS completed, tasks, succeeded, enrichments FROM s""")
+def o13_execution_states(spark, d):
+    return o.execution_states(*_runs(spark, d))
+
+
+@query(f"""WITH {RUNS}, hit AS (SELECT run_id FROM r WHERE run_id % 6 < 4 AND (state = 'running' OR (state = 'succeeded' AND EXISTS (SELECT 1 FROM e WHERE e.run_id = r.run_id AND e.state = 'queued'))))
+    SELECT 'run' AS kind, CAST(run_id AS VARCHAR) AS id, run_id, 'cancelled' AS state, 'user' AS reason_code FROM hit UNION ALL SELECT 'task', CAST(task_id AS VARCHAR), run_id, 'cancelled', 'run_cancelled' FROM t JOIN hit USING (run_id) WHERE state = 'running'
+    UNION ALL SELECT 'assignment', CAST(task_id AS VARCHAR), run_id, 'cancelled', 'run_cancelled' FROM t JOIN hit USING (run_id) WHERE state <> 'succeeded' UNION ALL SELECT 'enrichment', CAST(n AS VARCHAR), run_id, 'cancelled', 'run_cancelled' FROM e JOIN hit USING (run_id) WHERE state = 'queued'""")
+def o12_cancelled(spark, d):
+    runs, tasks, enrichments = _runs(spark, d)
+    requests = runs.where("run_id % 6 < 4").select("run_id", F.lit("user").alias("reason"))
+    assignments = tasks.select("run_id", F.col("task_id").alias("assignment_id"), F.when(F.col("state") != "succeeded", "assigned").otherwise("done").alias("decision"))
+    return o.cancelled(requests.unionAll(requests), runs, tasks, assignments, enrichments)
+
+
+@query("""WITH n AS (SELECT c_custkey AS node_id, c_custkey % 50 = 7 AS near, c_custkey % 4 > 0 AND (c_custkey % 9 = 0 OR c_custkey % 100 < 90) AS live, c_custkey % 6 > 1 AS listed, c_nationkey AS plugin FROM customer),
+    k AS (SELECT p_partkey AS task_id, p_partkey % 40 AS plugin, p_partkey % 3 > 0 AS local FROM part),
+    f AS (SELECT k.task_id, k.local, (SELECT min_by(n.node_id, CASE WHEN near THEN 0 ELSE 1000000000 END + n.node_id) FROM n WHERE live AND (near OR NOT k.local) AND (NOT listed OR n.plugin = k.plugin)) AS node_id FROM k)
+    SELECT task_id, f.node_id, CASE WHEN f.node_id IS NOT NULL THEN 'assigned' ELSE 'rejected' END AS decision, CASE WHEN f.node_id IS NOT NULL THEN '' WHEN local THEN 'data_locality_violation' ELSE 'no_eligible_node' END AS reason_code,
+    CASE WHEN near THEN 'local-data-plane' WHEN f.node_id IS NOT NULL THEN 'remote' END AS data_plane FROM f LEFT JOIN n ON n.node_id = f.node_id""")
+def o9_placed(spark, d):
+    nodes = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS node_id", "c_custkey % 50 = 7 AS is_co_located", "CASE WHEN c_custkey % 4 > 0 THEN 'ready' ELSE 'offline' END AS status", "CASE WHEN c_custkey % 9 > 0 THEN c_custkey % 100 END AS heartbeat_age_s")
+    plugins = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 6 > 1").selectExpr("c_custkey AS node_id", "c_nationkey AS plugin_id", "'ready' AS state")
+    tasks = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS task_id", "CAST(p_partkey % 40 AS INT) AS plugin_id", "CASE WHEN p_partkey % 3 > 0 THEN 'data_plane_local' ELSE 'object_ref_allowed' END AS placement")
+    return o.placed(tasks, nodes, plugins)
+
+
+@query("""WITH RECURSIVE a AS (SELECT stream_id, modality AS op, start_ms, end_ms, quality_state IN ('final', 'accepted') AS ok, quality_state NOT IN ('rejected', 'conflict') AS can, quality_state AS reason, row_number() OVER (PARTITION BY stream_id, modality ORDER BY start_ms, end_ms) AS n, lead(start_ms) OVER (PARTITION BY stream_id, modality ORDER BY start_ms, end_ms) IS NOT NULL AS followed FROM obs),
+    c AS (SELECT *, 1 AS try, ok OR NOT can OR NOT followed AS ends FROM a WHERE n = 1 UNION ALL SELECT a.*, CASE WHEN c.ends THEN 1 ELSE c.try + 1 END, a.ok OR NOT a.can OR NOT a.followed OR (CASE WHEN c.ends THEN 1 ELSE c.try + 1 END) = 3 FROM c JOIN a ON a.stream_id = c.stream_id AND a.op = c.op AND a.n = c.n + 1),
+    p AS (SELECT stream_id, start_ms AS t, 1 AS d FROM obs UNION ALL SELECT stream_id, end_ms, -1 FROM obs), w AS (SELECT stream_id, max(open) AS peak FROM (SELECT stream_id, sum(d) OVER (PARTITION BY stream_id ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS open FROM p) GROUP BY 1),
+    h AS (SELECT stream_id, string_agg(reason || '=' || n, ',' ORDER BY reason || '=' || n) AS told FROM (SELECT stream_id, reason, count(*) AS n FROM c WHERE NOT ends GROUP BY ALL) GROUP BY 1)
+    SELECT c.stream_id, count_if(ends)::BIGINT AS submitted, count(*) AS attempts, count_if(NOT ends)::BIGINT AS retries, count_if(ends AND ok)::BIGINT AS completed, count_if(ends AND NOT ok)::BIGINT AS failed, count_if(ends AND NOT ok AND can AND try = 3)::BIGINT AS exhausted,
+    coalesce(any_value(told), '') AS throttle_events, any_value(peak)::BIGINT AS peak_in_flight FROM c JOIN w USING (stream_id) LEFT JOIN h ON h.stream_id = c.stream_id GROUP BY c.stream_id""")
+def a31_in_flight(spark, d):
+    q = F.col("quality_state")
+    attempts = view(spark, d, "obs").select("stream_id", F.col("modality").alias("operation_id"), "start_ms", "end_ms", q.isin("final", "accepted").alias("ok"), (~q.isin("rejected", "conflict")).alias("retryable"), q.alias("reason_code"))
+    return b.in_flight_report(attempts, ["stream_id"], 3)
+
+
 @query("""WITH p AS (SELECT stream_id, start_ms AS t, 1 AS d FROM obs UNION ALL SELECT stream_id, end_ms, -1 FROM obs), r AS (SELECT stream_id, sum(d) OVER (PARTITION BY stream_id ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS open FROM p)
     SELECT stream_id, CAST(max(open) AS BIGINT) AS peak FROM r GROUP BY 1""")
 def a31_peak_concurrency(spark, d):
