@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import payload_ref
 from .helpers import first_failure, latest_by
+from .vectors import dimension_state
 
 EVENT_TYPE = r"^[a-z][a-z0-9_.]*$"
 
@@ -105,3 +107,41 @@ def index_status(embedding: DataFrame) -> DataFrame:
 def expired(tasks: DataFrame, as_of_ms: int) -> DataFrame:
     """Open tasks past their deadline expire; those without attempts left are exhausted; others stay."""
     return tasks.withColumn("next_state", F.when(~F.col("open"), F.col("state")).when(F.col("deadline_ms") < as_of_ms, "expired").when(F.col("attempt") >= F.col("max_attempts"), "exhausted").otherwise(F.col("state")))
+
+
+def indexed(events: DataFrame, material: DataFrame, observation: DataFrame, consumed: DataFrame, consumer: str, modalities: list[str], supported: str = "material.upserted", most_chars: int = 4096) -> DataFrame:
+    """What an index consumer makes of each event: outcome, and of its material's observations how many are embedded or left out, and why.
+
+    events: event_id, event_type, payload_ref. material: unit_id, revision. observation: unit_id, revision, modality, text. consumed: event_id, consumer. outcome, first that
+    holds: unsupported_event_type, invalid_payload_ref, duplicate, event_missing_facts, consumed. Blank texts and too long ones are counted apart;
+    other modalities are counted too, so nothing is left out silently. Observations are counted per material before events meet them.
+    """
+    unit, revision = payload_ref(F.col("payload_ref"))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
+    wanted = F.col("modality").isin(modalities)
+    counts = observation.withColumn("_t", text).groupBy(F.col("unit_id").cast("string").alias("_unit"), F.col("revision").cast("long").alias("_revision")).agg(
+        F.count(F.lit(1)).alias("observations"), F.count_if(~wanted).alias("skipped_modality"), F.count_if(wanted & (F.col("_t") == "")).alias("empty_text"),
+        F.count_if(wanted & (F.length("_t") > most_chars)).alias("over_bound"), F.count_if(wanted & (F.col("_t") != "") & (F.length("_t") <= most_chars)).alias("embedded"),
+    )
+    known = material.select(F.col("unit_id").cast("string").alias("_unit"), F.col("revision").cast("long").alias("_revision")).distinct().withColumn("_there", F.lit(True))
+    mine = consumed.where(F.col("consumer") == consumer).select("event_id").distinct().withColumn("_before", F.lit(True))
+    at = events.withColumn("_unit", unit).withColumn("_revision", revision).join(known, ["_unit", "_revision"], "left").join(counts, ["_unit", "_revision"], "left").join(mine, "event_id", "left")
+    outcome = F.coalesce(first_failure([
+        (~F.col("event_type").eqNullSafe(F.lit(supported)), "unsupported_event_type"), (F.col("_unit").isNull() | F.coalesce(F.col("_revision") <= 0, F.lit(True)), "invalid_payload_ref"),
+        (F.col("_before"), "duplicate"), (F.col("_there").isNull(), "event_missing_facts"),
+    ]), F.lit("consumed"))
+    names = ["observations", "skipped_modality", "empty_text", "over_bound", "embedded"]
+    return at.withColumn("outcome", outcome).select("event_id", "outcome", *[F.when(F.col("outcome") == "consumed", F.coalesce(n, F.lit(0))).otherwise(0).alias(n) for n in names])
+
+
+def sunk(requests: DataFrame, stored: DataFrame, dimension: int) -> DataFrame:
+    """The state of each embedding that was asked for: pending until its vector is in the store, ready once the stored one is the same, else failed with a reason.
+
+    requests: embedding_id, vector, index_dimension. stored: embedding_id, vector_digest of what the store holds. The declared dimension is
+    checked against the index and the vector before anything is sent.
+    """
+    own = requests.withColumn("_check", dimension_state(F.lit(dimension), F.col("index_dimension"), F.col("vector"))).withColumn("_digest", F.sha2(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), 256))
+    at = own.join(stored.groupBy("embedding_id").agg(F.max("vector_digest").alias("_stored")), "embedding_id", "left")
+    reason = F.when(F.col("_check") != "ok", F.col("_check")).when(F.col("_stored") != F.col("_digest"), "vector_not_confirmed")
+    state = F.when(reason.isNotNull(), "failed").when(F.col("_stored").isNull(), "pending").otherwise("ready")
+    return at.select("embedding_id", state.alias("state"), reason.alias("reason_code"))

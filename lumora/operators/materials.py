@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .helpers import latest_by
+from ..functions.scalars import is_digest
+from .helpers import first_failure, latest_by
 
 
 class RequestError(ValueError):
@@ -138,3 +139,33 @@ def video_groups(material: DataFrame) -> DataFrame:
 def catalog_union(builtin: DataFrame, override: DataFrame, key: str) -> DataFrame:
     """All overrides, and the built-in rows that none overrides."""
     return override.unionByName(builtin.join(override.select(key), key, "left_anti"))
+
+
+def next_revision(material: DataFrame, keys: list[str]) -> DataFrame:
+    """The revision that a key's next row gets."""
+    return material.groupBy(*keys).agg((F.coalesce(F.max("revision"), F.lit(0)) + 1).alias("next_revision"))
+
+
+def validated(units: DataFrame) -> DataFrame:
+    """Each unit with the first rule of its own that it breaks, or null: identity, range, digest, confidence, status, revision."""
+    status = ("partial", "fast_ready", "enriched", "failed", "conflict", "low_confidence", "no_observations")
+    label = F.coalesce(F.trim(F.col("unit_id").cast("string")), F.lit(""))
+    confidence = F.col("confidence")
+    return units.withColumn("reason_code", first_failure([
+        ((label == "") | (F.length(label) > 256), "missing_material_identity"), (F.coalesce((F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms")), F.lit(True)), "invalid_half_open_time_range"),
+        (~F.coalesce(is_digest(F.col("content_hash")), F.lit(False)), "invalid_sha256_digest"), (F.isnan(confidence) | ~confidence.between(0.0, 1.0), "invalid_confidence"),
+        (~F.coalesce(F.col("status").isin(*status), F.lit(False)), "invalid_material_status"), (F.coalesce("revision", F.lit(0)) <= 0, "invalid_revision"),
+    ]))
+
+
+def merged_references(references: DataFrame, keys: list[str], most: int = 1024) -> DataFrame:
+    """Per key: how many different references (asset, range) there are, and why they cannot stand together, or null.
+
+    An asset with two digests is a conflict; so many ranges of one asset count as often as they differ. Sums are taken by asset first, so
+    a key with many references is combined before it meets.
+    """
+    once = references.select(*keys, "asset_id", "start_ms", "end_ms").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("references"))
+    by_asset = references.groupBy(*keys, "asset_id").agg((F.min("content_hash") != F.max("content_hash")).alias("_differs"))
+    differs = by_asset.groupBy(*keys).agg(F.bool_or("_differs").alias("_conflict"), F.count(F.lit(1)).alias("assets"))
+    reason = first_failure([(F.col("_conflict"), "fusion_asset_digest_conflict"), (F.col("references") > most, "fusion_source_limit_exceeded")])
+    return once.join(differs, keys).select(*keys, "references", "assets", reason.alias("reason_code"))

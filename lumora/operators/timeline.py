@@ -322,3 +322,57 @@ def input_units(frames: DataFrame) -> DataFrame:
     anchors = a.select("stream_id", F.lit("anchor").alias("kind"), label.alias("label"), held.alias("admitted"), F.when(held, 1).otherwise(0).cast("long").alias("n_buffers"), (held & baseline).alias("for_vlm"), held.alias("for_ocr"))
     whole = frames.where(F.col("window_id").isNotNull()).groupBy("stream_id", "window_id").agg(F.count("buffer_id").alias("n_buffers"), F.bool_or(event & held).alias("admitted"))
     return anchors.unionAll(whole.select("stream_id", F.lit("window").alias("kind"), F.col("window_id").alias("label"), "admitted", "n_buffers", F.col("admitted").alias("for_vlm"), F.lit(False).alias("for_ocr")))
+
+
+def stall_statistics(events: DataFrame, most: int = 16) -> DataFrame:
+    """Per stream of the rows that stalls() gives: how many, their time in all and at most, the media time that was lost, whether the last one is over, and the first events in order.
+
+    A jump of unknown or negative media time counts as none. The list has a stated length; the counts are of all.
+    """
+    w = Window.partitionBy("stream_id").orderBy("start_ms")
+    text = F.concat_ws(":", F.col("start_ms").cast("string"), F.col("gap_ms").cast("string"), F.col("pts_jump_ms").cast("string"), "reason")
+    at = events.withColumn("_n", F.row_number().over(w)).withColumn("_text", F.when(F.col("_n") <= most, text))
+    return at.groupBy("stream_id").agg(
+        F.count(F.lit(1)).alias("stalls"), F.sum("gap_ms").alias("stalled_ms"), F.max("gap_ms").alias("max_stall_ms"), F.sum(F.greatest("pts_jump_ms", F.lit(0))).alias("pts_gap_total_ms"),
+        (F.max_by("reason", "_n") == "recovered").alias("recovered"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_text").isNotNull(), F.struct("_n", "_text")))), lambda x: x["_text"]), ",").alias("events"),
+    )
+
+
+def declared_coverage(windows: DataFrame, observation: DataFrame, receipts: DataFrame, modalities: list[str], enrichment: list[str], grid_ms: int) -> DataFrame:
+    """State and reason of each declared modality in each window, by observations and by the receipts of calls that produce it.
+
+    receipts: stream_id, start_ms, end_ms, receipt_id, produces (array), outcome_reason. observed; else not_observed where a call that produces
+    the modality touched the window, with the reason of the first such call that gives one; else not_sampled_by_policy. What an
+    enrichment will bring is queued. sampling_state: whether any call touched the window.
+    """
+    keys = ["stream_id", "start_ms", "end_ms"]
+    spans = lambda df, *more: df.select("stream_id", F.col("start_ms").alias("other_start_ms"), F.col("end_ms").alias("other_end_ms"), *more)
+    w = windows.select(keys)
+    seen = overlap_join(w, spans(observation.where(F.col("modality").isin(modalities)), "modality"), ["stream_id"], grid_ms).select(*keys, "modality").distinct().withColumn("_seen", F.lit(True))
+    calls = overlap_join(w, spans(receipts, "receipt_id", "produces", "outcome_reason"), ["stream_id"], grid_ms)
+    touched = calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"))
+    by = calls.select(*keys, "receipt_id", "outcome_reason", F.explode("produces").alias("modality"))
+    said = by.groupBy(*keys, "modality").agg(F.min(F.when(F.coalesce("outcome_reason", F.lit("")) != "", F.struct("receipt_id", "outcome_reason"))).alias("_said"), F.lit(True).alias("_called"))
+    at = w.withColumn("modality", F.explode(F.array(*map(F.lit, [*modalities, *enrichment])))).join(seen, [*keys, "modality"], "left").join(said, [*keys, "modality"], "left").join(touched, keys, "left")
+    late, observed = F.col("modality").isin(enrichment), F.coalesce("_seen", F.lit(False))
+    state = F.when(late, "queued").when(observed, "observed").when(F.col("_called"), "not_observed").otherwise("not_sampled_by_policy")
+    reason = F.when(~late & ~observed & F.col("_called"), F.coalesce("_said.outcome_reason", F.lit("processed_without_observation")))
+    return at.select(*keys, "modality", state.alias("state"), reason.alias("reason_code"), F.when(F.col("calls") > 0, "sampled").otherwise("not_sampled_by_policy").alias("sampling_state"))
+
+
+def sampling_states(windows: DataFrame, observation: DataFrame, refresh: DataFrame, tracks: DataFrame, grid_ms: int) -> DataFrame:
+    """How each window was sampled, and what triggered the refreshes in it (distinct, in order).
+
+    refresh: stream_id, start_ms, end_ms, trigger. tracks: stream_id, kind. sampled with any observation; not_applicable without an audio or video track; then
+    a refresh without one; covered where the stream has a plan at all; else not_sampled_by_policy.
+    """
+    keys = ["stream_id", "start_ms", "end_ms"]
+    w = windows.select(keys)
+    spans = lambda df, *more: df.select("stream_id", F.col("start_ms").alias("other_start_ms"), F.col("end_ms").alias("other_end_ms"), *more)
+    seen = overlap_join(w, spans(observation), ["stream_id"], grid_ms).select(keys).distinct().withColumn("_seen", F.lit(True))
+    hit = overlap_join(w, spans(refresh, "trigger"), ["stream_id"], grid_ms).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("trigger")), ",").alias("triggers"))
+    planned = refresh.select("stream_id").distinct().withColumn("_planned", F.lit(True))
+    playable = tracks.where(F.col("kind").isin("audio", "video")).select("stream_id").distinct().withColumn("_playable", F.lit(True))
+    at = w.join(seen, keys, "left").join(hit, keys, "left").join(planned, "stream_id", "left").join(playable, "stream_id", "left")
+    state = F.when(F.col("_seen"), "sampled").when(F.col("_playable").isNull(), "not_applicable").when(F.col("triggers").isNotNull(), "semantic_refresh_without_observation").when(F.col("_planned"), "covered_without_model_refresh")
+    return at.select(*keys, state.otherwise("not_sampled_by_policy").alias("sampling_state"), F.coalesce("triggers", F.lit("")).alias("triggers"))

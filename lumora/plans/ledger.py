@@ -117,15 +117,27 @@ def q4_semantic_search(spark, d):
     return hits.select("vec_id", F.round("similarity", 6).alias("similarity"), F.round(1 - F.round("similarity", 6), 6).alias("distance"), "indexed")
 
 
-@query("SELECT vec_id, CASE WHEN 64 - (vec_id % 3) * 0 <> CASE WHEN vec_id % 5 = 0 THEN 32 ELSE 64 END THEN 'declared_index_mismatch' ELSE 'ok' END AS check_state, CASE WHEN vec_id % 5 = 0 THEN 'failed' ELSE 'ready' END AS next_state FROM embeddings")
+@query("""SELECT vec_id AS embedding_id, CASE WHEN vec_id % 5 = 0 OR vec_id % 7 = 0 THEN 'failed' WHEN vec_id % 3 = 0 THEN 'pending' WHEN vec_id % 11 = 0 THEN 'failed' ELSE 'ready' END AS state,
+    CASE WHEN vec_id % 5 = 0 THEN 'declared_index_mismatch' WHEN vec_id % 7 = 0 THEN 'vector_dimension_mismatch' WHEN vec_id % 3 > 0 AND vec_id % 11 = 0 THEN 'vector_not_confirmed' END AS reason_code FROM embeddings""")
 def t21_embedding_sink(spark, d):
-    state = v.dimension_state(F.lit(64), F.when(F.col("vec_id") % 5 == 0, 32).otherwise(64), F.col("embedding"))
-    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", state.alias("check_state"), F.when(state == "ok", "ready").otherwise("failed").alias("next_state"))
-
-
-@query("""SELECT modality, CASE WHEN quality_state IN ('failed', 'rejected') THEN 'not_eligible' WHEN modality = 'error' THEN 'modality_skipped' WHEN confidence IS NULL THEN 'text_missing' ELSE 'indexed' END AS outcome, count(*) AS n FROM obs GROUP BY ALL""")
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    vector = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    requests = e.select(F.col("vec_id").alias("embedding_id"), vector.alias("vector"), F.when(F.col("vec_id") % 5 == 0, 32).otherwise(64).alias("index_dimension"))
+    text = F.array_join(F.transform("vector", lambda x: x.cast("string")), ",")
+    stored = requests.where("embedding_id % 3 > 0").select("embedding_id", F.sha2(F.when(F.col("embedding_id") % 11 == 0, F.lit("another")).otherwise(text), 256).alias("vector_digest"))
+    return g.sunk(requests, stored, 64)
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 13 = 0 AS other, event_id % 17 = 0 AS badref, event_id % 5 = 0 AS before, event_id % 2500 AS unit_id, CAST(1 + event_id % 3 AS INT) AS revision FROM events),
+    o AS (SELECT event_id % 2000 AS unit_id, CAST(1 + event_id % 3 AS INT) AS revision, event_type IN ('view', 'click') AS wanted, CASE WHEN event_id % 10 = 0 THEN 0 WHEN event_id % 17 = 0 THEN 5000 ELSE 9 END AS n FROM events),
+    c AS (SELECT unit_id, revision, count(*) AS observations, count_if(NOT wanted) AS skipped_modality, count_if(wanted AND n = 0) AS empty_text, count_if(wanted AND n > 4096) AS over_bound, count_if(wanted AND n BETWEEN 1 AND 4096) AS embedded FROM o GROUP BY ALL),
+    j AS (SELECT e.*, CASE WHEN other THEN 'unsupported_event_type' WHEN badref THEN 'invalid_payload_ref' WHEN before THEN 'duplicate' WHEN NOT EXISTS (SELECT 1 FROM material m WHERE m.unit_id = e.unit_id AND m.revision = e.revision) THEN 'event_missing_facts' ELSE 'consumed' END AS outcome FROM e)
+    SELECT event_id, outcome, CASE WHEN outcome = 'consumed' THEN coalesce(observations, 0) ELSE 0 END::BIGINT AS observations, CASE WHEN outcome = 'consumed' THEN coalesce(skipped_modality, 0) ELSE 0 END::BIGINT AS skipped_modality, CASE WHEN outcome = 'consumed' THEN coalesce(empty_text, 0) ELSE 0 END::BIGINT AS empty_text,
+    CASE WHEN outcome = 'consumed' THEN coalesce(over_bound, 0) ELSE 0 END::BIGINT AS over_bound, CASE WHEN outcome = 'consumed' THEN coalesce(embedded, 0) ELSE 0 END::BIGINT AS embedded FROM j LEFT JOIN c USING (unit_id, revision)""")
 def t22_index_consumer(spark, d):
-    from ..operators.helpers import first_failure
-
-    rules = [(F.expr("quality_state IN ('failed', 'rejected')"), "not_eligible"), (F.expr("modality = 'error'"), "modality_skipped"), (F.expr("confidence IS NULL"), "text_missing"), (F.lit(True), "indexed")]
-    return view(spark, d, "obs").groupBy("modality", first_failure(rules).alias("outcome")).agg(F.count("*").alias("n"))
+    e = spark.read.parquet(f"{d}/events.parquet")
+    ref = "'material:' || (event_id % 2500) || ':' || CASE WHEN event_id % 17 = 0 THEN 0 ELSE 1 + event_id % 3 END"
+    events = e.selectExpr("event_id", "CASE WHEN event_id % 13 = 0 THEN 'material.deleted' ELSE 'material.upserted' END AS event_type", f"{ref} AS payload_ref")
+    observation = e.selectExpr("event_id % 2000 AS unit_id", "CAST(1 + event_id % 3 AS INT) AS revision", "event_type AS modality", "CASE WHEN event_id % 10 = 0 THEN ' \n' WHEN event_id % 17 = 0 THEN repeat('x', 5000) ELSE 'some text' END AS text")
+    consumed = e.where("event_id % 5 = 0").selectExpr("event_id", "'index' AS consumer").unionAll(e.selectExpr("event_id", "'other' AS consumer"))
+    return g.indexed(events, view(spark, d, "material"), observation, consumed, "index", ["view", "click"])

@@ -130,7 +130,7 @@ def a14_video_groups(spark, d):
 
 @query("SELECT stream_id, coalesce(max(revision), 0) + 1 AS next_revision FROM material GROUP BY stream_id")
 def a28_next_revision(spark, d):
-    return view(spark, d, "material").groupBy("stream_id").agg((F.coalesce(F.max("revision"), F.lit(0)) + 1).alias("next_revision"))
+    return m.next_revision(view(spark, d, "material"), ["stream_id"])
 
 
 @query(f"WITH latest AS ({LATEST}) SELECT unit_id, start_ms, (SELECT count(*) FROM latest) AS total FROM latest ORDER BY start_ms DESC, unit_id LIMIT 25 OFFSET 50")
@@ -150,19 +150,23 @@ def u4_merge_observations(spark, d):
     return m.merge_observations(rows).select("observation_id", "received", "conflict")
 
 
-@query("SELECT part_id % 50 AS asset_id, count(DISTINCT start_ms * 100000 + end_ms) AS refs, count(DISTINCT status) > 3 AS digest_conflict FROM material GROUP BY 1")
+@query("""WITH r AS (SELECT stream_id, part_id % 50 AS asset_id, start_ms, end_ms, CASE WHEN unit_id % 97 = 0 AND part_id % 2 = 0 THEN 'other' ELSE 'same' END AS digest FROM material)
+    SELECT stream_id, count(DISTINCT (asset_id, start_ms, end_ms)) AS references, count(DISTINCT asset_id) AS assets, CASE WHEN EXISTS (SELECT 1 FROM r b WHERE b.stream_id = r.stream_id GROUP BY b.asset_id HAVING count(DISTINCT digest) > 1) THEN 'fusion_asset_digest_conflict'
+    WHEN count(DISTINCT (asset_id, start_ms, end_ms)) > 60 THEN 'fusion_source_limit_exceeded' END AS reason_code FROM r GROUP BY stream_id""")
 def u5_source_references(spark, d):
-    refs = view(spark, d, "material").select((F.col("part_id") % 50).alias("asset_id"), "start_ms", "end_ms", "status")
-    return refs.groupBy("asset_id").agg(F.count_distinct("start_ms", "end_ms").alias("refs"), (F.count_distinct("status") > 3).alias("digest_conflict"))
+    refs = view(spark, d, "material").select("stream_id", (F.col("part_id") % 50).alias("asset_id"), "start_ms", "end_ms", F.expr("CASE WHEN unit_id % 97 = 0 AND part_id % 2 = 0 THEN 'other' ELSE 'same' END AS content_hash"))
+    return m.merged_references(refs, ["stream_id"], 60)
 
 
-@query(f"""SELECT unit_id, revision, CASE WHEN end_ms <= start_ms THEN 'range_invalid' WHEN confidence IS NOT NULL AND (confidence < 0.55 OR confidence > 1) THEN 'confidence_out_of_range'
-    WHEN status = 'failed' THEN 'status_failed' WHEN search_text = '' THEN 'text_empty' END AS error_code FROM ({LATEST})""")
+@query(f"""SELECT unit_id, revision, CASE WHEN unit_id % 89 = 0 THEN 'missing_material_identity' WHEN unit_id % 1000 < 3 AND unit_id % 7 = 0 OR unit_id % 83 = 0 THEN 'invalid_half_open_time_range' WHEN part_id % 31 = 0 THEN 'invalid_sha256_digest'
+    WHEN supplier_id % 7 > 0 AND confidence * 1.25 > 1 THEN 'invalid_confidence' WHEN part_id % 29 = 0 THEN 'invalid_material_status' WHEN supplier_id % 41 = 0 THEN 'invalid_revision' END AS reason_code FROM ({LATEST})""")
 def f11_validators(spark, d):
-    from ..operators.helpers import first_failure
-
-    rules = [(F.expr("end_ms <= start_ms"), "range_invalid"), (F.expr("confidence < 0.55 OR confidence > 1"), "confidence_out_of_range"), (F.expr("status = 'failed'"), "status_failed"), (F.expr("search_text = ''"), "text_empty")]
-    return m.latest_revision(view(spark, d, "material")).select("unit_id", "revision", first_failure(rules).alias("error_code"))
+    latest = m.latest_revision(view(spark, d, "material"))
+    units = latest.selectExpr(
+        "unit_id AS id", "revision AS rev", "CASE WHEN unit_id % 89 = 0 THEN '  ' ELSE '' || unit_id END AS unit_id", "CASE WHEN unit_id % 1000 < 3 AND unit_id % 7 = 0 THEN -1 ELSE start_ms END AS start_ms", "CASE WHEN unit_id % 83 = 0 THEN start_ms ELSE end_ms END AS end_ms",
+        "CASE WHEN part_id % 31 = 0 THEN 'md5:0' ELSE 'sha256:' || sha2('' || part_id, 256) END AS content_hash", "CAST(confidence AS DOUBLE) * 1.25 AS confidence", "CASE WHEN part_id % 29 = 0 THEN 'odd' ELSE status END AS status", "CASE WHEN supplier_id % 41 = 0 THEN 0 ELSE revision END AS revision",
+    )
+    return m.validated(units).select(F.col("id").alias("unit_id"), F.col("rev").alias("revision"), "reason_code")
 
 
 @query("SELECT unit_id, count(*) AS revisions, sum(CASE WHEN status = 'partial' THEN 1 ELSE 0 END) AS partial FROM material WHERE (unit_id, stream_id) IN (SELECT o_orderkey, o_orderkey % 150 FROM orders WHERE o_orderstatus = 'P') GROUP BY unit_id")
