@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,30 @@ def ascii_lower(text: str | Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_LOWER)
 
 
+def ranged_by_id(docs: DataFrame) -> DataFrame:
+    """doc_id and text, ranged over partitions and sorted by doc_id, null first. Rows of one id go by a hash of their text and equal rows by their place, so that no id, null included, falls to one task."""
+    rows = docs.select("doc_id", "text").withColumn("_hash", F.xxhash64("text")).withColumn("_place", F.monotonically_increasing_id())
+    order = ["doc_id", "_hash", "_place"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_hash", "_place")
+
+
+def filesystem(address: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of an address as Spark writes it, and the path in it. Schemes that only Spark's connectors know are named as pyarrow does; credentials are those that the machine gives pyarrow."""
+    return pyarrow.fs.FileSystem.from_uri(arrow_address(address))
+
+
+def arrow_address(address: str) -> str:
+    """s3a and s3n are s3, a blob store's wasb(s) is its abfs(s), a mounted dbfs is a folder; file, hdfs, gs and others stay."""
+    scheme, _, rest = address.partition(":")
+    if scheme in ("s3a", "s3n"):
+        return f"s3:{rest}"
+    if scheme in ("wasb", "wasbs"):
+        return f"abfs{scheme[4:]}:{rest.replace('.blob.', '.dfs.', 1)}"
+    if scheme == "dbfs":
+        return "file:///dbfs/" + rest.lstrip("/")
+    return address
+
+
 def split_id(*columns: str) -> list[Column]:
     """For Python: the id without nulls, which pandas would turn into floating point, and a mark for them, then the columns."""
     return [F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("id_null"), *map(F.col, columns)]

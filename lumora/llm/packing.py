@@ -10,8 +10,12 @@ and the minimum over the sliding reach is kept in a monotone queue, so the work
 stream is ranged by id over partitions; a partition is packed in blocks, and the last windows of a block are packed
 anew with the next, so memory is bounded by a block and the longest document.
 
-Edge cases: a null text has the end id alone; null ids come first; documents with equal ids follow each other in
-text order; any document is cut as often as it needs; an empty table gives no rows.
+Each partition begins a sequence, so where windows are cut depends on how many partitions the ranging makes; which ids a
+document has, and that each lies in one piece, does not.
+
+Edge cases: a null text has the end id alone; null ids come first; documents with equal ids follow each other in the
+order of a hash of their texts, over several partitions if they are many; equal rows are packed each; any document is cut as
+often as it needs; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import documents, ids_of, rows_frame, split_id
+from ._common import documents, ids_of, ranged_by_id, rows_frame, split_id
 from ._tokens import END_ID, shared_words, tokenizer_path
 
 SEQUENCE = 2048
@@ -135,7 +139,7 @@ def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFra
                 rows = []
         yield rows_frame(packer.pack(True), SCHEMA)
 
-    return docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select(split_id("text")).mapInPandas(pack, SCHEMA)
+    return ranged_by_id(docs).select(split_id("text")).mapInPandas(pack, SCHEMA)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ index and reads that block alone.
 A task writes files under names of their own, and only the rows of its manifest that Spark commits say which files
 count: an attempt that is lost or repeated leaves files that no manifest names. All files are in the shared folder.
 
-Edge cases: a null text has the end id alone; a null doc_id sorts first; documents with equal ids are all kept, in
-text order; a text of any length is one entry; an empty table gives an empty manifest and no rows.
+Edge cases: a null text has the end id alone; a null doc_id sorts first; documents with equal ids are all kept, in the
+order of a hash of their texts, in several files if they are many; equal rows are entries each; a text of any length is
+one entry; an empty table gives an empty manifest and no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,13 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import documents, fresh_path, ids_of, rows_frame, split_id, written
+from ._common import documents, filesystem, fresh_path, ids_of, ranged_by_id, rows_frame, split_id, written
 from ._tokens import END_ID, shared_words, tokenizer_path
 
 MAGIC = b"LUMSST01"
@@ -92,7 +92,7 @@ class Writer:
     """One shard file; keys must come in ascending order."""
 
     def __init__(self, uri: str):
-        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+        fs, path = filesystem(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.uri, self.out = uri, fs.open_output_stream(path)
         self.out.write(MAGIC)
@@ -140,7 +140,7 @@ class Reader:
     """One shard file: iterates over all entries, or looks up one key."""
 
     def __init__(self, uri: str):
-        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+        fs, path = filesystem(uri)
         self.file = fs.open_input_file(path)
         end = self.file.size()
         at, n_index, bloom_at, n_bloom, self.n_docs, self.n_tokens, check, magic = FOOTER.unpack(self._at(end - FOOTER.size, FOOTER.size))
@@ -204,8 +204,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_bytes: int =
             rows.append((part, seq, *out.close()))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select(split_id("text"))
-    return written(ranged.mapInPandas(write, MANIFEST), "sstable-manifest")
+    return written(ranged_by_id(docs).select(split_id("text")).mapInPandas(write, MANIFEST), "sstable-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

@@ -478,6 +478,47 @@ def test_sstable_round_trip(odd, spark, encoded, monkeypatch):
     assert found == sorted((i, tuple(encoded[t].tolist())) for i, t in ROWS if i in (4, 7, 2**62))
 
 
+@pytest.fixture
+def half_null(spark):
+    """Half of the rows without an id, a third of those equal, in enough partitions to show how they are dealt."""
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    i = F.col("id")
+    yield spark.range(4000, numPartitions=3).select(F.when(i % 2 == 0, i).alias("doc_id"), F.when(i % 6 == 1, F.lit("the same row")).when(i % 50 == 3, None).otherwise(F.concat(F.lit("row "), i.cast("string"))).alias("text"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_hot_ids_are_spread(half_null, spark):
+    """Rows of one id, null here, are many tasks; ids ascend over all files, and each row's ids are there once."""
+    n = half_null.count()
+    manifest = sstable.write_shards(half_null, fresh_path(spark, "hot"), tokenizer_path())
+    parts = manifest.groupBy("part").agg({"n_docs": "sum"}).toPandas()["sum(n_docs)"]
+    assert len(parts) == 4 and parts.max() < 0.4 * n and parts.sum() == n
+    got = sstable.read_shards(manifest).toPandas().sort_values("start")
+    assert (got["start"].to_numpy() == np.append(0, got["n_tokens"].cumsum().to_numpy()[:-1])).all()
+    keys = got["doc_id"].fillna(-1).to_numpy()
+    assert (np.diff(keys) >= 0).all() and (keys == -1).sum() == n // 2
+    texts = half_null.toPandas()
+    want = Counter((-1 if pd.isna(i) else int(i), zlib.crc32(ids + b"\1\0\0\0")) for i, ids in zip(texts["doc_id"], Words(tokenizer_path()).encode([None if pd.isna(t) else t for t in texts["text"]])))
+    assert Counter(zip(keys.astype(int).tolist(), got["ids_crc32"].tolist())) == want
+    pieces = packing.packed(half_null, tokenizer_path()).toPandas()
+    docs = pieces[pieces["start"] == 0]
+    assert len(docs) == n and pieces["length"].sum() == docs["doc_tokens"].sum() == got["n_tokens"].sum()
+    by_task = docs.groupby(docs["sequence_id"] // 2**32).size()
+    assert len(by_task) == 4 and by_task.max() < 0.4 * n
+    whole = Counter((-1 if pd.isna(i) else int(i), int(c)) for i, n_, c, d in zip(pieces["doc_id"], pieces["length"], pieces["ids_crc32"], pieces["doc_tokens"]) if n_ == d)
+    assert not whole - want and sum(whole.values()) > 0.95 * n
+
+
+def test_addresses_of_stores():
+    from lumora.llm._common import arrow_address, filesystem
+
+    assert arrow_address("s3a://bucket/a/b") == "s3://bucket/a/b" and arrow_address("wasbs://c@acct.blob.core.windows.net/x") == "abfss://c@acct.dfs.core.windows.net/x"
+    assert arrow_address("dbfs:/tmp/x") == "file:///dbfs/tmp/x" and arrow_address("hdfs://host:1/x") == "hdfs://host:1/x"
+    assert filesystem("file:///tmp/x")[1] == "/tmp/x" and filesystem("s3a://bucket/a/b?region=us-east-1")[1] == "bucket/a/b"
+
+
 def test_packing_places(odd, encoded):
     got = rows(packing.packed(odd, tokenizer_path()))
     by_sequence = defaultdict(list)
