@@ -8,9 +8,10 @@ neighbouring diagonals (position in the text less position in the pattern). Shar
 diagonal bands, each overlapping the next by half; bands that reach the bound are verified by an alignment within the band.
 
 A task lays its rows end to end with gaps that no band and no alignment can cross, so a row's regions do not depend on
-its neighbours. The benchmark is the stated query set. It is dealt into blocks of about BLOCK_BYTES, a file each in the
-shared folder; tasks read and index one block at a time, so neither they nor the driver hold more, and all documents are
-scanned once whatever the number of blocks.
+its neighbours. The benchmark is the stated query set. It is dealt into blocks of about BLOCK_BYTES, which tasks index, each
+once, as files in the shared folder. A task that scans documents normalises and hashes HELD_CHARS of texts once and then
+loads one block's index after the other, so neither tasks nor the driver hold more than a block, no index is made twice,
+and all documents are scanned once whatever the number of blocks.
 
 Edge cases: null and empty texts, and items with fewer than q characters after normalising, match nothing; an
 item of null text is skipped; items with the same text are all reported; repeated documents each have their rows;
@@ -20,17 +21,18 @@ side gives no rows; other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+import uuid
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs
-import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, ids_of, rows_frame, split_id, written
+from ._common import documents, filesystem, fresh_path, ids_of, rows_frame, split_id
 
 Q = 8
 EDIT_RATE = 0.08
@@ -44,6 +46,9 @@ SCHEMA = "doc_id long, item_id long, start long, end long, edits int, pattern_ch
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _CASE = np.array([0] + [ord(chr(c).lower()) if len(chr(c).lower()) == 1 and chr(c).lower().isalnum() else 32 for c in range(1, 0x10000)], np.uint32)
+#: Rows further apart than this share no band and no alignment, whatever the patterns: the longest is one that is looked for whole.
+_LONGEST = WINDOW + STRIDE // 2
+ROW_GAP = _LONGEST + 5 * (int(_LONGEST * EDIT_RATE) + 1)
 GAP = "\0"  # stays as it is when a text is normalised; such characters of a text or item become spaces first
 
 
@@ -103,11 +108,30 @@ class Patterns:
         order = np.argsort(every, kind="stable")
         self.hash, self.first, self.n = np.unique(every[order], return_index=True, return_counts=True)
         self.owner, self.place = owner[order].astype(np.int32), place[order].astype(np.int32)
-        # rows further apart than this share no band and no alignment
-        self.gap = int(self.m.max() + 5 * (self.edits.max() + 1)) if len(m) else 1
+        if len(m) and int(m.max() + 5 * (self.edits.max() + 1)) > ROW_GAP:
+            raise ValueError("patterns are longer than the gaps between rows allow")
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.hash >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    _ARRAYS = ("m", "edits", "least", "padded", "hash", "first", "n", "owner", "place")
+
+    def saved(self) -> bytes:
+        """The index as a file's bytes."""
+        out = io.BytesIO()
+        ids = np.array([i if i is not None else 0 for i in self.item], np.int64)
+        np.savez(out, **{a: getattr(self, a) for a in self._ARRAYS}, filter=np.packbits(self.filter), item=ids, item_null=np.array([i is None for i in self.item], bool))
+        return out.getvalue()
+
+    @classmethod
+    def loaded(cls, data: bytes) -> Patterns:
+        own = cls.__new__(cls)
+        with np.load(io.BytesIO(data)) as file:
+            for a in cls._ARRAYS:
+                setattr(own, a, file[a])
+            own.filter = np.unpackbits(file["filter"]).view(bool)
+            own.item = [None if null else i for i, null in zip(file["item"].tolist(), file["item_null"].tolist())]
+        return own
+
 
 def aligned(patterns: np.ndarray, lengths: np.ndarray, text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each row of patterns (padded; its length) against text on the diagonals from its start on, and the text end (exclusive)."""
@@ -127,9 +151,8 @@ def aligned(patterns: np.ndarray, lengths: np.ndarray, text: np.ndarray, starts:
     return cost[np.arange(len(starts)), best], starts + best + lengths
 
 
-def matches(points: np.ndarray, begins: np.ndarray, pats: Patterns) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(row, pattern, start, end, edits, shared) of verified regions in the points of rows that begin at begins."""
-    h = grams(points)
+def matches(points: np.ndarray, begins: np.ndarray, pats: Patterns, h: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(row, pattern, start, end, edits, shared) of verified regions in the points (with their grams h) of rows that begin at begins."""
     if not len(h) or not len(pats.hash):
         return
     hit = np.flatnonzero(pats.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
@@ -173,64 +196,100 @@ def matches(points: np.ndarray, begins: np.ndarray, pats: Patterns) -> Iterator[
             yield int(row[k + x]), int(p[x]), max(0, int(ends[x] - m[x])), min(int(ends[x]), len(points)), int(edits[x]), int(both[k + x])
 
 
-def _chunks(texts: list[str | None], gap: int) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
-    """Runs of rows, where each starts, and their texts with gaps in between; each of some length, whatever the rows."""
+@dataclass
+class Laid:
+    """Some rows end to end: which they are, where each begins in the text and among the points, the points with their places, and their grams."""
+
+    rows: np.ndarray
+    starts: np.ndarray
+    begins: np.ndarray
+    points: np.ndarray
+    place: np.ndarray
+    grams: np.ndarray
+
+
+def laid_out(texts: list[str | None]) -> Iterator[Laid]:
+    """The rows in runs of some length, whatever the rows, with gaps in between."""
+
+    def laid() -> Iterator[Laid]:
+        points, place = normalised((GAP * ROW_GAP).join(parts))
+        if len(points):
+            begins = np.searchsorted(place, starts)
+            begins += points[np.minimum(begins, len(points) - 1)] == 32
+            yield Laid(np.array(rows), np.array(starts), begins, points, place, grams(points))
+
     rows, starts, parts, total = [], [], [], 0
     for row, text in enumerate(texts):
         if text:
             rows.append(row)
             starts.append(total)
             parts.append(text.replace(GAP, " "))
-            total += len(text) + gap
+            total += len(text) + ROW_GAP
             if total >= CHUNK_CHARS:
-                yield np.array(rows), np.array(starts), (GAP * gap).join(parts)
+                yield from laid()
                 rows, starts, parts, total = [], [], [], 0
     if rows:
-        yield np.array(rows), np.array(starts), (GAP * gap).join(parts)
+        yield from laid()
 
 
-def regions(texts: list[str | None], pats: Patterns) -> dict[tuple[int, int | None], tuple]:
-    """The best region of each row and item: (rank, (start, end, edits, pattern characters, shared)); places in the text."""
-    out: dict[tuple[int, int | None], tuple] = {}
-    for rows, starts, laid in _chunks(texts, pats.gap):
-        points, place = normalised(laid)
-        if not len(points):
-            continue
-        begins = np.searchsorted(place, starts)
-        begins += points[np.minimum(begins, len(points) - 1)] == 32
-        for k, p, start, end, edits, shared in matches(points, begins, pats):
-            first, row = int(starts[k]), int(rows[k])
-            low, high = max(int(place[start]) - first, 0), min(int(place[max(end - 1, start)]) + 1 - first, len(texts[row]))
+def _add_regions(out: dict, texts: list[str | None], laid: Iterable[Laid], pats: Patterns) -> None:
+    """Keeps the best region of each row and item: (rank, (start, end, edits, pattern characters, shared)); places in the text."""
+    for run in laid:
+        for k, p, start, end, edits, shared in matches(run.points, run.begins, pats, run.grams):
+            first, row = int(run.starts[k]), int(run.rows[k])
+            low, high = max(int(run.place[start]) - first, 0), min(int(run.place[max(end - 1, start)]) + 1 - first, len(texts[row]))
             best = (edits / pats.m[p], -int(pats.m[p]), low, high)
             if (row, pats.item[p]) not in out or best < out[row, pats.item[p]][0]:
                 out[row, pats.item[p]] = (best, (low, high, edits, int(pats.m[p]), shared))
+
+
+def regions(texts: list[str | None], pats: Patterns) -> dict[tuple[int, int | None], tuple]:
+    """The best region of each row and item."""
+    out: dict[tuple[int, int | None], tuple] = {}
+    _add_regions(out, texts, laid_out(texts), pats)
     return out
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[str]:
-    """Writes the items as files of about block_bytes of text each; their addresses. An item longer than a block makes its block longer."""
+    """Indexes the items in blocks of about block_bytes of text each; the addresses of the indexes. An item longer than a block makes its block longer.
+
+    A task writes under a name of its own, and only the addresses that Spark returns count.
+    """
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return sorted(written(items.repartition(max(1, -(-size // block_bytes)), "item_id", "text"), "decontam-items").inputFiles())
+    folder = fresh_path(benchmark.sparkSession, "decontam-index")
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [(None if null else i, t) for batch in batches for i, null, t in zip(batch["id"].tolist(), batch["id_null"].tolist(), batch["text"])]
+        if own:
+            address = f"{folder}/{uuid.uuid4().hex}.npz"
+            fs, path = filesystem(address)
+            fs.create_dir(path.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(path) as out:
+                out.write(Patterns(sorted(own, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))).saved())
+            yield pd.DataFrame({"address": [address]})
+
+    ids = [F.coalesce("item_id", F.lit(0).cast("long")).alias("id"), F.col("item_id").isNull().alias("id_null"), F.col("text")]
+    blocks = items.repartition(max(1, -(-size // block_bytes)), "item_id", "text").select(*ids).mapInPandas(index, "address string")
+    return sorted(r["address"] for r in blocks.collect())  # a row a block
 
 
 @lru_cache(maxsize=1)
 def _block(address: str) -> Patterns:
     """One block's index; a Python worker that has a single block to look at keeps it."""
-    fs, path = pyarrow.fs.FileSystem.from_uri(address)
+    fs, path = filesystem(address)
     with fs.open_input_file(path) as file:
-        table = pyarrow.parquet.read_table(file)
-    items = zip(table["item_id"].to_pylist(), table["text"].to_pylist())
-    return Patterns(sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
+        return Patterns.loaded(file.read())
 
 
 def all_regions(texts: list[str | None], addresses: list[str]) -> list[tuple[int, int | None, int, int, int, int, int]]:
     """(row, item, start, end, edits, pattern characters, shared): the best region of each row and item over all blocks."""
-    out: dict[tuple[int, int | None], tuple] = {}
+    out: dict[tuple[int, int | None], tuple] = {}  # an id may repeat in another block
+    laid = laid_out(texts)
+    if len(addresses) > 1:
+        laid = list(laid)
     for address in addresses:
-        for key, found in regions(texts, _block(address)).items():
-            if key not in out or found < out[key]:  # an id may repeat in another block
-                out[key] = found
+        _add_regions(out, texts, laid, _block(address))
     return [(row, item, *region) for (row, item), (_, region) in out.items()]
 
 

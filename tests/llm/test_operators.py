@@ -364,6 +364,22 @@ def test_leaks_with_edits(spark):
     assert sorted(str(r["doc_id"]) for r in hit) == ["1", "3", "4", "None"]
 
 
+def test_many_blocks_are_indexed_once(spark, monkeypatch):
+    """Blocks of 64 KB and of 1 MB, one partition and 50: the same rows; an index is made once, and loaded as it was made."""
+    rng = np.random.default_rng(12)
+    items = [(k, drawn(rng, 400)) for k in range(800)] + [(None, drawn(rng, 90)), (5, drawn(rng, 120))]
+    docs = [(k, drawn(rng, 700) + items[k * 7][1][100:260] + drawn(rng, 40)) for k in range(60)] + [(60, items[-1][1]), (61, items[-2][1]), (62, drawn(rng, 3000)), (None, None)]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(n, b): sorted(map(str, rows(decontam.contaminated(docs.repartition(n), bench, b)))) for n in (1, 50) for b in (1 << 16, 1 << 20)}
+    assert len({tuple(x) for x in got.values()}) == 1 and len(got[1, 1 << 16]) >= 62
+    addresses = decontam.item_blocks(bench, 1 << 16)
+    assert len(addresses) == 5
+    made = []
+    monkeypatch.setattr(decontam.Patterns, "__init__", lambda *a, **k: made.append(a))
+    texts = [r["text"] for r in docs.collect()]
+    assert len(decontam.all_regions(texts, addresses)) == len(got[1, 1 << 16]) and not made
+
+
 LETTERS = np.array(list("abcdefghijklmnopqrstuvwxyz      "))
 
 
