@@ -29,4 +29,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = jumped
         if jumped.where("label <> was").isEmpty():
             discard(edges)
-            return labels.select("node", "label")
+            out = labels.select("node", "label")
+            out.lumora_path = labels.lumora_path  # the caller may discard it
+            return out

@@ -8,8 +8,9 @@ distinct fingerprints, 15 up to 2 thousand million). A bucket's fingerprints for
 itself: pairs of its nodes are walked down together, differing bits are added up, and a pair is dropped as soon as
 they exceed the budget.
 
-A bucket that is too large for a unit of work is dealt into blocks. First each block is joined with itself; then the
-rows outside the bucket's largest component meet every block. What a unit gives is a spanning forest of its links,
+A bucket that is too large for a unit of work is split by the same rule once more: its fingerprints agree on the bucket's
+bits, so two within the budget agree on one of budget + 1 blocks of the others at least, and go to a bucket for each. What is still too large
+is dealt into blocks. First each block is joined with itself; then the rows outside the bucket's largest component meet every block. What a unit gives is a spanning forest of its links,
 never all pairs, nearest first, so dense groups close early; components then come from joins over the forests.
 
 Edge cases: null texts and texts without words have the fingerprint zero and are linked like any other; texts are
@@ -86,6 +87,13 @@ def block_masks(n: int, bits: int = BITS) -> list[int]:
     return [sum(kept) for kept in combinations(blocks, m - bits)]
 
 
+def further_masks(mask: int, bits: int = BITS) -> list[int]:
+    """Masks of the bits that a mask leaves; two fingerprints within the budget that agree on the mask agree on one of them too."""
+    left = [k for k in range(64) if not mask >> k & 1]
+    ends = [len(left) * k // (bits + 1) for k in range(bits + 2)]
+    return [sum(1 << k for k in left[a:b]) for a, b in zip(ends, ends[1:])]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -94,21 +102,36 @@ def _passes(bits: int) -> list[tuple[int, None]]:
     return [(b, None) for b in (1, 2, 4, 8) if b < bits] + [(bits, None)]
 
 
+def bucket_entries(distinct: DataFrame, n: int, bits: int = BITS) -> DataFrame:
+    """node, fp and the bucket (mask, part, more, rest) of each entry of n distinct fingerprints; a bucket of more than UNIT_ROWS is split by further bits."""
+    masks = block_masks(n, bits)
+    signed = lambda values: F.array(*[F.lit(_signed(x)).cast("long") for x in values])
+    entries = distinct.select("fp", F.posexplode(signed(masks)).alias("mask", "bits")).select(F.col("fp").alias("node"), "fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("part"))
+    large = written(entries.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _tries.UNIT_ROWS).select("mask", "part"), "simhash-large")
+    whole = [F.lit(-1).alias("more"), F.lit(0).cast("long").alias("rest")]
+    if large.isEmpty():
+        discard(large)
+        return entries.select("node", "fp", "mask", "part", *whole)
+    further = F.element_at(F.array(*[signed(further_masks(m, bits)) for m in masks]), F.col("mask") + 1)
+    split = entries.join(large, ["mask", "part"], "left_semi").select("node", "fp", "mask", "part", F.posexplode(further).alias("more", "bits")).withColumn("rest", F.col("fp").bitwiseAND(F.col("bits"))).drop("bits")
+    return entries.join(large, ["mask", "part"], "left_anti").select("node", "fp", "mask", "part", *whole).unionByName(split)
+
+
 def fingerprint_components(distinct: DataFrame, n: int, bits: int = BITS) -> DataFrame:
     """(node, label) of each of n distinct fingerprints (column fp) that has a link: label is the least of its component."""
-    masks = F.array(*[F.lit(_signed(x)).cast("long") for x in block_masks(n, bits)])
-    entries = distinct.select("fp", F.posexplode(masks).alias("mask", "bits")).select(F.col("fp").alias("node"), "fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("part"))
-    keys = ["mask", "part"]
+    entries = bucket_entries(distinct, n, bits)
+    keys = ["mask", "part", "more", "rest"]
     large = written(entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _tries.UNIT_ROWS), "simhash-large")
     links = written(_tries.unit_pairs(_tries.one_block_units(entries.withColumn("label", F.col("node")), keys, large, "left"), lambda _: _passes(bits)), "simhash-links")
     labels = components(links, "simhash")
     if large.isEmpty():
+        discard(links, large)
         return labels
     inside = entries.join(large.select(keys), keys, "left_semi")
     at = written(inside.join(labels, "node", "left").select("node", "fp", *keys, F.coalesce("label", "node").alias("label")), "simhash-inside")
-    more = _tries.unit_pairs(_tries.cross_units(at, keys), lambda _: _passes(bits))
-    out = components(written(links.union(more), "simhash-links"), "simhash")
-    discard(links, at)
+    more = written(_tries.unit_pairs(_tries.cross_units(at, keys), lambda _: _passes(bits)), "simhash-links")
+    out = components(links.union(more), "simhash")
+    discard(links, at, more, labels, large)
     return out
 
 
@@ -120,6 +143,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, words_per_shingle: int =
     labelled = written(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_doc", F.coalesce("label", "fp").alias("label")), "simhash-labelled")
     names = written(labelled.groupBy("label").agg(F.min("least_doc").alias("component_id")), "simhash-names")
     named = written(labelled.join(names, "label").select("fp", "component_id"), "simhash-named")
+    discard(distinct, labels, labelled, names)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -669,6 +669,31 @@ def test_masks_meet_all_close_pairs(n, bits):
         assert ((masks & np.uint64(x)) == 0).any()
 
 
+@pytest.mark.parametrize("bits", [4, 2])
+def test_further_masks(bits):
+    rng = np.random.default_rng(bits)
+    for mask in simhash.block_masks(10**7, bits)[:9]:
+        more = simhash.further_masks(mask, bits)
+        assert sum(more) + mask == 2**64 - 1 and all(a & b == 0 for a in more for b in (*more, mask) if a is not b)
+        left = [k for k in range(64) if not mask >> k & 1]
+        for _ in range(50):
+            x = sum(1 << int(k) for k in rng.choice(left, bits, replace=False))
+            assert any(m & x == 0 for m in more)
+
+
+def test_a_large_bucket_of_strangers_is_split(spark):
+    """40,000 fingerprints that agree on a bucket's bits and are not linked: none meets many others."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40_000).select(F.xxhash64("id").bitwiseAND(F.lit((1 << 50) - 1)).alias("fp")).distinct()
+    entries = simhash.bucket_entries(rows, 40_000)
+    keys = ["mask", "part", "more", "rest"]
+    at = entries.where("part = 0").withColumn("label", F.col("node"))
+    assert entries.count() <= 9 * 40_000
+    assert at.groupBy(*keys).count().agg(F.max("count")).first()[0] <= _tries.UNIT_ROWS
+    assert _tries.cross_units(at, keys).count() <= 200_000
+
+
 def test_simhash_components(odd, spark, sf_dir, monkeypatch):
     monkeypatch.setattr(_tries, "UNIT_ROWS", 3)  # many buckets are dealt into blocks
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
