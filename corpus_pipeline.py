@@ -1,5 +1,11 @@
 """A corpus pipeline: toxic documents go, one of each near-duplicate group stays, benchmark leaks go, secrets are
-replaced, and what is left is packed into sequences. Each stage is written as Parquet and read again by the next."""
+replaced, and what is left is packed into sequences. Each stage is written as Parquet and read again by the next; the
+table before it is deleted then.
+
+Edge cases, for all stages: null ids and null texts stay rows (a null text is empty to every judgement and stays null);
+rows with one id are judged by their own texts, and of equal ones near-dedup keeps one; texts are read whole; ties of a
+group go to the least id, then the least text; extra columns stay, whatever their names; with no documents, labels or
+benchmark a stage gives what it has, down to no rows."""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.llm import decontam, nearcopies, packing, secrets, toxicity
-from lumora.llm._common import documents, written
+from lumora.llm._common import discard, documents, written
 from lumora.llm._tokens import tokenizer_path
 
 #: Near copies here: five-word shingle sets with this Jaccard similarity or more.
@@ -53,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
