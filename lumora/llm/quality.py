@@ -6,7 +6,8 @@ lengths the share of the most frequent n-gram counts; for longer ones the share
 n-gram that occurs twice or more. If no n-gram of one length repeats, none of a greater length can.
 
 Edge cases: null and empty texts have zeros everywhere and fail (fewer than 20 words); any length of text is
-scored whole; repeated rows are scored alike; an empty table gives no rows.
+scored whole; repeated rows are scored alike, each with its row; of equally frequent n-grams the longest in characters
+counts; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

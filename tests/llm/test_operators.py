@@ -115,6 +115,48 @@ def test_quality_base(text):
     assert not (got[8] and got[9])
 
 
+def plain_shares(text):
+    """Greatest shares by counting tuples of words, the duplicated lines' share, and whether any is over its limit."""
+    text = text or ""
+    words = WORD.findall(text)
+    chars, top, dup, over = max(sum(map(len, words)), 1), 0.0, 0.0, False
+    for k in range(2, 11):
+        at = defaultdict(list)
+        for i in range(len(words) - k + 1):
+            at[tuple(words[i : i + k])].append(i)
+        most = max(map(len, at.values()), default=0)
+        if most < 2:
+            continue
+        if k in quality.MAX_TOP_SHARE:
+            share = most * max(sum(map(len, g)) for g, i in at.items() if len(i) == most) / chars
+            top, over = max(top, share), over or share > quality.MAX_TOP_SHARE[k]
+        if k in quality.MAX_DUP_SHARE:
+            share = sum(len(words[j]) for j in {j for i in at.values() if len(i) > 1 for x in i for j in range(x, x + k)}) / chars
+            dup, over = max(dup, share), over or share > quality.MAX_DUP_SHARE[k]
+    lines = [x for x in text.split("\n") if WORD.search(x)] if "\n" in text else []
+    again = [x for i, x in enumerate(lines) if x in lines[:i]]
+    line_share = sum(map(len, again)) / max(len(text), 1)
+    return top, dup, line_share, over or len(again) > quality.MAX_DUP_LINE_SHARE * len(lines) or line_share > quality.MAX_DUP_LINE_CHAR_SHARE
+
+
+def test_quality_shares_and_verdict(sf_dir):
+    """The method's own shares and its verdict, on the table's texts and on made ones about the limits."""
+    import random
+
+    rng = random.Random(6)
+    texts = [t for t in pd.read_parquet(f"{sf_dir}/documents.parquet")["text"] if len(t or "") < 20_000]
+    for _ in range(150):
+        vocabulary = [f"w{rng.randrange(rng.choice([3, 12, 400]))}é" for _ in range(30)]
+        part = " ".join(rng.choices(vocabulary, k=rng.randint(1, 14)))
+        texts.append("\n".join(rng.choice([part, " ".join(rng.choices(vocabulary, k=rng.randint(1, 40))), " "]) for _ in range(rng.randint(1, 12))))
+    verdicts = Counter()
+    for t in [*texts, *(x for x in TEXTS if x is not LONG)]:
+        got, (top, dup, line_share, over) = quality.coverage(t), plain_shares(t)
+        assert got[5:8] == pytest.approx((top, dup, line_share)) and got[9] == (not got[8] and not over), t
+        verdicts[got[8], got[9]] += 1
+    assert all(verdicts[x] > 10 for x in ((True, False), (False, True), (False, False)))
+
+
 def test_quality_frame(odd):
     assert Counter(r["doc_id"] for r in rows(quality.repetition_quality(odd))) == Counter(i for i, _ in ROWS)
     assert not quality.coverage("one two three four five six seven " * 30)[9] and quality.coverage(" ".join(f"w{k}" for k in range(200)))[9]
@@ -207,6 +249,49 @@ def test_markov_precision_and_recall(spark, sf_dir):
     assert hit >= 0.9 * len(keys) and false <= 0.01 * len(plain)
 
 
+def plain_markov(text, ratio, base):
+    """Likely random tokens by a walk over the characters, scored pair by pair."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    allowed, out, at = set(alphabet) | set("_=-"), [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        token = text[at:end]
+        if len(token) >= 20 and any(c in "0123456789" for c in token) and any(c.isalpha() for c in token) and not any(a <= at and end <= b for a, _, b in base):
+            before, score = 65, 0.0
+            for c in token:
+                now = alphabet.index(c) if c in alphabet else 64
+                score += ratio[before][now]
+                before = now
+            if score >= max(secrets.MIN_RATIO, secrets.MIN_RATE * len(token)):
+                out.append((at, "markov", end))
+        at = max(end, at + 1)
+    return out
+
+
+def test_all_spans_by_brute_force(spark, sf_dir):
+    """The digest columns of op3 with the spans of both models, on the table's texts and on made keys."""
+    import random
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(2)
+    keys = secrets.random_samples(300, seed=5)
+    made = [(10**6 + k, " ".join(rng.choice([*keys, "password=" + keys[k % 300], "plain words here", "user_session_id_2024_update", "AKIA" + "X7" * 9]) for _ in range(9))) for k in range(150)]
+    docs = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    ratio = secrets.trained_on(docs)
+    table, found = ratio.tolist(), 0
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in rows(secrets.secret_scan(docs)):
+        base = plain_base(texts[r["doc_id"]])
+        extra = plain_markov(texts[r["doc_id"]], table, base)
+        want = sorted(base + extra, key=lambda x: (x[0], secrets.KINDS[x[1]]))
+        assert r["spans"] == ",".join(f"{k}:{s}:{e}" for s, k, e in want), r["doc_id"]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, k, e in base).encode()).hexdigest() and r["n_markov"] == len(extra)
+        found += len(extra)
+    assert found > 300
+
+
 def test_key_that_a_pattern_cuts_is_whole(spark):
     ratio = secrets.trained_ratio([])
     key = "q8Zr3LmX0pT7vNb2Ks" + "9f3a07c1e5b84d2660fa1c7e" + "YwQdE9Jx4Hu6Gc1Ro"
