@@ -127,11 +127,12 @@ def near_copies(docs: DataFrame, words_per_shingle: int, similarity: float, bits
     named = once.select(F.col("key").alias("node"), F.explode("bands").alias("band"))
     shared = written(named.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nearcopies-bands")
     inside = written(named.join(shared.select("band"), "band", "left_semi"), "nearcopies-inside")
-    # the texts that share no bucket, most of them, end here
-    nodes = inside.select(F.col("node").alias("key")).distinct()
+    # the texts that share no bucket, most of them, end here; as a table of its own the planner knows how small the rest is, and where it is small no set is shuffled to find it
+    nodes = written(inside.select(F.col("node").alias("key")).distinct(), "nearcopies-nodes")
     sets = rows.where("size > 0").select("key", "fp", "size", "sketch", "bands", "shingles").join(nodes, "key", "left_semi")
     sets = sets.groupBy("key").agg(F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("size", "sketch", "bands", "shingles")])
     sets = written(sets, "nearcopies-sets")
+    discard(nodes)
     sketches = sets.select(F.col("key").alias("node"), "fp", "size", "sketch", "bands")
     passes = _passes(similarity, bits)
     dealt = _tries.one_block_units(inside.withColumn("home", F.col("band")), ["band"], shared, "inner")
