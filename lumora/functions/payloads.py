@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NODES = "array<struct<path:array<string>,v:variant>>"
+VALUES = "array<variant>"
 #: Keys that hold a payload's main text, the first that does.
 MAIN_KEYS = ("text", "caption", "description", "transcript")
 MOST_POINTERS = 32
@@ -29,47 +30,70 @@ def stripped(text: Column) -> Column:
 
 def _text(value: Column) -> Column:
     """The string that a value is, or null."""
-    return F.when(kind(value) == "STRING", value.try_cast("string"))
+    return F.when(F.schema_of_variant(value) == "STRING", value.try_cast("string"))
 
 
-def _entries(value: Column) -> Column:
-    return F.map_entries(value.try_cast("map<string,variant>"))
+def _levels(payload: Column, depth: int) -> Column:
+    """As many levels as a payload can have, the depth at most: none lies below more brackets than its text opens."""
+    return F.least(F.lit(depth), F.coalesce(F.regexp_count(F.to_json(payload), F.lit(r"[\[{]")), F.lit(0)))
+
+
+def _bound(value: Column, result: Callable[[Column], Column]) -> Column:
+    """result of a value that is worked out once, however often it is named: inside a fold nothing else shares it."""
+    return F.element_at(F.transform(F.array(value), result), 1)
 
 
 def children(node: Column) -> Column:
     path, value = node["path"], node["v"]
-    fields = F.transform(_entries(value), lambda e: F.struct(F.concat(path, F.array(e["key"])).alias("path"), e["value"].alias("v")))
+    fields = F.transform(F.map_entries(value.try_cast("map<string,variant>")), lambda e: F.struct(F.concat(path, F.array(e["key"])).alias("path"), e["value"].alias("v")))
     items = F.transform(value.try_cast("array<variant>"), lambda x, i: F.struct(F.concat(path, F.array(F.lpad(i.cast("string"), 10, "0"))).alias("path"), x.alias("v")))
-    of = kind(value)
-    return F.when(of == "OBJECT", fields.cast(NODES)).when(of == "ARRAY", items.cast(NODES)).otherwise(F.array().cast(NODES))
+    return F.coalesce(fields.cast(NODES), items.cast(NODES), F.array().cast(NODES))
+
+
+def _values_below(value: Column) -> Column:
+    return F.coalesce(F.map_values(value.try_cast("map<string,variant>")).cast(VALUES), value.try_cast(VALUES), F.array().cast(VALUES))
 
 
 def main_child(node: Column) -> Column:
     """Of an object with a main key that holds text that key's value alone; all children of others."""
-    fields = node["v"].try_cast("map<string,variant>")
-    held = [F.when(F.coalesce(_text(F.try_element_at(fields, F.lit(k))), F.lit("")) != "", F.lit(k)) for k in MAIN_KEYS]
-    main = F.coalesce(*held)
-    return F.when((kind(node["v"]) == "OBJECT") & main.isNotNull(), F.filter(children(node), lambda c: F.element_at(c["path"], -1) == main)).otherwise(children(node))
 
+    def chosen(fields: Column) -> Column:
+        held = [F.when(F.coalesce(_text(F.try_element_at(fields, F.lit(k))), F.lit("")) != "", F.lit(k)) for k in MAIN_KEYS]
+        only = lambda key: F.when(key.isNotNull(), F.array(F.struct(F.concat(node["path"], F.array(key)).alias("path"), F.try_element_at(fields, key).alias("v"))).cast(NODES))
+        return _bound(F.coalesce(*held), only)
 
-def _next_level(front: Column, below: Callable[[Column], Column]) -> Column:
-    return F.flatten(F.transform(front, below)).cast(NODES)
+    return F.coalesce(_bound(node["v"].try_cast("map<string,variant>"), chosen), children(node))
 
 
-def walked(payload: Column, depth: int, below: Callable[[Column], Column] = children) -> Column:
-    """All nodes (path, v) down to a depth, the payload itself at depth 0, in document order; empty for no payload."""
+def _visited(payload: Column, depth: int, below: Callable[[Column], Column], result: Callable[[Column], Column], ends_only: bool = False) -> Column:
+    """result of all nodes (path, v) down to a depth, level by level, or of those alone that have none below them."""
     none = F.array().cast(NODES)
     root = F.when(payload.isNotNull(), F.array(F.struct(F.array().cast("array<string>").alias("path"), payload.alias("v"))).cast(NODES)).otherwise(none)
     start = F.struct(root.alias("front"), none.alias("seen"))
-    step = lambda s, _: F.struct(_next_level(s["front"], below).alias("front"), F.concat(s["seen"], s["front"]).cast(NODES).alias("seen"))
-    nodes = F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, step, lambda s: s["seen"])
-    return F.array_sort(nodes, lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
+
+    def step(s: Column, _: Column) -> Column:
+        level = F.transform(s["front"], lambda n: F.struct(n.alias("n"), below(n).alias("below")))
+        met = lambda x: F.filter(x, lambda y: F.size(y["below"]) == 0)["n"] if ends_only else s["front"]
+        return _bound(level, lambda x: F.struct(F.flatten(x["below"]).cast(NODES).alias("front"), F.concat(s["seen"], met(x)).cast(NODES).alias("seen")))
+
+    return F.aggregate(F.sequence(F.lit(0), _levels(payload, depth)), start, step, lambda s: result(s["seen"]))
+
+
+def walked(payload: Column, depth: int, below: Callable[[Column], Column] = children) -> Column:
+    """All nodes (path, v) down to a depth, the payload itself at depth 0, in document order; empty for no payload."""
+    # paths differ, so sorting paths with their places sorts the nodes
+    ordered = lambda nodes: F.transform(F.array_sort(F.transform(nodes, lambda n, i: F.struct(n["path"].alias("path"), i.alias("i")))), lambda x: F.get(nodes, x["i"]))
+    return _visited(payload, depth, below, ordered)
 
 
 def payload_text(payload: Column, depth: int = 64) -> Column:
     """All strings, stripped, without blank ones, joined by line ends; empty for no payload."""
-    texts = F.transform(walked(payload, depth), lambda n: stripped(_text(n["v"])))
-    return F.array_join(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != ""), "\n")
+
+    def joined(nodes: Column) -> Column:
+        texts = F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), stripped(_text(n["v"])).alias("text")))
+        return F.array_join(F.transform(F.array_sort(F.filter(texts, lambda x: F.coalesce(x["text"], F.lit("")) != "")), lambda x: x["text"]), "\n")
+
+    return _visited(payload, depth, children, joined, ends_only=True)
 
 
 def caption_text(payload: Column, most: int = 4000, depth: int = 12, nodes: int = 500) -> Column:
@@ -117,19 +141,21 @@ def payload_limits(payload: Column, depth: int = 32, values: int = 4096) -> Colu
 
     The payload's own fields are at depth 1. What lies deeper than the limit is not looked at.
     """
-    none = F.array().cast(NODES)
-    root = F.array(F.struct(F.array().cast("array<string>").alias("path"), payload.alias("v"))).cast(NODES)
-    endless = lambda n: F.coalesce((kind(n["v"]) == "DOUBLE") & ~(F.abs(n["v"].try_cast("double")) < F.lit(float("inf"))), F.lit(False))
-    start = F.struct(root.alias("front"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("odd"))
+    # the kind first: a cast of a text that is no number is dear
+    infinite = lambda v: (F.schema_of_variant(v) == "DOUBLE") & ~(F.abs(v.try_cast("double")) < F.lit(float("inf")))
+    start = F.struct(F.array(payload).cast(VALUES).alias("front"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("odd"), F.to_json(payload).rlike("Infinity|NaN").alias("suspect"))
 
     def step(s: Column, _: Column) -> Column:
-        below = _next_level(s["front"], children)
-        return F.struct(F.when(s["n"] > values, none).otherwise(below).cast(NODES).alias("front"), (s["n"] + F.size(below)).cast("long").alias("n"), (s["odd"] | F.exists(below, endless)).alias("odd"))
+        front = lambda below: F.when(s["n"] > values, F.array().cast(VALUES)).otherwise(below).cast(VALUES)
+        next_state = lambda below: F.struct(front(below).alias("front"), (s["n"] + F.size(below)).cast("long").alias("n"), (s["odd"] | s["suspect"] & F.exists(below, infinite)).alias("odd"), s["suspect"].alias("suspect"))
+        return _bound(F.flatten(F.transform(s["front"], _values_below)).cast(VALUES), next_state)
+
+    def verdict(s: Column) -> Column:
+        deep = F.exists(s["front"], lambda v: F.size(_values_below(v)) > 0)
+        return F.when(s["odd"], "observation_payload_unsupported").when((s["n"] > values) | deep, "observation_payload_limit_exceeded")
 
-    ends = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step)
-    deep = F.exists(ends["front"], lambda n: F.size(children(n)) > 0)
-    found = F.when(ends["odd"], "observation_payload_unsupported").when((ends["n"] > values) | deep, "observation_payload_limit_exceeded")
-    return F.when(payload.isNull() | (kind(payload) != "OBJECT"), "observation_payload_unsupported").otherwise(found)
+    levels = F.sequence(F.lit(1), F.greatest(F.lit(1), _levels(payload, depth)))
+    return F.when(payload.try_cast("map<string,variant>").isNull(), "observation_payload_unsupported").otherwise(F.aggregate(levels, start, step, verdict))
 
 
 def tolerant_long(value: Column) -> Column:

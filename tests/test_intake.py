@@ -151,3 +151,14 @@ def test_walks_are_native(spark):
     rows = spark.createDataFrame([('{"a": 1}',)], "t string").select(F.try_parse_json("t").alias("v"))
     plan = rows.select(p.caption_text(F.col("v")), p.payload_text(F.col("v")), p.payload_limits(F.col("v")), p.declared_text(F.col("v"), ["/a"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_payload_walks_are_folds_that_run_once(spark):
+    """A fold that is named by several fields is worked out for each of them, and a kind of every node spells out what lies below it."""
+    v = F.col("v")
+    rows = spark.range(1).select(F.try_parse_json(F.lit('{"a": ["x"]}')).alias("v"))
+    for walk, kinds in ((p.payload_limits(v), 1), (p.payload_text(v), 1)):
+        plan = rows.select(walk.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("aggregate(") == 1 and plan.count("schema_of_variant(") <= kinds
+    shallow = spark.range(1).select(p.payload_limits(F.parse_json(F.lit('{"a": 1}')), 10_000_000).alias("x"))  # no steps for levels that are not there
+    assert shallow.first()["x"] is None
