@@ -116,7 +116,8 @@ def f22_configured(spark, d):
 
 def _payloads(spark, d):
     """A nested payload for each event."""
-    e = spark.read.parquet(f"{d}/events.parquet")
+    # the table is small against the work on its rows, so a split of the file is not the unit of work
+    e = spark.read.parquet(f"{d}/events.parquet").repartition("event_id")
     text = F.to_json(F.struct(
         F.struct(F.concat(F.lit(" "), F.col("event_type"), F.lit(" ")).alias("x/y"), F.array(F.concat(F.lit("u"), F.col("user_id")), F.lit(""), F.lit("last")).alias("0")).alias("b~c"),
         F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("caption "), F.col("event_id"))).alias("caption"), F.col("value").alias("n"), F.array(F.struct(F.lit("tail").alias("text"), F.lit("never shown").alias("other"))).alias("z"),
