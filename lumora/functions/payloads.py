@@ -38,7 +38,7 @@ def _levels(payload: Column, depth: int) -> Column:
     return F.least(F.lit(depth), F.coalesce(F.regexp_count(F.to_json(payload), F.lit(r"[\[{]")), F.lit(0)))
 
 
-def _bound(value: Column, result: Callable[[Column], Column]) -> Column:
+def bound(value: Column, result: Callable[[Column], Column]) -> Column:
     """result of a value that is worked out once, however often it is named: inside a fold nothing else shares it."""
     return F.element_at(F.transform(F.array(value), result), 1)
 
@@ -60,9 +60,9 @@ def main_child(node: Column) -> Column:
     def chosen(fields: Column) -> Column:
         held = [F.when(F.coalesce(_text(F.try_element_at(fields, F.lit(k))), F.lit("")) != "", F.lit(k)) for k in MAIN_KEYS]
         only = lambda key: F.when(key.isNotNull(), F.array(F.struct(F.concat(node["path"], F.array(key)).alias("path"), F.try_element_at(fields, key).alias("v"))).cast(NODES))
-        return _bound(F.coalesce(*held), only)
+        return bound(F.coalesce(*held), only)
 
-    return F.coalesce(_bound(node["v"].try_cast("map<string,variant>"), chosen), children(node))
+    return F.coalesce(bound(node["v"].try_cast("map<string,variant>"), chosen), children(node))
 
 
 def _visited(payload: Column, depth: int, below: Callable[[Column], Column], result: Callable[[Column], Column], ends_only: bool = False) -> Column:
@@ -74,7 +74,7 @@ def _visited(payload: Column, depth: int, below: Callable[[Column], Column], res
     def step(s: Column, _: Column) -> Column:
         level = F.transform(s["front"], lambda n: F.struct(n.alias("n"), below(n).alias("below")))
         met = lambda x: F.filter(x, lambda y: F.size(y["below"]) == 0)["n"] if ends_only else s["front"]
-        return _bound(level, lambda x: F.struct(F.flatten(x["below"]).cast(NODES).alias("front"), F.concat(s["seen"], met(x)).cast(NODES).alias("seen")))
+        return bound(level, lambda x: F.struct(F.flatten(x["below"]).cast(NODES).alias("front"), F.concat(s["seen"], met(x)).cast(NODES).alias("seen")))
 
     return F.aggregate(F.sequence(F.lit(0), _levels(payload, depth)), start, step, lambda s: result(s["seen"]))
 
@@ -148,7 +148,7 @@ def payload_limits(payload: Column, depth: int = 32, values: int = 4096) -> Colu
     def step(s: Column, _: Column) -> Column:
         front = lambda below: F.when(s["n"] > values, F.array().cast(VALUES)).otherwise(below).cast(VALUES)
         next_state = lambda below: F.struct(front(below).alias("front"), (s["n"] + F.size(below)).cast("long").alias("n"), (s["odd"] | s["suspect"] & F.exists(below, infinite)).alias("odd"), s["suspect"].alias("suspect"))
-        return _bound(F.flatten(F.transform(s["front"], _values_below)).cast(VALUES), next_state)
+        return bound(F.flatten(F.transform(s["front"], _values_below)).cast(VALUES), next_state)
 
     def verdict(s: Column) -> Column:
         deep = F.exists(s["front"], lambda v: F.size(_values_below(v)) > 0)

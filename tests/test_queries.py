@@ -52,6 +52,13 @@ def test_interval_joins_have_no_nested_loop(name, spark, sf_dir):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize(("name", "scans", "exchanges"), [("o1_graph_extensions", 6, 5)])
+def test_steps_are_planned_once(name, scans, exchanges, spark, sf_dir):
+    """A table that several branches name is planned, and mostly run, once for each of them."""
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= scans and plan.count("Exchange hashpartitioning") <= exchanges
+
+
 def test_filters_reach_the_scan(spark, sf_dir):
     plan = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 200").select("c_custkey")._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(c_custkey,200)" in plan and "c_mktsegment" not in plan
