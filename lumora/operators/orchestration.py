@@ -137,19 +137,20 @@ def report_fence(reports: DataFrame, intents: DataFrame, operations: DataFrame,
     """Each deployment report with why it is refused, or accepted, by the ledgers as they stood when it came.
 
     reports: report_id, at_ms, intent_id, node_id, operation_id, generation, release_id, runtime_id. intents: intent_id, operation_id,
-    generation, release_id, runtime_id, action. operations: operation_id, node_id, deadline_ms. stages: operation_id, at_ms, stage.
+    generation, release_id, runtime_id, action. operations, one row each: operation_id, node_id, deadline_ms. stages: operation_id, at_ms, stage.
     An intent takes one report: the first that passes the other checks, or the first that comes past the deadline, which ends
     it too; later ones are duplicates. The stage is the latest before the report; a stop may still end a
     cancelled operation.
     """
     own = reports.join(intents.select("intent_id", F.col("operation_id").alias("_operation"), F.col("generation").alias("_generation"), F.col("release_id").alias("_release"), F.col("runtime_id").alias("_runtime"), "action"), "intent_id")
-    own = own.join(operations.select(F.col("operation_id").alias("_operation"), F.col("node_id").alias("_node"), "deadline_ms"), "_operation", "left")
-    # as-of: reports and stages of an operation in one order of time, a stage before a report of its time
-    w = Window.partitionBy("_operation").orderBy("at_ms", "_kind", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    told = stages.select(F.col("operation_id").alias("_operation"), "at_ms", F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"), "stage", F.lit(None).cast(own.schema["report_id"].dataType).alias("report_id"))
-    asked = own.select("_operation", "at_ms", F.lit(1).alias("_kind"), F.hash("report_id").cast("long").alias("_tie"), F.lit(None).cast("string").alias("stage"), "report_id")
-    at = told.unionByName(asked).withColumn("_stage", F.last("stage", True).over(w)).where("_kind = 1").select("report_id", "_stage")
-    own = own.join(at, "report_id", "left")
+    # as-of: an operation, its stages and the reports on it are one order of time, a stage before a report of its time; whole rows go along, so nothing is joined back
+    every = Window.partitionBy("_operation")
+    w = every.orderBy("at_ms", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    begun = operations.select(F.col("operation_id").alias("_operation"), F.col("node_id").alias("_node"), "deadline_ms", F.lit(0).alias("_kind"))
+    told = stages.select(F.col("operation_id").alias("_operation"), "at_ms", F.lit(0).alias("_kind"), F.col("stage").alias("_stage"))
+    rows = own.withColumn("_kind", F.lit(1)).unionByName(told, allowMissingColumns=True).unionByName(begun, allowMissingColumns=True)
+    rows = rows.withColumns({"_stage": F.last("_stage", True).over(w), "_node": F.max("_node").over(every), "deadline_ms": F.max("deadline_ms").over(every)})
+    own = rows.where("_kind = 1").drop("_kind")
     cleanup = (F.col("action") == "stop") & (F.col("_stage") == "cancelled")
     blank = lambda c: F.coalesce(c, F.lit(""))
     before = first_failure([(F.col("_node").isNull(), "deployment_operation_missing")])
