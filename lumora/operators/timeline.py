@@ -42,8 +42,9 @@ def missing_cells(expected: DataFrame, existing: DataFrame) -> DataFrame:
 def grid_differences(expected: DataFrame, given: DataFrame) -> DataFrame:
     """Cells on one side only."""
     cols = ["stream_id", "start_ms", "end_ms"]
-    a, b = expected.select(cols), given.select(cols)
-    return a.exceptAll(b).withColumn("side", F.lit("missing")).unionAll(b.exceptAll(a).withColumn("side", F.lit("extra")))
+    both = expected.select(*cols, F.lit(1).alias("n")).unionAll(given.select(*cols, F.lit(-1).alias("n")))
+    left = both.groupBy(*cols).agg(F.sum("n").cast("int").alias("n")).where("n <> 0")
+    return left.select(*cols, F.explode(F.array_repeat(F.when(F.col("n") > 0, "missing").otherwise("extra"), F.abs("n"))).alias("side"))
 
 
 def windowed(observation: DataFrame, window_ms: int) -> DataFrame:

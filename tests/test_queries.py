@@ -52,7 +52,7 @@ def test_interval_joins_have_no_nested_loop(name, spark, sf_dir):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-@pytest.mark.parametrize(("name", "scans", "exchanges"), [("o1_graph_extensions", 6, 5), ("o1_graph_rules", 4, 3), ("o20_report_fence", 6, 3)])
+@pytest.mark.parametrize(("name", "scans", "exchanges"), [("o1_graph_extensions", 6, 5), ("o1_graph_rules", 4, 3), ("o20_report_fence", 6, 3), ("t10_grid_validation", 2, 3)])
 def test_steps_are_planned_once(name, scans, exchanges, spark, sf_dir):
     """A table that several branches name is planned, and mostly run, once for each of them."""
     plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
