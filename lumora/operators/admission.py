@@ -229,42 +229,45 @@ def graph_rule_failures(nodes: DataFrame, edges: DataFrame, built_in: dict | Non
         (F.coalesce("deadline_ms", F.lit(0)) <= 0, "invalid_orchestration_node_deadline"), (~F.coalesce("max_attempts", F.lit(1)).between(1, MOST_ATTEMPTS), "invalid_orchestration_attempt_budget"),
         (~F.coalesce("placement", F.lit(PLACEMENTS[0])).isin(PLACEMENTS), "invalid_orchestration_placement"), (repeats(c("consumes")) | repeats(c("produces")), "duplicate_orchestration_modality"),
     ]))
-    # what one row says of itself comes first, so that a single shuffle by run carries narrow rows of nodes and edges
-    known = F.struct(F.coalesce("placement", F.lit(PLACEMENTS[0])).alias("at"), "produces", "consumes")
-    nodes = nodes.select("run_id", F.lit(True).alias("is_node"), "position", c("node_id").alias("from_id"), c("node_id").alias("to_id"), own.alias("own"), _extension_errors(nodes.columns, built_in).alias("extra"), known.alias("known"))
+    known = F.struct((F.coalesce("placement", F.lit(PLACEMENTS[0])) != PLACEMENTS[0]).alias("away"), "produces", "consumes")
+    nodes = nodes.select("run_id", F.struct(c("node_id").alias("id"), "position", own.alias("own"), _extension_errors(nodes.columns, built_in).alias("extra"), known.alias("known")).alias("node"))
     policy = F.lower(F.trim(F.coalesce("join_policy", F.lit(JOINS[0]))))
-    edges = edges.select("run_id", F.lit(False).alias("is_node"), "position", F.trim("from_id").alias("from_id"), F.trim("to_id").alias("to_id"), F.trim("modality").alias("modality"), policy.alias("join_policy"))
-    is_node, is_edge = c("is_node"), ~c("is_node")
+    edges = edges.select("run_id", F.struct(F.trim("from_id").alias("from_id"), F.trim("to_id").alias("to_id"), F.trim("modality").alias("modality"), policy.alias("join_policy")).alias("edge"))
     # nodes and edges without a run do not belong together
-    rows = nodes.unionByName(edges, allowMissingColumns=True).withColumn("part", F.when(c("run_id").isNull(), is_node))
-    within = lambda *keys: Window.partitionBy("run_id", "part", *keys)
-    rows = rows.withColumns({"n_nodes": F.count_if(is_node).over(within()), "n_edges": F.count_if(is_edge).over(within())})
+    rows = nodes.unionByName(edges, allowMissingColumns=True).withColumns({"part": F.when(c("run_id").isNull(), c("node").isNotNull()), "at": F.monotonically_increasing_id()})
+    run = Window.partitionBy("run_id", "part")
+    # windows read the rows of a run as they come from one sort: a run that is too large is counted, not held; of the others one row keeps the lists
+    rows = rows.withColumns({"n_nodes": F.count("node").over(run), "n_edges": F.count("edge").over(run), "first": F.min("at").over(run)})
     size = first_failure([((c("n_nodes") == 0) | (c("n_nodes") > MOST_NODES), "invalid_orchestration_node_count"), (c("n_edges") > MOST_EDGES, "invalid_orchestration_edge_count")])
     rows = rows.withColumn("size", size)
-
-    # a node's row and the edges from it, then the node's row and the edges to it, meet by its id
-    rows = rows.withColumns({"first": F.min(F.when(is_node & c("own").isNull(), c("position"))).over(within("from_id")), "source": F.max(F.when(is_node, c("known"))).over(within("from_id"))})
-    rows = rows.withColumn("target", F.max(F.when(is_node, c("known"))).over(within("to_id")))
-    repeated = F.when(c("position") > c("first"), "duplicate_orchestration_node_id").otherwise(c("own"))
-    rows = rows.withColumn("reason", F.when(is_node, F.when(c("own").eqNullSafe(F.lit("invalid_orchestration_node")), c("own")).otherwise(repeated)))
-    local = (c("source.at") == PLACEMENTS[0]) & (c("target.at") == PLACEMENTS[0])
-    broken = first_failure([
-        (c("source.at").isNull(), "orchestration_edge_from_not_found"), (c("target.at").isNull(), "orchestration_edge_to_not_found"), ((c("from_id") == c("to_id")) | blank(c("modality")), "invalid_orchestration_edge"),
-        (~F.coalesce(F.array_contains("source.produces", c("modality")), F.lit(False)), "orchestration_edge_modality_not_produced"), (~F.coalesce(F.array_contains("target.consumes", c("modality")), F.lit(False)), "orchestration_edge_modality_not_consumed"),
-        (~c("join_policy").isin(JOINS), "invalid_orchestration_join_policy"), ((c("join_policy") == "same_item") & ~local, "same_item_requires_data_plane_local"),
-    ])
-    # edges of one key have one verdict, so any but the first of them repeats a valid one
-    again = F.row_number().over(within("from_id", "to_id", "modality", "join_policy", "is_node").orderBy("position")) > 1
-    rows = rows.withColumn("again", again).withColumn("broken", F.when(is_edge, F.coalesce(broken, F.when(c("again"), "duplicate_orchestration_edge"))))
-    own_reasons = F.when(c("reason").isNotNull(), F.array("reason")).otherwise(c("extra"))
-    fits = c("size").isNull() & c("run_id").isNotNull()  # lists are as long as a valid graph at most
-    runs = rows.groupBy("run_id", "part").agg(
-        F.max("size").alias("size"), F.flatten(F.collect_list(F.when(fits & is_node & (F.size(own_reasons) > 0), own_reasons))).alias("bad"), F.collect_list(F.when(fits, c("broken"))).alias("broken"),
-        F.collect_list(F.when(fits & is_edge, F.struct("from_id", "to_id"))).alias("edges"),
-    )
-    cycle = F.when(_cyclic(c("edges")), F.array(F.lit("orchestration_cycle_detected"))).otherwise(F.array().cast("array<string>"))
-    found = F.when(c("size").isNotNull(), F.array("size")).when(F.size("bad") > 0, c("bad")).when(F.size("broken") > 0, c("broken")).otherwise(cycle)
-    return runs.select("run_id", "part", F.explode(found).alias("reason")).groupBy("run_id", "part", "reason").agg(F.count(F.lit(1)).alias("n")).drop("part")
+    lists = {name + "s": F.collect_list(F.when(c("size").isNull(), c(name))).over(run) for name in ("node", "edge")}
+    runs = rows.withColumns(lists).where("at = first").select("run_id", "size", "nodes", "edges")
+
+    ids = F.transform("nodes", lambda x: x["id"])
+    earlier = lambda x: F.coalesce(F.exists("nodes", lambda y: y["own"].isNull() & (y["id"] == x["id"]) & (y["position"] < x["position"])), F.lit(False))
+    repeated = lambda x: F.when(c("same_ids") & earlier(x), "duplicate_orchestration_node_id").otherwise(x["own"])
+    reasons = lambda x: bound(F.when(x["own"].eqNullSafe(F.lit("invalid_orchestration_node")), x["own"]).otherwise(repeated(x)), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(x["extra"]))
+    runs = runs.withColumn("same_ids", repeats(ids)).withColumn("bad", F.when(c("size").isNull() & c("run_id").isNotNull(), F.flatten(F.transform("nodes", reasons))))
+
+    def broken(e: Column, source: Column, target: Column) -> Column:
+        return first_failure([
+            (source.isNull(), "orchestration_edge_from_not_found"), (target.isNull(), "orchestration_edge_to_not_found"), ((e["from_id"] == e["to_id"]) | blank(e["modality"]), "invalid_orchestration_edge"),
+            (~F.coalesce(F.array_contains(source["produces"], e["modality"]), F.lit(False)), "orchestration_edge_modality_not_produced"), (~F.coalesce(F.array_contains(target["consumes"], e["modality"]), F.lit(False)), "orchestration_edge_modality_not_consumed"),
+            (~e["join_policy"].isin(JOINS), "invalid_orchestration_join_policy"), ((e["join_policy"] == "same_item") & (source["away"] | target["away"]), "same_item_requires_data_plane_local"),
+        ])
+
+    node = lambda of: F.array_max(F.transform(F.filter("nodes", lambda x: x["id"] == of), lambda x: x["known"]))
+    verdict = lambda e: bound(node(e["from_id"]), lambda source: bound(node(e["to_id"]), lambda target: broken(e, source, target)))
+    runs = runs.withColumn("verdicts", F.when(F.size("bad") == 0, F.transform("edges", verdict)))
+    # edges of one key have one verdict, so of the valid ones all but as many as there are keys repeat another
+    valid = F.filter("edges", lambda _, k: F.get("verdicts", k).isNull())
+    key = lambda e: F.concat_ws(":", F.length(e["from_id"]), F.length(e["to_id"]), e["join_policy"], e["from_id"], e["to_id"], e["modality"])
+    again = bound(F.transform(valid, key), lambda keys: F.array_repeat(F.lit("duplicate_orchestration_edge"), F.size(keys) - F.size(F.array_distinct(keys))))
+    runs = runs.withColumn("broken", F.when(c("verdicts").isNotNull(), F.concat(F.array_compact("verdicts"), again)))
+    cycle = F.when(F.size("broken") == 0, F.when(_cyclic(F.transform("edges", lambda e: F.struct(e["from_id"].alias("from_id"), e["to_id"].alias("to_id")))), F.array(F.lit("orchestration_cycle_detected"))))
+    runs = runs.select("run_id", F.when(c("size").isNotNull(), F.array("size")).when(F.size("bad") > 0, c("bad")).when(F.size("broken") > 0, c("broken")).otherwise(cycle).alias("found"))
+    counted = F.transform(F.array_distinct("found"), lambda r: F.struct(r.alias("reason"), F.size(F.filter("found", lambda x: x == r)).cast("long").alias("n")))
+    return runs.select("run_id", F.inline(counted))
 
 
 def enqueued_enrichments(inputs: DataFrame, units: DataFrame, existing: DataFrame, grid_ms: int, most: int = MOST_TASKS) -> DataFrame:

@@ -59,6 +59,27 @@ def test_steps_are_planned_once(name, scans, exchanges, spark, sf_dir):
     assert plan.count("FileScan parquet") <= scans and plan.count("Exchange hashpartitioning") <= exchanges
 
 
+@pytest.mark.parametrize(("name", "sorts"), [("o1_graph_rules", 3)])
+def test_rows_are_sorted_once(name, sorts, spark, sf_dir):
+    """Every sort of a task holds all its rows in memory at once."""
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= sorts
+
+
+def test_graph_rules_of_odd_graphs(spark):
+    from lumora.operators.admission import graph_rule_failures
+
+    node = lambda run, k, name, most=1: (run, k, name, "p", 1, most, None, ["frame"], ["frame"])
+    edge = lambda run, a, b, policy="window_contains": (run, 1, a, b, "frame", policy)
+    nodes = [node(run, k, f"n{k}") for run in (1, 2, 3, 4) for k in (1, 2)] + [node(5, k, f"n{k}") for k in range(129)] + [node(6, 1, "a"), node(6, 2, " a"), node(6, 3, "b", 17), node(None, 1, "a", 17)]
+    edges = [edge(1, "n1", "n2")] * 3 + [edge(1, "n1", "n2", None), edge(2, "n1", "n2"), edge(2, "n2", "n1"), edge(3, "n1", "n2"), edge(6, "x", "y"), edge(7, "n1", "n2"), edge(None, "a", "b")] + [edge(4, "n1", "n2")] * 1025
+    nodes = spark.createDataFrame(nodes, "run_id long, position int, node_id string, plugin_id string, deadline_ms int, max_attempts int, placement string, consumes array<string>, produces array<string>")
+    edges = spark.createDataFrame(edges, "run_id long, position int, from_id string, to_id string, modality string, join_policy string")
+    want = {(1, "duplicate_orchestration_edge", 2), (2, "orchestration_cycle_detected", 1), (4, "invalid_orchestration_edge_count", 1), (6, "duplicate_orchestration_node_id", 1), (6, "invalid_orchestration_attempt_budget", 1)}
+    want |= {(run, "invalid_orchestration_node_count", 1) for run in (5, 7, None)}
+    assert {tuple(r) for r in graph_rule_failures(nodes, edges).collect()} == want
+
+
 def test_filters_reach_the_scan(spark, sf_dir):
     plan = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 200").select("c_custkey")._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(c_custkey,200)" in plan and "c_mktsegment" not in plan
