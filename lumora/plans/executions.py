@@ -71,9 +71,9 @@ def q8_playback_sources(spark, d):
     m = view(spark, d, "material")
     units = m.where("unit_id % 23 > 0").select("unit_id", "stream_id").distinct().withColumn("revision", F.lit(1)).withColumn("owner", F.lit("o"))
     req = m.select("unit_id", F.col("part_id").alias("asset_id"), F.lit(1).alias("revision"), F.lit("o").alias("owner"))
-    asset = part.selectExpr("p_partkey AS asset_id", "p_partkey % 150 AS own", "CASE WHEN p_partkey % 11 = 0 THEN 'rtmp' ELSE 'file' END AS source_type", "concat(CASE WHEN p_partkey % 13 = 0 THEN 's3://' ELSE 'upload://' END, 'asset_', lpad(p_partkey, 32, '0')) AS object_uri", "p_partkey % 5 AS sha256", "CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE 1000000 END AS duration_ms", "'o' AS owner")
-    streams = m.select(F.col("part_id").alias("asset_id"), "stream_id").distinct()
-    asset = asset.join(streams, "asset_id").where("asset_id % 3 > 0 OR own = stream_id")
+    streams = m.select(F.col("part_id").alias("p_partkey"), "stream_id").distinct()
+    owned = part.join(streams, "p_partkey").where("p_partkey % 3 > 0 OR p_partkey % 150 = stream_id")
+    asset = owned.selectExpr("p_partkey AS asset_id", "stream_id", "CASE WHEN p_partkey % 11 = 0 THEN 'rtmp' ELSE 'file' END AS source_type", "concat(CASE WHEN p_partkey % 13 = 0 THEN 's3://' ELSE 'upload://' END, 'asset_', lpad(p_partkey, 32, '0')) AS object_uri", "p_partkey % 5 AS sha256", "CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE 1000000 END AS duration_ms", "'o' AS owner")
     ref = m.where("unit_id % 19 > 0").selectExpr("unit_id", "1 AS revision", "part_id AS asset_id", "CASE WHEN unit_id % 7 = 0 THEN 9 ELSE part_id % 5 END AS content_hash", "start_ms", "end_ms")
     upload = part.where("p_partkey % 9 > 0").selectExpr("concat('asset_', lpad(p_partkey, 32, '0')) AS upload_id", "'o' AS owner", "CASE WHEN p_partkey % 6 = 0 THEN 8 ELSE p_partkey % 5 END AS sha256", "CASE WHEN p_partkey % 4 = 0 THEN 'writing' ELSE 'awaiting_admission' END AS state")
     return e.playback_sources(req, units, ref, asset, upload).select("unit_id", "asset_id", "reason_code", "upload_id")

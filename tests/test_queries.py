@@ -80,6 +80,39 @@ def test_graph_rules_of_odd_graphs(spark):
     assert {tuple(r) for r in graph_rule_failures(nodes, edges).collect()} == want
 
 
+def test_playback_joins_narrow_rows(spark, sf_dir):
+    """Texts of a group are aggregated by a sort of whole rows; and a null upload would put all assets without one in a single task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.queries()["q8_playback_sources"](spark, sf_dir)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+        [by_upload] = [line for line in plan.splitlines() if "SortMergeJoin [upload_id" in line]
+        assert "LeftOuter" in by_upload and plan.index(by_upload) > plan.index("SortMergeJoin [asset_id")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_playback_of_odd_sources(spark):
+    from lumora.operators.executions import playback_sources
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    ids = ["asset_" + f"{k:032x}" for k in range(9)]
+    requests = [("u", 1, k, "o") for k in range(9)] * 2 + [("u", 1, 0, None), ("v", 1, 0, "o")]
+    references = [("u", 1, k, "h", 0, 10) for k in range(9) if k != 1] + [("u", 1, 2, "other", 0, 10), ("u", 1, 3, None, 0, 10), ("u", 1, 4, "h", 0, 99), (None, 1, 0, "x", 0, 10)]
+    assets = [(k, 7, "o", "rtmp" if k == 5 else "file", None if k == 6 else "upload://" + ids[k], "h", 50) for k in range(8)]
+    uploads = [(ids[k], "o", "h", "awaiting_admission") for k in range(7)] + [("6", "o", "h", "awaiting_admission")]
+    got = playback_sources(
+        frame(requests, "unit_id string, revision int, asset_id long, owner string"), frame([("u", 1, 7, "o")], "unit_id string, revision int, stream_id long, owner string"),
+        frame(references, "unit_id string, revision int, asset_id long, content_hash string, start_ms long, end_ms long"),
+        frame(assets, "asset_id long, stream_id long, owner string, source_type string, object_uri string, sha256 string, duration_ms long"), frame(uploads, "upload_id string, owner string, sha256 string, state string"),
+    ).collect()
+    lost, wrong = "material_source_not_found", "material_source_mismatch"
+    codes = [None, lost, wrong, None, "material_source_time_invalid", "material_source_unmapped", "material_source_unmapped", lost, wrong]
+    want = [("u", 1, k, "o", code, None if code else ids[k]) for k, code in enumerate(codes)] + [("u", 1, 0, None, "material_not_found", None), ("v", 1, 0, "o", "material_not_found", None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_filters_reach_the_scan(spark, sf_dir):
     plan = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 200").select("c_custkey")._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(c_custkey,200)" in plan and "c_mktsegment" not in plan
